@@ -21,11 +21,9 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 def words_of(text: str) -> list[str]:
     """The words of a text: runs of characters other than space and U+0009 to U+000D."""
-    out = text.translate(_SPACES).split(" ") if not text.isascii() else text.split(" ")
-    if text.isascii():
-        # bytes.split() knows U+0009-U+000D and space alone, as the contracts do
-        return [w.decode("ascii") for w in text.encode("ascii").split()]
-    return [w for w in out if w]
+    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
 def ascii_lower(text: str) -> str:

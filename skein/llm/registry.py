@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from skein.llm.byte_bpe import op2_byte_bpe
+from skein.llm.matroska import op7_matroska
+from skein.llm.mixing import OP1_SQL, op1_mixing
+from skein.llm.secret_scan import op9_secret_scan
 from skein.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
         "op2_byte_bpe": op2_byte_bpe,
         "op6_token_counts": op6_token_counts,
+        "op7_matroska": op7_matroska,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}

@@ -62,13 +62,13 @@ class Counter(dict):
             raise ValueError("a pair stands before the merge that makes its part")
         key = a * self.width + b
         order = np.argsort(key, kind="stable")
-        self.keys, self.rank_of, self.made = key[order], order.astype(np.int32), made
+        self.pair_keys, self.rank_of, self.made = key[order], order.astype(np.int32), made
         self.pieces: dict[str, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], NONE)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.rank_of[at], NONE)
 
     def merged(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each piece after all merges."""
