@@ -15,20 +15,16 @@ from pyspark.sql import functions as F
 
 #: Fixed by the contracts: a word is a run of characters outside these.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text: runs of characters other than space and U+0009 to U+000D."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.split() parts at space and U+0009 to U+000D alone, as the contracts do."""
+    return text.encode().split()
 
 
-def ascii_lower(text: str) -> str:
-    """A-Z in lower case, all else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+def lower_words(text: str) -> list[bytes]:
+    """The words with A-Z in lower case: bytes.lower() knows no other letters."""
+    return text.encode().lower().split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from skein.llm.ann_tree import op10_ann_tree
 from skein.llm.byte_bpe import op2_byte_bpe
 from skein.llm.matroska import op7_matroska
 from skein.llm.mixing import OP1_SQL, op1_mixing
+from skein.llm.quality import op4_quality
 from skein.llm.secret_scan import op9_secret_scan
 from skein.llm.token_counts import op6_token_counts
+from skein.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_quality": op4_quality,
+        "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_matroska": op7_matroska,
         "op9_secret_scan": op9_secret_scan,
+        "op10_ann_tree": op10_ann_tree,
     }
 
 
