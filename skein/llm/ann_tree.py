@@ -29,10 +29,11 @@ from skein.llm.common import stored, table
 
 SAMPLE = 40_000  #: rows that the tree is fitted on at most; those with the least hashes of their ids
 BRANCH = 8
-LEAF = 64  #: sample rows under which a node isn't split
-BLOCK = 4096  #: rows of a block of a leaf
+LEAF = 256  #: sample rows under which a node isn't split
+BLOCK = 4096  #: rows of a block: a part of a large leaf, or some leaves side by side
+PACE = 0.5  #: part of a node's radius that counts in its promise
 CALIBRATION = 96  #: queries with known neighbours
-RECALL = 0.97
+RECALL = 0.95
 
 
 @dataclass
@@ -76,10 +77,17 @@ def fit(x: np.ndarray) -> tuple[Node, int]:
 
 
 class Tree:
-    """The fitted tree as arrays. Radii are those of all rows once these are known."""
+    """The fitted tree; the traversal's nodes are numbered and their centres and radii held as arrays."""
 
     def __init__(self, sample: np.ndarray):
         self.root, self.leaves = fit(sample)
+        nodes = [self.root]
+        self.below: list[list[int]] = []
+        for node in nodes:  # grows as it is walked
+            self.below.append(list(range(len(nodes), len(nodes) + len(node.children or []))))
+            nodes += node.children or []
+        self.leaf = [n.leaf for n in nodes]
+        self.centres, self.radii = np.stack([n.centre for n in nodes]), np.array([n.radius for n in nodes])
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row: the nearest centre at every level."""
@@ -103,17 +111,15 @@ class Tree:
     def visit(self, q: np.ndarray, most: int) -> list[int]:
         """The first leaves of a best-bin-first traversal."""
         # a bin's promise: the centre's product and a part of what its radius could add
-        pace = 0.35 * float(np.sqrt((q**2).sum()))
-        heap = [(0.0, 0, self.root)]
-        out, n = [], 0
+        promise = (self.centres @ q + PACE * float(np.sqrt((q**2).sum())) * self.radii).tolist()
+        heap = [(0.0, 0)]
+        out: list[int] = []
         while heap and len(out) < most:
-            _, _, node = heapq.heappop(heap)
-            if node.children is None:
-                out.append(node.leaf)
-                continue
-            for child in node.children:
-                n += 1
-                heapq.heappush(heap, (-float(child.centre @ q) - pace * child.radius, n, child))
+            n = heapq.heappop(heap)[1]
+            if self.leaf[n] >= 0:
+                out.append(self.leaf[n])
+            for child in self.below[n]:
+                heapq.heappush(heap, (-promise[child], child))
         return out
 
 
@@ -139,29 +145,35 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def best_in_block(key, table: pa.Table, dim: int, k: int) -> pa.Table:
-    """The k best rows of a block for each query that visits it."""
+def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
+    """The k best rows of a block for each query that visits any of its leaves."""
+    leaves = table["leaves"].combine_chunks()
+    counts = leaves.value_lengths().to_numpy(zero_copy_only=False)
+    flat = leaves.flatten().to_numpy(zero_copy_only=False)
     is_query = table["is_query"].to_numpy()
     ids, x = table["id"].to_numpy(), _matrix(table["vec"].combine_chunks(), dim)
-    qi, q = ids[is_query], x[is_query]
-    ci, c = ids[~is_query], x[~is_query]
-    out_q, out_c, out_s = [], [], []
-    for a in range(0, len(qi), 256):
-        s = q[a : a + 256] @ c.T
-        s[qi[a : a + 256, None] == ci[None]] = -np.inf
-        for r in range(len(s)):
-            at = _top(s[r], ci, k)
+    own, asking = np.flatnonzero(~is_query), np.flatnonzero(is_query)
+    names, flat = np.unique(flat, return_inverse=True)
+    home = flat[np.repeat(~is_query, counts)]
+    wanted = np.zeros((len(asking), len(names)), bool)
+    wanted[np.repeat(np.arange(len(asking)), counts[is_query]), flat[np.repeat(is_query, counts)]] = True
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(asking) if len(own) else 0, 256):
+        some = asking[a : a + 256]
+        s = x[some] @ x[own].T
+        s[~wanted[a : a + 256][:, home]] = -np.inf
+        s[ids[some][:, None] == ids[own][None]] = -np.inf
+        for r in range(len(some)):
+            at = _top(s[r], ids[own], k)
             at = at[s[r][at] > -np.inf]
-            # the product once more in one fixed order, whatever block the pair meets in
-            out_s.append(np.array([exact(q[a + r], c[i]) for i in at]))
-            out_q.append(np.full(len(at), qi[a + r]))
-            out_c.append(ci[at])
-    none = [np.zeros(0)]
-    return pa.table({"query_id": pa.array(np.concatenate(out_q or none).astype(np.int64)), "vec_id": pa.array(np.concatenate(out_c or none).astype(np.int64)), "score": pa.array(np.concatenate(out_s or none).astype(np.float64))})
-
-
-def exact(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a * b).sum())
+            found.append((np.full(len(at), some[r]), own[at], s[r][at]))
+    q, c, s = (np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)]) for n in range(3))
+    order = np.lexsort((ids[c], -s, q))
+    q, c = q[order], c[order]
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
+    q, c = q[keep], c[keep]
+    return pa.table({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array((x[q] * x[c]).sum(1), pa.float64())})
 
 
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -210,10 +222,19 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "leaf": pa.array(tree.value.leaf_of(x), pa.int32())})
 
     dealt = rows.select("id", "vec").mapInArrow(deal, "id bigint, vec array<double>, leaf int")
-    sizes = dealt.groupBy("leaf").count()
-    parts = sizes.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    # as many rows as the tree has leaves, fewer than SAMPLE
-    dealt = stored(dealt.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")), "leaves")
+    dealt = stored(dealt, "leaves")
+    sizes = dict(dealt.groupBy("leaf").count().collect())  # as many as the tree has leaves, fewer than SAMPLE
+    blocks, block, held = [], 0, 0
+    for leaf in range(tree.value.leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > BLOCK:
+            block, held = block + 1, 0
+        parts = -(-n // BLOCK) or 1
+        blocks.append((leaf, block, parts))
+        held += n
+        if parts > 1:
+            block, held = block + parts, 0
+    places = F.broadcast(spark.createDataFrame(blocks, "leaf int, first int, parts int"))
 
     # true neighbours of the calibration queries, all rows against them in blocks
     probe = dealt.where(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION).select("id", "vec").toArrow()
@@ -240,13 +261,23 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     def visits(batches):
         for b in batches:
             x = _matrix(b.column(1), dim)
-            lists = [tree.value.visit(v, most) for v in x]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "leaf": pa.array(lists, pa.list_(pa.int32()))})
-
-    asked = dealt.where(is_query).select("id", "vec").mapInArrow(visits, "id bigint, vec array<double>, leaf array<int>")
-    asked = asked.withColumn("leaf", F.explode("leaf")).join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = dealt.select("leaf", "part", "id", "vec", F.lit(False).alias("is_query")).unionByName(asked.select("leaf", "part", "id", "vec", F.lit(True).alias("is_query")))
-    found = both.groupBy("leaf", "part").applyInArrow(lambda key, t: best_in_block(key, t, dim, k), FOUND)
+            row, block, leaves = [], [], []
+            for r, v in enumerate(x):
+                to: dict[int, list[int]] = {}
+                for leaf in tree.value.visit(v, most):
+                    _, first, parts = blocks[leaf]
+                    for n in range(first, first + parts):
+                        to.setdefault(n, []).append(leaf)
+                row += [r] * len(to)
+                block += to.keys()
+                leaves += to.values()
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int32()), "id": b.column(0).take(at), "vec": b.column(1).take(at), "leaves": pa.array(leaves, pa.list_(pa.int32()))})
+
+    asked = dealt.where(is_query).select("id", "vec").mapInArrow(visits, "block int, id bigint, vec array<double>, leaves array<int>")
+    rows = dealt.join(places, "leaf").select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("block"), "id", "vec", F.array("leaf").alias("leaves"), F.lit(False).alias("is_query"))
+    both = rows.unionByName(asked.select("block", "id", "vec", "leaves", F.lit(True).alias("is_query")))
+    found = both.groupBy("block").applyInArrow(lambda t: best_in_block(t, dim, k), FOUND)
     return ranked(found, k)
 
 
