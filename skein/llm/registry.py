@@ -6,6 +6,7 @@ from skein.llm.ann_tree import op10_ann_tree
 from skein.llm.byte_bpe import op2_byte_bpe
 from skein.llm.matroska import op7_matroska
 from skein.llm.mixing import OP1_SQL, op1_mixing
+from skein.llm.near_duplicates import op8_near_duplicates
 from skein.llm.quality import op4_quality
 from skein.llm.secret_scan import op9_secret_scan
 from skein.llm.token_counts import op6_token_counts
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_matroska": op7_matroska,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_secret_scan": op9_secret_scan,
         "op10_ann_tree": op10_ann_tree,
     }
