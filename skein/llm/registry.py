@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.ann_tree import op10_ann_tree
 from skein.llm.byte_bpe import op2_byte_bpe
+from skein.llm.context_tree import op3_context_tree
 from skein.llm.matroska import op7_matroska
 from skein.llm.mixing import OP1_SQL, op1_mixing
 from skein.llm.near_duplicates import op8_near_duplicates
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_context_tree": op3_context_tree,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
