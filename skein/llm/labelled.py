@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,17 @@ FOLDS = 5
 
 
 def learning_rows(df: DataFrame, labels: DataFrame, label: str, columns: list[str], id_col: str = "doc_id", most: int = LEARN_ROWS) -> DataFrame:
-    """The columns and y of labelled rows outside the held-out fold. The sample's ids are broadcast: at most `most` rows."""
+    """The columns, key (a number that orders the rows) and y of labelled rows outside the held-out fold. The sample's ids are broadcast: at most `most` rows."""
     mine = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
     sample = mine.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return df.join(F.broadcast(sample), df[id_col] == sample["_id"]).select(*columns, "y")
+    return df.join(F.broadcast(sample), df[id_col] == sample["_id"]).select(*columns, F.xxhash64("_id").alias("key"), "y")
+
+
+def ragged(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    """The lists of a column in this order, as views of one array."""
+    lists = column.combine_chunks()
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[at[i] : at[i + 1]] for i in order]
 
 
 def prior(y) -> float:

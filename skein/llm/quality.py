@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import held_out, map_batches, table
-from skein.llm.labelled import FOLDS, learning_rows, prior
+from skein.llm.labelled import FOLDS, learning_rows, prior, ragged
 
 BITS = 16  #: of the word hash
 RANK = 8  #: of the interactions
@@ -130,15 +130,12 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality") -> Machine:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [featurise(t or "", n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.int32) for w, _ in made], pa.list_(pa.int32())), "s": pa.array([s for _, s in made], pa.list_(pa.float64())), "y": batch.column(2)})
-
-    got = map_batches(learning_rows(df, labels, label, ["text", "_stated"]), ["text", "_stated", "y"], run, "w array<int>, s array<double>, y int").toArrow()
-    y = np.array(got["y"].to_pylist(), np.float64)
-    stats = np.array(got["s"].to_pylist(), np.float64).reshape(len(y), len(STATS))
-    words = [np.array(w, np.int64) for w in got["w"].to_pylist()]
-    # the rows' order must not depend on the cluster
-    order = np.lexsort((*stats.T, [len(w) for w in words], y))
-    return learn([words[i] for i in order], stats[order], y[order])
+        return pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.int32) for w, _ in made], pa.list_(pa.int32())), "s": pa.array([s for _, s in made], pa.list_(pa.float64())), "key": batch.column(2), "y": batch.column(3)})
+
+    got = map_batches(learning_rows(df, labels, label, ["text", "_stated"]), ["text", "_stated", "key", "y"], run, "w array<int>, s array<double>, key bigint, y int").toArrow()
+    order = np.lexsort((got["w"].combine_chunks().value_lengths().to_numpy(), got["key"].to_numpy()))  # not the cluster's
+    stats = np.array(ragged(got["s"], order)).reshape(len(order), len(STATS))
+    return learn(ragged(got["w"], order), stats, got["y"].to_numpy()[order].astype(np.float64))
 
 
 def with_length(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import held_out, map_batches, table, words_of
-from skein.llm.labelled import FOLDS, learning_rows, prior
+from skein.llm.labelled import FOLDS, learning_rows, prior, ragged
 
 BITS = 20
 PREFIXES = (4, 5)
@@ -92,12 +92,15 @@ def learn(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], li
     if not 0 < y.sum() < len(y):
         return Model(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0))
     rng = np.random.default_rng(5)
-    known, rows_with = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
-    known = np.union1d(known[rows_with >= least], np.array([f for pair in pairs for side in pair for f in side], np.int64))
+    rows_with = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        rows_with[np.unique(r)] += 1
+    known = np.flatnonzero(rows_with >= least)
+    known = np.union1d(known, np.array([f for pair in pairs for side in pair for f in side], np.int64))
 
     def own(features) -> np.ndarray:
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
-        return at[known[at] == features]
+        return at[known[at] == features].astype(np.int32)
 
     rows = [own(r) for r in rows]
     sides = [[own(np.array(side, np.int64)) for side in sides] for sides in zip(*pairs, strict=True)] or [[], []]
@@ -154,13 +157,11 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", kinds=IDENTITY
         texts = [t or "" for t in batch.column(0).to_pylist()]
         terms = {t for kind in kinds for t in kind}
         own = [" ".join(sorted({_term(w) for w in set(words_of(t))} & terms)) for t in texts]
-        return pa.RecordBatch.from_pydict({"f": pa.array([text_features(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), "terms": pa.array(own, pa.string()), "y": batch.column(1)})
+        return pa.RecordBatch.from_pydict({"f": pa.array([text_features(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), "terms": pa.array(own, pa.string()), "key": batch.column(1), "y": batch.column(2)})
 
-    got = map_batches(learning_rows(df, labels, label, ["text"]), ["text", "y"], run, "f array<int>, terms string, y int").toArrow()
-    y = np.array(got["y"].to_pylist(), np.float64)
-    rows = [np.sort(np.array(f, np.int64)) for f in got["f"].to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))
-    return learn([rows[i] for i in order], y[order], identity_pairs(got["terms"].to_pylist(), kinds))
+    got = map_batches(learning_rows(df, labels, label, ["text"]), ["text", "key", "y"], run, "f array<int>, terms string, key bigint, y int").toArrow()
+    order = np.lexsort((got["f"].combine_chunks().value_lengths().to_numpy(), got["key"].to_numpy()))  # not the cluster's
+    return learn(ragged(got["f"], order), got["y"].to_numpy()[order].astype(np.float64), identity_pairs(sorted(got["terms"].to_pylist()), kinds))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
