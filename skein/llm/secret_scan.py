@@ -137,27 +137,32 @@ def scan(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = None,
     return paths.select("path", "blob", F.lit(version).alias("rule_version"), F.coalesce("findings", none).alias("findings")), book
 
 
-def redacted(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The rows with every found span replaced, overlapping spans together; all other columns and texts stay as they are."""
-    text = df.columns.index(text_col)
+def redacted(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = None, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The rows with every found span replaced, overlapping spans as one; findings come from the ledger and this run's scan of unseen blobs. Other columns and texts stay as they are."""
+    if "blob" in df.columns or "findings" in df.columns:
+        raise ValueError("columns blob and findings would be ambiguous")
+    version = rules.version
+    _, book = scan(df, rules, ledger, path_col=text_col, text_col=text_col)
+    known = book.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings")
+    found = df.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(known, "blob", "left").select(*(F.col(f"`{c}`") for c in df.columns), "findings")
+    names = df.columns
+    text = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in batch.column(text).to_pylist():
-            spans = rules.scan(t) if t else []
-            if spans:
-                parts, at = [], 0
-                for _, start, end in spans:
-                    if start >= at:
-                        parts += [t[at:start], mark]
-                    at = max(at, end)
-                t = "".join((*parts, t[at:]))
-            out.append(t)
-        cols = [*batch.columns]
-        cols[text] = pa.array(out, batch.schema.field(text).type)
-        return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    return map_batches(df, df.columns, run, df.schema)
+        cols = batch.columns
+        texts, spans = cols[text].to_pylist(), cols[-1].to_pylist()
+        for k, own in enumerate(spans):
+            if own:
+                parts, at, t = [], 0, texts[k]
+                for x in own:
+                    if x["start"] >= at:
+                        parts += [t[at : x["start"]], mark]
+                    at = max(at, x["end"])
+                texts[k] = "".join((*parts, t[at:]))
+        cols[text] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(cols[:-1], names)
+
+    return map_batches(found, found.columns, run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns))
 
 
 def _is(kind: str):
