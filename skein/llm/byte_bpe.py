@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import map_batches, table
 
 #: Entries that a worker keeps of the pieces it has encoded.
-CACHE = 400_000
+CACHE = 300_000
 #: Ranks that a word of the lower bitmap holds; the top bitmap is one integer with a bit for each word.
 WIDE = 256
 #: Characters up to which pre-tokens are encoded many at once, and how many at most; longer ones go one by one.

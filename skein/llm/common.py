@@ -56,11 +56,11 @@ def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # halves keep the texts of one step near 16 MB however long they are
+            # halves keep the texts of one step near 8 MB however long they are
             todo = [batch]
             while todo:
                 b = todo.pop()
-                if b.num_rows > 1 and b.nbytes > 16_000_000:
+                if b.num_rows > 1 and b.nbytes > 8_000_000:
                     todo += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
                 elif b.num_rows and (out := f(b)) is not None:
                     yield out

@@ -33,7 +33,7 @@ _ODD = np.zeros(256, bool)
 _ODD[[ord(c) for c in "#$%&*|~^<>{}[]=+_@\\/!"]] = True
 _UPPER, _DIGIT, _MARK = (np.array([f(chr(b)) if b < 128 else False for b in range(256)]) for f in (str.isupper, str.isdigit, lambda c: c.isprintable() and not c.isalnum() and c != " "))
 _CODES = np.stack([_UPPER, _DIGIT, _MARK, _ODD, np.arange(256) >= 128]).astype(np.float64).T
-CACHE = 1_000_000
+CACHE = 150_000
 
 
 class _Bucket(dict):

@@ -26,7 +26,7 @@ from skein.llm.labelled import FOLDS, learning_rows, prior, ragged
 BITS = 20
 PREFIXES = (4, 5)
 THRESHOLD = 0.5
-CACHE = 1_000_000
+CACHE = 200_000
 #: Terms that name groups, by kind: a swap stays within its kind.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "atheist", "protestant"),
