@@ -1 +1,203 @@
-"""Queries."""
+"""Queries of the retrieval plans over the star schema's graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import graph as G
+from skein.operators import search as S
+from skein.plans import retrieval as R
+from skein.queries import query
+from skein.queries.graph import GRAPH, graph
+from skein.queries.search import hybrid_sql
+from skein.sources.tables import table
+
+K = 10
+_VEC = "(SELECT embedding FROM embeddings WHERE vec_id = ('0x' || substr(md5({}), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))"
+_BASE = f"""WITH {GRAPH}, fd AS (SELECT key, arg_min(description, ord) AS d FROM k GROUP BY key),
+ent AS (SELECT name AS id, d AS text, {_VEC.format("name")} AS vec FROM nodes JOIN fd USING (key)),
+rel AS (SELECT src || '|' || dst AS id, types[1] || ' ' || src || ' ' || dst || ' ' || description AS text, {_VEC.format("src || '|' || dst")} AS vec FROM edges),
+questions AS (SELECT p_partkey AS qid, p_name || ' ' || p_partkey % 200 AS text, embedding AS vec FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings) WHERE p_partkey % 400 = 0),
+{hybrid_sql("eh", "ent", "questions", 30, 30)}, {hybrid_sql("rh", "rel", "questions", 30, 30)},
+nch AS (SELECT DISTINCT n.name, k.chunk_id AS chunk FROM k JOIN nodes n USING (key)), ech AS (SELECT DISTINCT src, dst, chunk_id AS chunk FROM res WHERE src <> dst),
+ew AS (SELECT qid, id AS name, score / max(score) OVER (PARTITION BY qid) AS w FROM eh_hits), rw AS (SELECT qid, split_part(id, '|', 1) AS src, split_part(id, '|', 2) AS dst, score / max(score) OVER (PARTITION BY qid) AS w FROM rh_hits),
+dgr AS (SELECT x AS name, count(*) AS degree FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) GROUP BY x),
+both_ends AS (SELECT src AS name, dst AS other, src, dst FROM edges UNION ALL SELECT dst, src, src, dst FROM edges)"""
+
+
+def _list(name: str, body: str) -> str:
+    return f", {name} AS (SELECT qid, chunk AS id, round(sum(w), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(w), 6) DESC, chunk) AS rank FROM ({body}) GROUP BY qid, chunk)"
+
+
+def _local(part: str) -> str:
+    return f"SELECT qid, chunk, w FROM ew JOIN nch USING (name) UNION ALL SELECT qid, chunk, w * {part} FROM ew JOIN both_ends b USING (name) JOIN ech ON ech.src = b.src AND ech.dst = b.dst LEFT JOIN dgr ON dgr.name = b.other"
+
+
+def _global(part: str) -> str:
+    return f"SELECT qid, chunk, w FROM rw JOIN ech USING (src, dst) UNION ALL SELECT qid, chunk, w * {part} FROM (SELECT qid, w, src AS name FROM rw UNION ALL SELECT qid, w, dst FROM rw) JOIN nch USING (name) LEFT JOIN dgr USING (name)"
+
+
+_LISTS = _BASE + _list("lo", _local("0.5::DOUBLE")) + _list("gl", _global("0.3::DOUBLE"))
+_OPT = _BASE + _list("lo", _local("0.35::DOUBLE / log2(2 + degree)")) + _list("gl", _global("0.2::DOUBLE / log2(2 + degree)"))
+#: The dense list: chunks of the questions' own vectors, here those of the chunk ids.
+_DENSE = f", chunks AS (SELECT 'order-' || o_orderkey AS id, '' AS text, {_VEC.format("'order-' || o_orderkey")} AS vec FROM orders WHERE o_orderkey % 10 = 0), {hybrid_sql('dn', 'chunks', 'questions', K, K)}"
+
+
+def _vectors(spark, sf_dir, df):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    at = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % F.col("n")
+    return df.join(F.broadcast(n)).withColumn("vec_id", at).join(v, "vec_id").drop("vec_id", "n")  # n is one row
+
+
+def _setup(spark, sf_dir):
+    nodes, _, edges = graph(spark, sf_dir)
+    nodes, edges = G.saved(nodes), G.saved(edges)
+    ents = _vectors(spark, sf_dir, nodes.select(F.col("name").alias("id"), F.get("descriptions", 0)["text"].alias("text")))
+    rels = _vectors(spark, sf_dir, edges.select(F.concat_ws("|", "src", "dst").alias("id"), F.concat_ws(" ", F.get("types", 0), "src", "dst", "description").alias("text")))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = table(spark, sf_dir, "part").where("p_partkey % 400 = 0").join(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", F.col("p_partkey") % F.col("n")).join(v, "vec_id")
+    q = G.saved(q.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 200).cast("string")).alias("text"), "vec"))
+    return nodes, edges, ents, rels, q
+
+
+def _lists(spark, sf_dir, optimised=False):
+    nodes, edges, ents, rels, q = _setup(spark, sf_dir)
+    lo = R.local(S.hybrid(ents, q, 30, 30), nodes, edges, optimised)
+    gl = R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, optimised)
+    return G.saved(lo), G.saved(gl), q
+
+
+def _dense(spark, sf_dir, q):
+    key = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    chunks = _vectors(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(key.alias("id"), F.lit("").alias("text")))
+    return S.cosine_top(chunks, q, K)
+
+
+@query("q3_local", _LISTS + f" SELECT qid, id, score, rank FROM lo WHERE rank <= {K}")
+def q3(spark, sf_dir):
+    return R.cut(_lists(spark, sf_dir)[0], K)
+
+
+@query("q4_global", _LISTS + f" SELECT qid, id, score, rank FROM gl WHERE rank <= {K}")
+def q4(spark, sf_dir):
+    return R.cut(_lists(spark, sf_dir)[1], K)
+
+
+def _fused(w: float) -> str:
+    return f", fu AS (SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM lo WHERE rank <= 30 UNION ALL SELECT *, {w}::DOUBLE FROM gl WHERE rank <= 30) GROUP BY qid, id)"
+
+
+@query("q5_hybrid", _LISTS + _fused(1.0) + f" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= {K}")
+def q5(spark, sf_dir):
+    lo, gl, _ = _lists(spark, sf_dir)
+    return R.hybrid(lo, gl, K)
+
+
+@query("q5_hybrid_optimised", _OPT + _fused(0.6) + f" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= {K}")
+def q5o(spark, sf_dir):
+    lo, gl, _ = _lists(spark, sf_dir, True)
+    return R.hybrid(lo, gl, K, True)
+
+
+@query(
+    "q6_mix",
+    _LISTS
+    + _DENSE
+    + f""", b AS (SELECT qid, id, min(rank * 3 + l) AS spot FROM (SELECT qid, id, rank, 0 AS l FROM dn_dense UNION ALL SELECT qid, id, rank, 1 FROM lo WHERE rank <= 30 UNION ALL SELECT qid, id, rank, 2 FROM gl WHERE rank <= 30) GROUP BY qid, id),
+p AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY spot) AS rank, count(*) OVER (PARTITION BY qid) AS n FROM b) SELECT qid, id, round(1 - (rank - 1)::DOUBLE / n, 6) AS score, rank FROM p WHERE rank <= {K}""",
+)
+def q6(spark, sf_dir):
+    lo, gl, q = _lists(spark, sf_dir)
+    return R.mix(_dense(spark, sf_dir, q), lo, gl, K)
+
+
+@query(
+    "q7_mix_optimised",
+    _OPT
+    + _fused(0.6)
+    + _DENSE
+    + f""", hd AS (SELECT qid, id, 0 AS part, rank FROM dn_dense WHERE rank <= {K - 2}), fl AS (SELECT * FROM (SELECT qid, id, 1 AS part, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu ANTI JOIN hd USING (qid, id)) WHERE rank <= 2),
+tl AS (SELECT qid, id, 2 AS part, rank FROM dn_dense d WHERE rank > {K - 2} AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.qid = d.qid AND fl.id = d.id)),
+p AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY part, rank) AS rank, count(*) OVER (PARTITION BY qid) AS n FROM (FROM hd UNION ALL FROM fl UNION ALL FROM tl)) SELECT qid, id, round(1 - (rank - 1)::DOUBLE / n, 6) AS score, rank FROM p WHERE rank <= {K}""",
+)
+def q7(spark, sf_dir):
+    lo, gl, q = _lists(spark, sf_dir, True)
+    return R.mix_optimised(_dense(spark, sf_dir, q), lo, gl, K)
+
+
+_CAND = (
+    _BASE
+    + f""", u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT qid, id AS name, score FROM eh_hits WHERE rank <= 8),
+s1 AS (SELECT qid, name, max(score) AS score FROM (FROM s0 UNION ALL SELECT qid, b, score FROM s0 JOIN u ON a = name) GROUP BY 1, 2), pr AS (SELECT name, coalesce(degree, 0)::DOUBLE AS pr FROM nodes LEFT JOIN dgr USING (name)),
+sc AS (SELECT qid, name, round(0.85::DOUBLE * score / max(score) OVER (PARTITION BY qid) + (1 - 0.85::DOUBLE) * pr / (SELECT max(pr) FROM pr), 6) AS score FROM s1 JOIN pr USING (name)),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS rank FROM sc) WHERE rank <= 20)"""
+)
+
+
+def _candidates(spark, sf_dir):
+    """Degrees stand in for PageRank, which SQL can't iterate to convergence."""
+    nodes, edges, ents, _, q = _setup(spark, sf_dir)
+    ranks = G.degree(nodes, edges).select("name", F.col("degree").cast("double").alias("rank"))
+    return R.candidates(R.cut(S.hybrid(ents, q, 30, 30), 8), nodes, edges, ranks, hops=1), nodes
+
+
+@query("q2_structural_candidates", _CAND + " SELECT qid, name, score, rank FROM cand")
+def q2(spark, sf_dir):
+    return _candidates(spark, sf_dir)[0]
+
+
+@query("q2_scope_documents", _CAND + ", o AS (SELECT 'order-' || o_orderkey AS id, 'nation-' || c_nationkey AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey) SELECT DISTINCT qid, o.id FROM cand JOIN nodes USING (name) JOIN o ON list_contains(docs, o.doc_id)")
+def q2b(spark, sf_dir):
+    found, nodes = _candidates(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    chunks = o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("doc_id"))
+    return R.candidate_scope(found, nodes, chunks)
+
+
+@query("q2_verbalised", _CAND + " SELECT qid, string_agg(name || ' (' || type || '): ' || d, chr(10) ORDER BY rank) AS text FROM cand JOIN nodes USING (name) JOIN fd USING (key) GROUP BY qid")
+def q2c(spark, sf_dir):
+    return R.verbalise(*_candidates(spark, sf_dir))
+
+
+@query("q11_node_chunks", _BASE + " SELECT name, count(*) AS chunks FROM nch GROUP BY name")
+def q11(spark, sf_dir):
+    return graph(spark, sf_dir)[0].select("name", F.size(G.node_chunks(F.col("descriptions"), F.col("source_sentences"))).cast("long").alias("chunks"))
+
+
+@query("q12_edge_chunks", _BASE + " SELECT src, dst, count(*) AS chunks FROM ech GROUP BY src, dst")
+def q12(spark, sf_dir):
+    return graph(spark, sf_dir)[2].select("src", "dst", F.size(G.edge_chunks(F.col("source_sentences"))).cast("long").alias("chunks"))
+
+
+@query("q13_materialise", _LISTS + " SELECT qid, id, score, rank, 'prio ' || o_orderpriority AS text FROM lo JOIN orders ON id = 'order-' || o_orderkey WHERE rank <= 10 AND o_orderkey % 7 <> 0")
+def q13(spark, sf_dir):
+    lo, _, _ = _lists(spark, sf_dir)
+    key = F.col("o_orderkey")
+    store = table(spark, sf_dir, "orders").where(key % 7 != 0).select(F.concat(F.lit("order-"), key.cast("string")).alias("id"), F.concat(F.lit("prio "), "o_orderpriority").alias("text"), key)
+    return R.materialise(lo, store.where(key % 2 == 0), store.where(key % 2 == 1), 10)
+
+
+_TITLES = "titles AS (SELECT p_partkey AS id, p_name || ' (' || p_brand || ')' AS title, lower(p_name) AS phrase FROM part), qs AS (SELECT o_orderkey AS qid, 'who sells the ' || p_name || ' of ' || p_brand AS text, p_partkey AS seed FROM orders JOIN part ON p_partkey = o_orderkey % 97 WHERE o_orderkey % 500 = 0)"
+
+
+@query("q8_expansion", f"WITH {_TITLES} SELECT qid, seed AS id FROM qs UNION SELECT qid, id FROM qs JOIN titles ON contains(' ' || lower(text) || ' ', ' ' || phrase || ' ')")
+def q8a(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    titles = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("title"))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").withColumn("p_partkey", F.col("o_orderkey") % 97).join(part, "p_partkey")
+    q = o.select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("who sells the "), "p_name", F.lit(" of "), "p_brand").alias("text"), F.col("p_partkey").alias("id"), F.array(F.lit("nothing")).alias("names"))
+    return R.expansion(q.select("qid", "text"), titles, q.select("qid", "id", "names"))
+
+
+@query(
+    "q8_query_focused",
+    _LISTS
+    + _DENSE
+    + f""", sp AS (SELECT qid, id, CASE WHEN rank <= 5 THEN score ELSE 0 END AS score FROM lo WHERE rank <= 12), f AS (SELECT qid, id, d.rank AS dr, coalesce(sp.score, 0) AS score FROM dn_dense d FULL JOIN sp USING (qid, id))
+SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN score > 0 THEN 0 WHEN dr IS NOT NULL THEN 1 ELSE 2 END, score DESC, coalesce(dr, 1000000000), id) AS rank FROM f) WHERE rank <= {K}""",
+)
+def q8(spark, sf_dir):
+    lo, _, q = _lists(spark, sf_dir)
+    support = lo.where("rank <= 12").select("qid", "id", F.when(F.col("rank") <= 5, F.col("score")).otherwise(0.0).alias("score"))
+    return R.query_focused(_dense(spark, sf_dir, q), support, K)

@@ -35,15 +35,36 @@ UNION ALL SELECT record_no, pos + 2, chunk_id, doc_id, supplier, CASE WHEN l_par
 _TABLES = ("lineitem", "orders", "customer", "nation", "supplier", "part")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_LINES, **{t: table(spark, sf_dir, t) for t in _TABLES})
+
+
+def _each(lines: DataFrame, rows: list[tuple[str, ...]], names: tuple[str, ...]) -> DataFrame:
+    """One row of `lines` as several: the joins below run once."""
+    structs = ", ".join("struct(" + ", ".join(f"{x} AS {n}" for x, n in zip(r, names, strict=True)) + ")" for r in rows)
+    return lines.selectExpr("record_no", "chunk_id", "doc_id", f"inline(array({structs}))")
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_no, pos, chunk_id, doc_id, name, type, description, source_sentence, stub."""
-    out = spark.sql(MENTIONS_SQL, **{t: table(spark, sf_dir, t) for t in _TABLES})
-    return out.withColumn("stub", F.lit(False))
+    ships, goes = "supplier || ' ships ' || part || '.'", "part || ' goes to ' || nation || '.'"
+    rows = [
+        ("pos", "supplier", "supplier_type", "'supplies ' || part", ships, "false"),
+        ("pos + 1", "part", "'PRODUCT'", "'a ' || p_brand || ' part'", ships, "false"),
+        ("pos + 2", "nation", "'LOCATION'", "'buys ' || part", goes, "false"),
+    ]
+    return _each(_lines(spark, sf_dir), rows, ("pos", "name", "type", "description", "source_sentence", "stub"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_no, pos, chunk_id, doc_id, source, target, type, description, source_sentence."""
-    return spark.sql(RELATIONS_SQL, **{t: table(spark, sf_dir, t) for t in _TABLES})
+    ships, goes = "supplier || ' ships ' || part || '.'", "part || ' goes to ' || nation || '.'"
+    rows = [
+        ("pos", "supplier", "CASE WHEN l_partkey % 50 = 7 THEN 'Ghost ' || part ELSE part END", "'SUPPLIES'", "'supply of ' || part", ships),
+        ("pos + 1", "part", "nation", "'SOLD_IN'", "'sale of ' || part", goes),
+        ("pos + 2", "supplier", "CASE WHEN l_partkey % 70 = 3 THEN supplier ELSE nation END", "'SHIPS_TO'", "'shipping'", ships),
+    ]
+    return _each(_lines(spark, sf_dir), rows, ("pos", "source", "target", "type", "description", "source_sentence"))
 
 
 def oracle_views() -> str:
