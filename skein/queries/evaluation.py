@@ -1 +1,179 @@
-"""Queries."""
+"""Queries of evaluation metrics. Gold: items of an embedding label; retrieved: each vector's nearest by cosine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import metrics as M
+from skein.operators import search as S
+from skein.queries import query
+from skein.sources.tables import table
+
+_RUN = """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id % 25 = 0),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 10), qs AS (SELECT id AS qid, label FROM e WHERE id % 25 = 0),
+gold AS (SELECT qid, e.id FROM qs JOIN e ON e.label = qs.label WHERE e.id % 40 = 0 AND qid % 50 = 0)"""
+
+
+def _run(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
+    q = e.where("id % 25 = 0").select(F.col("id").alias("qid"), "label", "vec")
+    gold = q.where("qid % 50 = 0").join(e.where("id % 40 = 0").select("id", "label"), "label").select("qid", "id")
+    return q, S.cosine_top(e, q, 10).select("qid", "id", "score", "rank"), gold
+
+
+def _retrieval_sql(recall: float, rr: float) -> str:
+    ks = (1, 3, 5, 10)
+    hits = ", ".join(f"count(*) FILTER (rank <= {k}) AS h{k}" for k in ks)
+    cols = ", ".join(f"round(coalesce(h{k}::DOUBLE / n, {recall}), 6) AS recall_at_{k}" for k in ks)
+    return _RUN + f", h AS (SELECT gold.qid, count(*) AS n, min(rank) AS first, {hits} FROM gold LEFT JOIN run USING (qid, id) GROUP BY gold.qid) SELECT qid, {cols}, round(CASE WHEN n IS NULL THEN {rr} ELSE coalesce(1.0::DOUBLE / first, 0) END, 6) AS mrr, coalesce(h10 = n, false) AS all_gold FROM qs LEFT JOIN h USING (qid)"
+
+
+@query("m1_retrieval_dev", _retrieval_sql(1.0, 0.0))
+def m1(spark, sf_dir):
+    return M.retrieval(*_run(spark, sf_dir), convention="dev")
+
+
+@query("m3_retrieval_benchmark", _retrieval_sql(0.0, 0.0))
+def m3(spark, sf_dir):
+    return M.retrieval(*_run(spark, sf_dir))
+
+
+@query("m4_retrieval_runner", _retrieval_sql(1.0, 1.0))
+def m4(spark, sf_dir):
+    return M.retrieval(*_run(spark, sf_dir), convention="runner")
+
+
+@query("m5_answerable_only", f"SELECT count(*) AS n, round(avg(recall_at_10), 6) AS recall, round(avg(mrr), 6) AS mrr FROM ({_retrieval_sql(0.0, 0.0).replace('qs LEFT JOIN h', 'qs JOIN h')})")
+def m5(spark, sf_dir):
+    q, run, gold = _run(spark, sf_dir)
+    return M.retrieval(q, run, gold).join(gold.select("qid").distinct(), "qid", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall_at_10"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr"))
+
+
+@query("m6_precision", _RUN + " SELECT qid, round(avg(CASE WHEN gold.id IS NULL THEN 0 ELSE 1 END), 6) AS precision FROM run LEFT JOIN gold USING (qid, id) WHERE rank <= 5 GROUP BY qid")
+def m6(spark, sf_dir):
+    _, run, gold = _run(spark, sf_dir)
+    return M.precision(run, gold, 5)
+
+
+@query("m7_term_coverage", "SELECT doc_id, ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'worthless'))::INT)::DOUBLE / 2 AS coverage FROM documents")
+def m7(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", M.term_coverage(F.col("text"), F.array(F.lit("The"), F.lit("worthless"))).alias("coverage"))
+
+
+@query("m8_refusals", "SELECT conv_id, turn, contains(lower(text), 'cannot answer') OR contains(lower(text), 'don''t know') OR contains(lower(text), 'not enough information') AS refusal FROM conversations")
+def m8(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.is_refusal(F.col("text")).alias("refusal"))
+
+
+@query("m10_citations", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'c' || event_id % 5 || ',c1' ELSE 'c1' END AS cited FROM events WHERE event_id % 5 <> 1")
+def m10(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_id % 5 <> 1")
+    answer = F.concat(F.lit("so ["), (F.col("event_id") % 5).cast("string"), F.lit("] and [1], ["), (F.col("event_id") % 5).cast("string"), F.lit("]"))
+    return e.select("event_id", F.array_join(M.citations(answer, F.array(*(F.lit(f"c{k}") for k in range(3)))), ",").alias("cited"))
+
+
+_NA = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 #]|#', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+
+
+@query(
+    "m11_token_f1",
+    f"""WITH a AS (SELECT p_partkey, {_NA.format("'the ' || p_name || ' ' || p_brand")} AS p, {_NA.format("p_name || ' a ' || p_type")} AS g FROM part),
+x AS (SELECT p_partkey, t, count(*) AS a FROM (SELECT p_partkey, unnest(string_split(p, ' ')) AS t FROM a) GROUP BY ALL), y AS (SELECT p_partkey, t, count(*) AS b FROM (SELECT p_partkey, unnest(string_split(g, ' ')) AS t FROM a) GROUP BY ALL),
+s AS (SELECT p_partkey, sum(least(a, b)) AS same FROM x JOIN y USING (p_partkey, t) GROUP BY 1), f AS (SELECT a.p_partkey, (p = g)::INT AS em, coalesce(same, 0)::DOUBLE / len(string_split(p, ' ')) AS pr, coalesce(same, 0)::DOUBLE / len(string_split(g, ' ')) AS rc FROM a LEFT JOIN s USING (p_partkey))
+SELECT p_partkey, em, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1 FROM f""",
+)
+def m11(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" "), "p_brand").alias("prediction"), F.concat("p_name", F.lit(" a "), "p_type").alias("gold"))
+    return M.token_f1(p, "p_partkey", "prediction", "gold")
+
+
+_SP = "WITH p AS (SELECT DISTINCT l_orderkey AS q, l_partkey % 20 AS f FROM lineitem WHERE l_returnflag <> 'A'), g AS (SELECT DISTINCT l_orderkey AS q, l_partkey % 20 AS f FROM lineitem WHERE l_linestatus = 'F')"
+
+
+def _facts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_partkey") % 20).alias("f"), "l_returnflag", "l_linestatus")
+    return li.where("l_returnflag <> 'A'"), li.where("l_linestatus = 'F'")
+
+
+@query(
+    "m12_supporting_facts",
+    _SP + """, j AS (SELECT q, count(*) FILTER (p.f IS NOT NULL AND g.f IS NOT NULL) AS tp, count(p.f) AS np, count(g.f) AS ng FROM p FULL JOIN g USING (q, f) GROUP BY q), s AS (SELECT *, CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0 END AS pr, CASE WHEN ng > 0 THEN tp::DOUBLE / ng ELSE 0 END AS rc FROM j)
+SELECT q, tp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1, (tp = np AND tp = ng)::INT AS em FROM s""",
+)
+def m12(spark, sf_dir):
+    return M.set_scores(*_facts(spark, sf_dir), ["f"], "q")
+
+
+@query("m19_micro_average", _SP + ", j AS (SELECT count(*) FILTER (p.f IS NOT NULL AND g.f IS NOT NULL) AS tp, count(p.f) AS np, count(g.f) AS ng FROM p FULL JOIN g USING (q, f)) SELECT tp, round(tp::DOUBLE / np, 6) AS precision, round(tp::DOUBLE / ng, 6) AS recall, round(2.0::DOUBLE * tp / (np + ng), 6) AS f1, 0::INT AS em FROM j")
+def m19(spark, sf_dir):
+    return M.micro(*_facts(spark, sf_dir), ["q", "f"])
+
+
+@query("m14_by_type", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS l_quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))")
+def m14(spark, sf_dir):
+    return M.by_type(table(spark, sf_dir, "lineitem"), ("l_returnflag", "l_linestatus"), ["l_quantity"])
+
+
+def _scores(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderkey < 600").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") % 1).alias("a"), (F.col("o_totalprice") % 0.7).alias("b"))
+
+
+@query("m15_paired_bootstrap")
+def m15(spark, sf_dir):
+    return M.paired_bootstrap(_scores(spark, sf_dir), ["o_orderstatus"], "a", "b", "o_orderkey", draws=500)
+
+
+@query("m16_bootstrap_mean")
+def m16(spark, sf_dir):
+    return M.bootstrap_mean(_scores(spark, sf_dir), ["o_orderstatus"], "a", "o_orderkey", draws=500)
+
+
+@query("m17_wilson", "WITH s AS (SELECT event_type, count(*) FILTER (value > 20)::DOUBLE AS k, count(*)::DOUBLE AS n, 1.959963984540054::DOUBLE AS z FROM events GROUP BY 1) SELECT event_type, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lo, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS hi FROM s")
+def m17(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 20).alias("k"), F.count(F.lit(1)).alias("n"))
+    lo, hi = M.wilson(F.col("k"), F.col("n"))
+    return s.select("event_type", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query("m18_agreement", "SELECT quality AS first, toxic AS second, count(*) AS n FROM labels GROUP BY 1, 2")
+def m18(spark, sf_dir):
+    return M.agreement(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("m22_summary", "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(max(value), 4) AS max, round(sum(value), 3) AS total FROM events GROUP BY 1")
+def m22(spark, sf_dir):
+    return M.summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("m23_percentile_by_index", "SELECT event_type, list_sort(list(value))[1 + least(count(*) - 1, floor(0.9::DOUBLE * count(*))::BIGINT)] AS value FROM events GROUP BY 1")
+def m23(spark, sf_dir):
+    return M.percentile_at(table(spark, sf_dir, "events"), "event_type", "value", 0.9)
+
+
+@query("m24_hit_curve", "SELECT user_id, event_id, round(sum((event_type = 'view')::INT) OVER w::DOUBLE / count(*) OVER w, 6) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def m24(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "view").cast("int").alias("hit"), F.lit(1).alias("one"))
+    return M.hit_curve(e, "user_id", "event_id", "hit", "one")
+
+
+@query("m25_first_touch", "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS n FROM d) SELECT l_orderkey, count(*) FILTER (n = 1) AS new, count(*) AS touched FROM n GROUP BY 1")
+def m25(spark, sf_dir):
+    return M.first_touch(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct(), "l_partkey", "l_orderkey")
+
+
+@query("m27_completeness", "WITH r AS (SELECT l_returnflag AS run, l_partkey AS k FROM lineitem), w AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 2 = 0), d AS (SELECT DISTINCT run, k FROM r) SELECT run, count(*) AS rows, count(*) - count(DISTINCT k) AS duplicates, (SELECT count(*) FROM w) - (SELECT count(*) FROM d JOIN w USING (k) WHERE d.run = r.run) AS missing, (SELECT count(*) FROM d WHERE d.run = r.run AND k NOT IN (FROM w)) AS extra FROM r GROUP BY run")
+def m27(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_partkey").alias("k"))
+    return M.completeness(r, table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k")), "run", "k")
+
+
+@query("m29_context_tracing", r"WITH t AS (SELECT item_id AS cid, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM benchmark), d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda t: t <> '') AS w FROM documents), a AS (SELECT DISTINCT cid, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT cid, w, unnest(range(1, len(w) - 2)) AS i FROM t)), b AS (SELECT DISTINCT id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM d)) SELECT cid, id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY 1, 2")
+def m29(spark, sf_dir):
+    return M.traced(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cid"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("m32_cross_document", _RUN + " SELECT qid, count(DISTINCT e.label) AS documents, count(DISTINCT gold.id) AS gold_hits, count(DISTINCT e.label) > 1 AS spans FROM run JOIN e USING (id) LEFT JOIN gold USING (qid, id) GROUP BY qid")
+def m32(spark, sf_dir):
+    _, run, gold = _run(spark, sf_dir)
+    docs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("doc_id"))
+    return M.cross_document_share(run, docs, gold).select("qid", "documents", "gold_hits", F.col("cross").alias("spans"))

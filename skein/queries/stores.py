@@ -1 +1,57 @@
-"""Queries."""
+"""Queries of scans, collections and sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.functions import text as T
+from skein.queries import query
+from skein.queries.graph import GRAPH, graph
+from skein.sources import stores as S
+from skein.sources.tables import table
+
+
+@query("s4_array_of_structs", "SELECT conv_id, turn, unnest(range(0, 2)) AS n FROM conversations")
+def s4(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("x", F.struct(F.array("role", "text").alias("title"), F.array(F.lit(0), F.lit(1)).alias("sent_id")))
+    return S.array_of_structs(c, "x", ["title", "sent_id"]).select("conv_id", "turn", F.explode("x").alias("y")).select("conv_id", "turn", F.col("y.sent_id").cast("long").alias("n"))
+
+
+@query("s6_gold_chunks", "SELECT l_orderkey AS question_id, array_to_string(list_sort(list(DISTINCT 'p' || l_partkey)), ',') AS gold FROM lineitem GROUP BY 1")
+def s6(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("title"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("chunk_id")).distinct()
+    return S.gold_chunks(li.select("question_id", "title"), li).select("question_id", F.array_join("gold_chunk_ids", ",").alias("gold"))
+
+
+@query("s8_paragraph_dedup", "SELECT p_name || p_brand AS title, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS question_ids FROM part GROUP BY p_name, p_brand")
+def s8(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_name", "p_brand", F.col("p_type").alias("question_id"))
+    d = S.deduplicated_paragraphs(p.select(F.col("p_name").alias("title"), F.col("p_brand").alias("text"), "question_id"))
+    return d.select(F.concat("title", "text").alias("title"), F.array_join("question_ids", ",").alias("question_ids"))
+
+
+@query("s9_relation_collection", f"WITH {GRAPH} SELECT 'rel_' || lpad(CAST(row_number() OVER (ORDER BY ord, src, dst) - 1 AS VARCHAR), 5, '0') AS rel_id, src AS source_entity, dst AS target_entity, types[1] AS rel_type, n::INT AS weight FROM edges")
+def s9(spark, sf_dir):
+    return S.relation_collection(graph(spark, sf_dir)[2]).select("rel_id", "source_entity", "target_entity", "rel_type", "weight")
+
+
+@query("s10_fetch_with_fallback", "SELECT o_custkey AS id, min(o_orderkey) AS ord, CASE WHEN o_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS text FROM orders WHERE o_custkey % 3 <> 2 GROUP BY o_custkey")
+def s10(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return S.fetch(ids, c.where("id % 3 = 0").withColumn("text", F.lit("a")), c.where("id % 3 <> 2").withColumn("text", F.lit("b")))
+
+
+@query("s_pagination", "SELECT doc_id, source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
+def paged(spark, sf_dir):
+    return S.page(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 3, 50).select("doc_id", "source")
+
+
+@query("s_store_ids", "SELECT page_id, CASE WHEN length(s) <= 64 THEN s ELSE left(s, 55) || '_' || left(sha1(url), 8) END AS id FROM (SELECT page_id, url, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS s FROM pages)")
+def ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.store_id(F.col("url")).alias("id"))
+
+
+@query("s_stratified_sample")
+def sample(spark, sf_dir):
+    return S.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 40, "fr": 10})
