@@ -17,8 +17,8 @@ from skein.llm.common import WORD, stored, table
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores at 0.3 or more."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, machine, docs.columns).where(F.col("score") >= quality.THRESHOLD)
-    return kept.drop("score")
+    kept = quality.score(docs, machine, docs.columns, "_quality").where(F.col("_quality") >= quality.THRESHOLD)
+    return kept.drop("_quality")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

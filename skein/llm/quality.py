@@ -143,8 +143,8 @@ def with_length(df: DataFrame) -> DataFrame:
     return df.withColumn("_stated", F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long"))
 
 
-def score(df: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """These columns of df and score, 0 to 1."""
+def score(df: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
+    """These columns of df and a score, 0 to 1, under a name that isn't among them."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
     fields = [*keep, "text", "_stated"] if "text" not in keep else [*keep, "_stated"]
     df = with_length(df).select(*fields)
@@ -160,9 +160,9 @@ def score(df: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 w, s = featurise(t or "", n)
                 rows.append(m.features(w, np.array(s)))
             out.append(m.score(rows)[0])
-        return pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in keep), pa.array(np.concatenate(out), pa.float64())], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in keep), pa.array(np.concatenate(out), pa.float64())], [*keep, name])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
     return map_batches(df, fields, run, schema)
 
 

@@ -139,12 +139,10 @@ def scan(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = None,
 
 def redacted(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = None, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The rows with every found span replaced, overlapping spans as one; findings come from the ledger and this run's scan of unseen blobs. Other columns and texts stay as they are."""
-    if "blob" in df.columns or "findings" in df.columns:
-        raise ValueError("columns blob and findings would be ambiguous")
     version = rules.version
     _, book = scan(df, rules, ledger, path_col=text_col, text_col=text_col)
-    known = book.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings")
-    found = df.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(known, "blob", "left").select(*(F.col(f"`{c}`") for c in df.columns), "findings")
+    known = book.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias("_skein_blob"), F.col("findings").alias("_skein_findings"))
+    found = df.withColumn("_skein_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(known, "_skein_blob", "left").select(*(F.col(f"`{c}`") for c in df.columns), "_skein_findings")
     names = df.columns
     text = names.index(text_col)
 
