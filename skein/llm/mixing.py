@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, table
+from skein.llm.common import WORD, stored, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  #: times its size that a source may be taken
 RANGE = 4096  #: rows of a key range
+FEW = 100_000  #: sources up to which their targets are broadcast
 
 
 def word_count(text: str) -> Column:
@@ -57,8 +58,12 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), size.alias("size"), _source(source_col).alias("source_key"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("key"))
     plan = targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, most)
+    plan = stored(plan, "targets")
+    # a row for each source: sent to all tasks if there are few, which is counted
+    plan = F.broadcast(plan) if plan.count() <= FEW else plan
     ranges = F.ceil(F.col("rows") / RANGE).cast("long")
     dealt = rows.join(plan, "source_key").withColumn("range", F.shiftright(F.shiftright("key", 30) * ranges, 30))
+    dealt = dealt.repartition("source_key", "range")  # not by the source alone, which may hold a third of all rows
     before = Window.partitionBy("source_key", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     narrow = rows.select("source_key", "size", "key").join(plan.select("source_key", "rows"), "source_key").withColumn("range", F.shiftright(F.shiftright("key", 30) * ranges, 30))
