@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("text", "graph", "search", "retrieval", "resolution", "evaluation", "serialization", "stores")
+MODULES = ("text", "graph", "search", "retrieval", "resolution", "evaluation", "serialization", "stores", "incremental")
 _found: dict[str, tuple[Callable, str | None]] = {}
 
 
