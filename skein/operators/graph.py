@@ -251,6 +251,11 @@ def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: i
     return pairs.select("pair_id").join(hit, "pair_id", "left").select("pair_id", F.coalesce("connected", F.lit(False)).alias("connected"))
 
 
+def _gram(k: int):
+    """From a place on, k words of column w; one argument, as a second would be the index."""
+    return lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")
+
+
 def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, names: pairs of documents in whose texts a node's name stands as a whole phrase, for names found in few enough documents to pair.
 
@@ -262,7 +267,7 @@ def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     t = docs.select(F.col("doc_id").cast("string").alias("doc_id"), terms(F.col("text")).alias("w"))
     grams = None
     for k in range(1, 5):
-        g = t.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i, k=k: F.array_join(F.slice("w", i, k), " ")))).alias("phrase"))
+        g = t.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), _gram(k)))).alias("phrase"))
         grams = g if grams is None else grams.unionByName(g)
     found = grams.join(keys, "phrase").select("name", "doc_id").distinct()
     pairs = found.alias("x").join(found.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id")))
