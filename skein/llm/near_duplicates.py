@@ -5,13 +5,16 @@ A class has TREES sorted signature orders; in each, a region is the run of
 classes whose longest common prefix is at least a depth, and a region's classes
 are candidates of each other. Regions are tied together by stars around their
 least class, so no pairs are emitted, and connected regions form a candidate
-group. Depth adapts to the region: groups too large for one task are cut
-anew at the next depth until they fit. In a group all intersections of the full
-sets are counted exactly and links confirmed.
+group. In a group all intersections of the full sets are counted exactly and
+links confirmed.
 
-At the first depth (5 of 125 values) a pair at similarity 0.85 shares no region
-with probability (1 - 0.85^5)^25 < 1e-6. Only groups over MOST classes or
-WEIGHT shingles ever see the deeper ones.
+A group over MOST classes or WEIGHT shingles is confirmed as a whole or region by
+region, whichever makes fewer copies of its classes; what is still too large goes
+to tasks as pairs of blocks, every block with every other one whose set sizes
+allow a link. So no two classes of a region go uncompared, however large it is.
+
+A pair at similarity 0.85 shares no region of depth 5 (of 125 values) with
+probability (1 - 0.85^5)^25 < 1e-6.
 
 Words are runs outside space and U+0009 to U+000D, A-Z in lower case. With fewer
 words than a shingle's the whole sequence is the one shingle. Empty and null
@@ -27,15 +30,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import lower_words, map_batches, stored, table
 
 TREES = 25
-DEPTHS = (5, 8, 12, 16)
-MOST, WEIGHT = 4096, 8_000_000  #: classes and shingles of a group that one task confirms
-SIGNATURE = TREES * DEPTHS[0]
+DEPTH = 5
+MOST, WEIGHT = 4096, 8_000_000  #: classes and shingles that one task confirms
+SIGNATURE = TREES * DEPTH
 CACHE = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _rng = np.random.default_rng(11)
@@ -85,7 +88,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
     """A hash for each tree of the first `depth` values in the tree's order, which starts at its own values and goes on round."""
     out = np.arange(TREES, dtype=np.uint64)
-    at = np.arange(TREES) * DEPTHS[0]
+    at = np.arange(TREES) * DEPTH
     with np.errstate(over="ignore"):
         for k in range(depth):
             out = _mix(out * _A + sig[(at + k) % SIGNATURE])
@@ -117,7 +120,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, width: int, carry: bool =
             s = shingles(text or "", width)
             n.append(len(s))
             key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            forest.append(prefixes(signature(s), DEPTHS[0]) if len(s) else np.zeros(0, np.uint64))
+            forest.append(prefixes(signature(s), DEPTH) if len(s) else np.zeros(0, np.uint64))
             packed.append(None if text is None else press.compress(text.encode()))
         more = {"carry": batch.column(2)} if others else {}
         return pa.RecordBatch.from_pydict({"id": batch.column(0), "row": pa.array(np.arange(first, first + len(n)), pa.int64()), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "forest": _longs(forest), "packed": pa.array(packed, pa.binary()), **more})
@@ -249,39 +252,60 @@ def texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(likely, "cls")
 
 
-def candidate_groups(classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(cls, part): candidate groups that fit a task; a class may be in several parts. classes: cls, n, forest; rows: prepared."""
-    out, left, found = None, classes.select("cls", "n"), classes.select("cls", F.explode("forest").alias("prefix"))
-    for level, depth in enumerate(DEPTHS):
-        if level:
-
-            def deeper(batch: pa.RecordBatch, depth=depth) -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"cls": batch.column(0), "forest": _longs([prefixes(signature(_unpack(p, width)), depth) for p in batch.column(1).to_pylist()])})
-
-            found = map_batches(texts_of(rows, left.select("cls")), ["cls", "packed"], deeper, "cls bigint, forest array<bigint>").select("cls", F.explode("forest").alias("prefix"))
-        groups = components(stars(found)).select(F.col("node").alias("cls"), F.col("label").alias("part"))
-        groups = stored(groups.join(left, "cls"), "groups")
-        sizes = groups.groupBy("part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-        large = sizes.where((F.col("m") > MOST) | ((F.col("m") > 64) & (F.col("w") > WEIGHT))).select("part")
-        fits = groups.join(large, "part", "left_anti").select("cls", F.concat_ws(":", F.lit(level), "part").alias("part"))
-        out = fits if out is None else out.unionByName(fits)
-        if not large.limit(1).count():
-            return out
-        rest = groups.join(large, "part").select("cls", "part", "n")
-        left = stored(rest.select("cls", "n"), "dense")
-    # alike to the last depth: parts in the order of the class, each with the group's least class as a common hub
-    rest = rest.join(sizes, "part")
-    cut = F.ceil(F.greatest(F.col("m") / MOST, F.col("w") / WEIGHT)).cast("int")
-    hub = rest.select(F.col("part").alias("cls"), "part", F.explode(F.sequence(F.lit(0), cut - 1)).alias("slice")).distinct()
-    dealt = rest.select("cls", "part", F.pmod(F.xxhash64("cls"), cut).cast("int").alias("slice"))
-    return out.unionByName(dealt.unionByName(hub).distinct().select("cls", F.concat_ws(":", F.lit("last"), "part", "slice").alias("part")))
+def _copies() -> Column:
+    """Of m classes with w shingles: about the number of tasks that each class goes to."""
+    fits = (F.col("m") <= MOST) & ((F.col("m") <= 64) | (F.col("w") <= WEIGHT))
+    return F.when(fits, 1).otherwise(1 + F.ceil(2 * F.greatest(F.col("m") / MOST, F.col("w") / WEIGHT)))
+
+
+def _sized(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+
+
+def paired_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, part): parts that fit a task in which any two classes of a unit meet whose sizes allow a link. members: unit, cls, n.
+
+    Sizes of linked sets differ by the factor den / num at most, so a set's links are in its band of sizes and the next ones.
+    """
+    wide = float(np.log(den / num)) * (1 + 1e-6) if num < den else 1e-9  # a little wider: logarithms are rounded
+    banded = members.withColumn("band", F.floor(F.log("n") / F.lit(wide)))
+    cut = _sized(banded, "unit", "band").select("unit", "band", F.ceil(2 * F.greatest(F.col("m") / MOST, F.col("w") / WEIGHT)).alias("cut"))
+    blocks = cut.select("unit", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("slice"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    later = (F.col("x.band") + 1 == F.col("y.band")) | ((F.col("x.band") == F.col("y.band")) & (F.col("x.slice") <= F.col("y.slice")))
+    name = F.concat_ws(":", "x.unit", "x.band", "x.slice", "y.band", "y.slice")
+    pairs = x.join(y, (F.col("x.unit") == F.col("y.unit")) & later).select(F.col("x.unit").alias("unit"), name.alias("part"), F.explode(F.array_distinct(F.array(F.struct("x.band", "x.slice"), F.struct("y.band", "y.slice")))).alias("b"))
+    pairs = pairs.select("unit", "part", F.col("b.band").alias("band"), F.col("b.slice").alias("slice"))
+    dealt = banded.join(cut, ["unit", "band"]).select("unit", "band", F.pmod(F.xxhash64("cls"), "cut").alias("slice"), "cls")
+    return dealt.join(pairs, ["unit", "band", "slice"]).select("cls", "part")
+
+
+def candidate_groups(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, part): parts that fit a task, in which the classes of every region meet; a class may be in several. classes: cls, n, forest."""
+    found = classes.select("cls", F.explode("forest").alias("prefix"))
+    groups = components(stars(found)).select(F.col("node").alias("cls"), F.col("label").alias("part"))
+    groups = stored(groups.join(classes.select("cls", "n"), "cls"), "groups")
+    sizes = _sized(groups, "part").withColumn("copies", _copies())
+    large = sizes.where("copies > 1")
+    fits = groups.join(large, "part", "left_anti").select("cls", F.concat_ws(":", F.lit("group"), "part").alias("part"))
+    if not large.limit(1).count():
+        return fits
+    large = stored(large, "large")
+    regions = stored(groups.join(large.select("part"), "part").join(found, "cls").select("part", "prefix", "cls", "n"), "regions")
+    shared = stored(_sized(regions, "part", "prefix").where("m > 1").withColumn("copies", _copies()), "shared")
+    apart = shared.groupBy("part").agg(F.sum(F.col("m") * F.col("copies")).alias("apart")).join(large, "part").where(F.col("apart") < F.col("m") * F.col("copies")).select("part")
+    apart = stored(apart, "apart")
+    whole = groups.join(large.join(apart, "part", "left_anti").select("part"), "part").select(F.concat_ws(":", F.lit("whole"), "part").alias("unit"), "cls", "n")
+    own = regions.join(apart, "part").join(shared.select("part", "prefix", "copies"), ["part", "prefix"])
+    own = own.select(F.concat_ws(":", F.lit("region"), "part", "prefix").alias("unit"), "cls", "n", "copies")
+    return fits.unionByName(own.where("copies = 1").select("cls", F.col("unit").alias("part"))).unionByName(paired_blocks(whole.unionByName(own.where("copies > 1").drop("copies")), num, den))
 
 
 def _linked(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """id, row, n, component_id and first (the least row that has its component's id) of each prepared row."""
     # sets of one key are equal, and so are their sizes and forests
     classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("cls"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("forest").alias("forest")), "classes")
-    members = texts_of(rows, stored(candidate_groups(classes, rows, width), "parts"))
+    members = texts_of(rows, stored(candidate_groups(classes, num, den), "parts"))
     links = members.groupBy("part").applyInArrow(lambda t: confirm_group(t, width, num, den), "cls bigint, root bigint").where("root < cls")
     roots = components(links.select(F.col("root").alias("a"), F.col("cls").alias("b")).distinct())
     named = classes.select("key", "cls", "least").join(roots.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
