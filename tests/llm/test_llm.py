@@ -118,6 +118,23 @@ def test_context_tree_is_a_distribution(spark, docs, empty):
     assert context_tree.score(empty, F.lit(True)).count() == 0
 
 
+def test_context_tree_keeps_rare_contexts(spark):
+    """What few texts hold is in the model of a corpus of any size; the buckets' scores are those of one tree."""
+    rng = random.Random(8)
+    passage = "zorb quilfax wendigo marzipan oblique yttrium klezmer"
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=1500)) + f" {passage}" * (k in (3, 77, 500))) for k in range(900)] + [(900, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in context_tree.score(df, F.col("doc_id") < 900).where("doc_id >= 890").collect()}
+    assert got[900]["bits_per_byte"] < 5.5
+    small = {r["doc_id"]: r["score"] for r in context_tree.score(df.where("doc_id < 30 or doc_id = 900"), F.col("doc_id") < 30).collect()}
+    texts = [t.encode() + b"\n" for k, t in rows if k < 30]
+    key, n = np.unique(context_tree.grams(texts), return_counts=True)
+    model = context_tree.build(context_tree.kept_levels(key, n, 0, context_tree.DEPTH, context_tree.LEAST))
+    for k in (3, 29, 900):
+        assert small[k] == pytest.approx(model.score(context_tree.grams([rows[k][1].encode() + b"\n"])).sum(), abs=1e-2)
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
