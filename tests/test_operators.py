@@ -114,6 +114,25 @@ def test_resolution(spark):
     assert log == [{"step": 0, "survivor": "A", "loser": "B"}]
 
 
+def test_similar_pairs_loses_none(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(150):  # pairs just over and just under the threshold
+        x, y = rng.normal(size=(2, 24))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        c = 0.921 if k % 2 else 0.919
+        rows += [(f"a{k}", (3 * x).tolist()), (f"b{k}", (c * x + np.sqrt(1 - c * c) * y).tolist())]
+    rows += [("zero", [0.0] * 24), ("none", None), ("short", [1.0])]
+    got = {(r["node_a"], r["node_b"]): r["cosine"] for r in E.similar_pairs(spark.createDataFrame(rows, "name string, vec array<double>"), 0.92).collect()}
+    assert set(got) == {(f"a{k}", f"b{k}") for k in range(1, 150, 2)} and all(abs(c - 0.921) < 1e-9 for c in got.values())
+    few = {(r["node_a"], r["node_b"]) for r in E.similar_pairs(spark.createDataFrame(rows, "name string, vec array<double>"), 0.92, block=20).collect()}
+    assert few == set(got)
+
+
 def test_metrics(spark):
     q = spark.createDataFrame([(1,), (2,)], "qid int")
     gold = spark.createDataFrame([(1, "c"), (1, "z")], "qid int, id string")
