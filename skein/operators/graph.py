@@ -256,20 +256,26 @@ def _gram(k: int):
     return lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")
 
 
+def phrases_in(texts: DataFrame, id_col: str, phrases: DataFrame) -> DataFrame:
+    """id, phrase: the texts' (id, w: array of words) distinct word n-grams of every length that a phrase (phrase: words parted by single spaces) has."""
+    lengths = sorted(r["k"] for r in phrases.where("phrase <> ''").select(F.size(F.split("phrase", " ")).alias("k")).distinct().collect())
+    grams = texts.select(id_col, F.lit("").alias("phrase")).limit(0)
+    for k in lengths:
+        g = texts.where(F.size("w") >= k).select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), _gram(k)))).alias("phrase"))
+        grams = grams.unionByName(g)
+    return grams
+
+
 def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, names: pairs of documents in whose texts a node's name stands as a whole phrase, for names found in few enough documents to pair.
 
-    Names are looked up by their words: a text's word n-grams join the names' keys, so no name meets every text.
+    Names of any length are looked up by their words: a text's word n-grams join the names' keys, so no name meets every text.
     """
     from skein.functions.text import terms
 
-    keys = nodes.select("name", F.array_join(terms(F.col("name")), " ").alias("phrase"), F.size(terms(F.col("name"))).alias("k")).where("k between 1 and 4")
+    keys = nodes.select("name", F.array_join(terms(F.col("name")), " ").alias("phrase"), F.size(terms(F.col("name"))).alias("k")).where("k > 0").drop("k")
     t = docs.select(F.col("doc_id").cast("string").alias("doc_id"), terms(F.col("text")).alias("w"))
-    grams = None
-    for k in range(1, 5):
-        g = t.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), _gram(k)))).alias("phrase"))
-        grams = g if grams is None else grams.unionByName(g)
-    found = grams.join(keys, "phrase").select("name", "doc_id").distinct()
+    found = phrases_in(t, "doc_id", keys).join(keys, "phrase").select("name", "doc_id").distinct()
     pairs = found.alias("x").join(found.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     return pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("names"))
 

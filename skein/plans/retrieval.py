@@ -147,22 +147,12 @@ def verbalise(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
 
 
-def _gram(k: int):
-    """From a place on, k words of column w; one argument, as a second would be the index."""
-    return lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")
-
-
 def expansion(questions: DataFrame, titles: DataFrame, seeds: DataFrame, least: int = 4) -> DataFrame:
-    """(qid, id): seed chunks, chunks whose base title stands in the question, and chunks whose title a seed's entity names. titles: id, title; seeds: qid, id, names (array). Titles meet questions by word n-grams, not by pairs."""
+    """(qid, id): seed chunks, chunks whose base title stands in the question, and chunks whose title a seed's entity names. titles: id, title; seeds: qid, id, names (array). Titles of any length meet questions by word n-grams, not by pairs."""
     from skein.functions.text import terms
 
     keyed = titles.select("id", F.array_join(terms(base_title(F.col("title"))), " ").alias("phrase"), norm(F.col("title")).alias("full"), norm(base_title(F.col("title"))).alias("base")).where(F.length("phrase") >= least)
-    words = questions.select("qid", terms(F.col("text")).alias("w"))
-    grams = None
-    for k in range(1, 7):
-        g = words.where(F.size("w") >= k).select("qid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), _gram(k)))).alias("phrase"))
-        grams = g if grams is None else grams.unionByName(g)
-    by_title = grams.join(keyed, "phrase").select("qid", "id")
+    by_title = G.phrases_in(questions.select("qid", terms(F.col("text")).alias("w")), "qid", keyed.select("phrase")).join(keyed, "phrase").select("qid", "id")
     named = seeds.select("qid", F.explode("names").alias("n")).select("qid", norm(F.col("n")).alias("n"))
     by_name = named.join(keyed, (F.col("n") == F.col("full"))).select("qid", "id").unionByName(named.join(keyed, F.col("n") == F.col("base")).select("qid", "id"))
     return seeds.select("qid", "id").unionByName(by_title).unionByName(by_name).distinct()
