@@ -1,7 +1,7 @@
 """Near-duplicates with an LSH forest over MinHash signatures.
 
 Texts with equal shingle sets form a class, so exact copies cost one row each.
-A class has TREES sorted signature orders; in each, a region is the run of
+A class has TREES or more sorted signature orders; in each, a region is the run of
 classes whose longest common prefix is at least a depth, and a region's classes
 are candidates of each other. Regions are tied together by stars around their
 least class, so no pairs are emitted, and connected regions form a candidate
@@ -13,8 +13,8 @@ region, whichever makes fewer copies of its classes; what is still too large goe
 to tasks as pairs of blocks, every block with every other one whose set sizes
 allow a link. So no two classes of a region go uncompared, however large it is.
 
-A pair at similarity 0.85 shares no region of depth 5 (of 125 values) with
-probability (1 - 0.85^5)^25 < 1e-6.
+A pair at the threshold t shares no region of depth 5 with probability
+(1 - t^5)^trees; the trees are as many as keep it under MISS (25 at 0.85, 35 at 0.80).
 
 Words are runs outside space and U+0009 to U+000D, A-Z in lower case. With fewer
 words than a shingle's the whole sequence is the one shingle. Empty and null
@@ -25,6 +25,7 @@ class; a component's id is its least id, nulls last.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,24 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import lower_words, map_batches, stored, table
 
-TREES = 25
+TREES, MISS = 25, 1e-6  #: trees at least, and the probability that a pair at the threshold is no candidate
 DEPTH = 5
 MOST, WEIGHT = 4096, 8_000_000  #: classes and shingles that one task confirms
-SIGNATURE = TREES * DEPTH
 CACHE = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_rng = np.random.default_rng(11)
-_MULTIPLY = (_rng.integers(0, 2**31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_ADD = _rng.integers(0, 2**32, SIGNATURE, dtype=np.uint32)[:, None]
+
+
+def trees_for(num: int, den: int) -> int:
+    """The trees that a threshold of num / den takes."""
+    share = (num / den) ** DEPTH
+    return TREES if share >= 1 else max(TREES, int(np.log(MISS) / np.log1p(-share)) + 1)
+
+
+@cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    multiply = (rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+    return multiply, rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
 
 
 class _Words(dict):
@@ -78,20 +88,22 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, trees: int) -> np.ndarray:
     """The least value of each permutation of 32-bit hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
+    multiply, add = _permutations(trees * DEPTH)
     with np.errstate(over="ignore"):
-        return np.min([(_MULTIPLY * x[k : k + 1024] + _ADD).min(1) for k in range(0, len(x), 1024)], axis=0)
+        return np.min([(multiply * x[k : k + 1024] + add).min(1) for k in range(0, len(x), 1024)], axis=0)
 
 
 def prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
     """A hash for each tree of the first `depth` values in the tree's order, which starts at its own values and goes on round."""
-    out = np.arange(TREES, dtype=np.uint64)
-    at = np.arange(TREES) * DEPTH
+    trees = len(sig) // DEPTH
+    out = np.arange(trees, dtype=np.uint64)
+    at = np.arange(trees) * DEPTH
     with np.errstate(over="ignore"):
         for k in range(depth):
-            out = _mix(out * _A + sig[(at + k) % SIGNATURE])
+            out = _mix(out * _A + sig[(at + k) % len(sig)])
     return out
 
 
@@ -101,7 +113,7 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def prepare(df: DataFrame, id_col: str, text_col: str, width: int, carry: bool = False) -> DataFrame:
+def prepare(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, carry: bool = False) -> DataFrame:
     """id, row (a number of its own for each row), n (set size), key (of the set), forest (a prefix for each tree) and the compressed text; if asked for, carry: all of df but the text."""
     kind = df.schema[id_col].dataType.simpleString()
     others = [c for c in df.columns if c != text_col] if carry else []
@@ -120,7 +132,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, width: int, carry: bool =
             s = shingles(text or "", width)
             n.append(len(s))
             key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            forest.append(prefixes(signature(s), DEPTH) if len(s) else np.zeros(0, np.uint64))
+            forest.append(prefixes(signature(s, trees), DEPTH) if len(s) else np.zeros(0, np.uint64))
             packed.append(None if text is None else press.compress(text.encode()))
         more = {"carry": batch.column(2)} if others else {}
         return pa.RecordBatch.from_pydict({"id": batch.column(0), "row": pa.array(np.arange(first, first + len(n)), pa.int64()), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "forest": _longs(forest), "packed": pa.array(packed, pa.binary()), **more})
@@ -321,13 +333,13 @@ def _linked(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id reachable over links of similarity num / den or more) and kept (the id is the component's) of each row."""
-    out = _linked(stored(prepare(df, id_col, text_col, width), "shingles"), width, num, den)
+    out = _linked(stored(prepare(df, id_col, text_col, width, trees_for(num, den)), "shingles"), width, num, den)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 
 
 def deduplicated(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, one with its id, and all rows without shingles; the columns of df."""
-    rows = stored(prepare(df, id_col, text_col, width, carry=True), "shingles")
+    rows = stored(prepare(df, id_col, text_col, width, trees_for(num, den), carry=True), "shingles")
     kept = _linked(rows, width, num, den).where((F.col("row") == F.col("first")) | (F.col("n") == 0)).select("row").hint("merge")  # most rows: not to be broadcast
     rows = rows.select("row", "carry", "packed").join(kept, "row", "left_semi").select(*(F.col("packed").alias(c) if c == text_col else F.col(f"carry.`{c}`") for c in df.columns))
     names = df.columns
