@@ -1,11 +1,12 @@
 """Helpers that the training-data operators share.
 
-Every operator selects the columns it needs by name, so further columns of its
-input, whatever their names, never reach it.
+Every operator selects the columns it needs by name; where it returns further
+columns of its input, these travel in one struct, so no name clashes with its own.
 """
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,8 +39,10 @@ def held_out(doc_id: str | Column, folds: int, fold: int = 0) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
@@ -51,6 +54,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Say that this worker process now keeps memory for `owner`, which clear() empties; what it keeps for others is freed.
+
+    Workers outlive stages. Without this one that has served all stages of a pipeline would hold the memories of all.
+    """
+    if owner not in _held:
+        while _held:
+            _held.popitem()[1]()
+        _held[owner] = clear
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply f to Arrow batches of these columns, in place: no shuffle, memory bounded by a batch."""
 
@@ -64,5 +91,6 @@ def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch],
                     todo += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
                 elif b.num_rows and (out := f(b)) is not None:
                     yield out
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import lower_words, map_batches, stored, table
+from skein.llm.common import claim, lower_words, map_batches, stored, table
 
 TREES, MISS = 25, 1e-6  #: trees at least, and the probability that a pair at the threshold is no candidate
 DEPTH = 5
@@ -75,6 +75,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, width: int) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles."""
+    claim("near_duplicates", _words.clear)
     words = lower_words(text)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = len(h)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import held_out, map_batches, table
+from skein.llm.common import claim, held_out, map_batches, table
 from skein.llm.labelled import FOLDS, learning_rows, prior, ragged
 
 BITS = 16  #: of the word hash
@@ -51,6 +51,7 @@ _ENDS = frozenset(b for b in range(33, 127) if not chr(b).isalnum())
 
 def featurise(text: str, stated: int | None) -> tuple[np.ndarray, list[float]]:
     """(hashes of the distinct words, structure statistics)."""
+    claim("quality", _bucket.clear)
     raw = text.encode()
     words = raw.split()
     n, size = len(words), max(len(raw), 1)

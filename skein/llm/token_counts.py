@@ -5,7 +5,7 @@ symbols. In each round every sequence finds its lowest pair rank and all its
 pairs of that rank are merged at once; the symbols that survive are counted.
 A merge list orders a pair after the merges that make its parts, so no pair of
 a lower rank can arise from a merge and a round may apply all pairs together;
-load() checks that order.
+Counter checks that order.
 
 Nulls and empty texts count 0 tokens. Special strings inside texts count as one token.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.byte_bpe import chunked
-from skein.llm.common import map_batches, table
+from skein.llm.common import claim, map_batches, table
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -154,10 +154,16 @@ class Counter(dict):
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, cache: int = CACHE) -> Counter:
+def _counter(path: str, cache: int) -> Counter:
     return Counter(path, cache)
 
 
+def counter(path: str, cache: int = CACHE) -> Counter:
+    """The worker's counter of a vocabulary."""
+    claim("token_counts", _counter.cache_clear)
+    return _counter(path, cache)
+
+
 def count_tokens(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (more than limit tokens) of each row."""
     kind = df.schema[id_col].dataType.simpleString()
