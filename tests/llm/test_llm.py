@@ -95,46 +95,6 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, mixing.word_count("text")).count() == 13 and mixing.mix(empty, mixing.word_count("text")).count() == 0
 
 
-def test_context_tree_is_a_distribution(spark, docs, empty):
-    text = b"the cat sat on the mat\n" * 30
-    key, n = np.unique(context_tree.grams([text]), return_counts=True)
-    levels = []
-    for d in range(context_tree.DEPTH, -1, -1):
-        own, back = np.unique(key & context_tree.mask(d + 1), return_inverse=True)
-        n, key = np.bincount(back, n, len(own)).astype(np.int64), own
-        levels.append((key, n))
-    model = context_tree.build(levels[::-1])
-    for context in (b"e cat", b"zzzzz", b"n the", b"\n\n\n\n\n"):
-        k = int.from_bytes(context, "big") << 8 | np.arange(256)
-        assert (10 ** model.score(k)).sum() == pytest.approx(1, abs=1e-4)
-    got = context_tree.score(docs, F.col("doc_id").isNull() | (F.col("doc_id") != 5), hot=2).collect()
-    assert len(got) == 13 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    train = [w for k, t in [*enumerate(TEXTS), (12, "no id here at all")] if k != 5 for w in (t or "").lower().encode().split() + [b"\n"]]
-    for r in got:
-        if r["doc_id"] is not None:
-            own = (TEXTS[r["doc_id"]] or "").lower().encode().split() + [b"\n"]
-            z = len(train) + len(set(train)) + 1
-            assert r["train_tokens"] == len(train) and r["base_score"] == pytest.approx(sum(np.log10((train.count(w) + 1) / z) for w in own)) and r["n_known"] == sum(w in train for w in own)
-    assert context_tree.score(empty, F.lit(True)).count() == 0
-
-
-def test_context_tree_keeps_rare_contexts(spark):
-    """What few texts hold is in the model of a corpus of any size; the buckets' scores are those of one tree."""
-    rng = random.Random(8)
-    passage = "zorb quilfax wendigo marzipan oblique yttrium klezmer"
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
-    rows = [(k, " ".join(rng.choices(words, k=1500)) + f" {passage}" * (k in (3, 77, 500))) for k in range(900)] + [(900, passage)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r for r in context_tree.score(df, F.col("doc_id") < 900).where("doc_id >= 890").collect()}
-    assert got[900]["bits_per_byte"] < 5.5
-    small = {r["doc_id"]: r["score"] for r in context_tree.score(df.where("doc_id < 30 or doc_id = 900"), F.col("doc_id") < 30).collect()}
-    texts = [t.encode() + b"\n" for k, t in rows if k < 30]
-    key, n = np.unique(context_tree.grams(texts), return_counts=True)
-    model = context_tree.build(context_tree.kept_levels(key, n, 0, context_tree.DEPTH, context_tree.LEAST))
-    for k in (3, 29, 900):
-        assert small[k] == pytest.approx(model.score(context_tree.grams([rows[k][1].encode() + b"\n"])).sum(), abs=1e-2)
-
-
 def labelled(spark, n=400):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
