@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed by the contracts: a word is a run of characters outside these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +79,7 @@ def release() -> None:
         pass
 
 
-def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply f to Arrow batches of these columns, in place: no shuffle, memory bounded by a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import held_out
@@ -14,11 +14,11 @@ LEARN_ROWS = 20_000
 FOLDS = 5
 
 
-def learning_rows(df: DataFrame, labels: DataFrame, label: str, columns: list[str], id_col: str = "doc_id", most: int = LEARN_ROWS) -> DataFrame:
-    """The columns, key (a number that orders the rows) and y of labelled rows outside the held-out fold. The sample's ids are broadcast: at most `most` rows."""
-    mine = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
-    sample = mine.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return df.join(F.broadcast(sample), df[id_col] == sample["_id"]).select(*columns, F.xxhash64("_id").alias("key"), "y")
+def learning_rows(df: DataFrame, labels: DataFrame, label: str, *columns: Column, id_col: str = "doc_id", most: int = LEARN_ROWS) -> DataFrame:
+    """made (a struct of these columns), key (a number that orders the rows) and y of labelled rows outside the held-out fold. The sample's ids are broadcast: at most `most` rows."""
+    mine = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    sample = mine.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    return df.select(F.col(id_col).alias("id"), F.struct(*columns).alias("made")).join(F.broadcast(sample), "id").select("made", F.xxhash64("id").alias("key"), "y")
 
 
 def ragged(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:

@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """All rows of df with size, source_size, target and taken in a struct column `mix`."""
+    """row (a struct of the columns of df) and mix (of size, source_size, target and taken) of all rows of df."""
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), size.alias("size"), _source(source_col).alias("source_key"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("key"))
     plan = targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, most)
@@ -73,12 +73,13 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     epochs = F.coalesce(F.floor(budget / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     left = budget - epochs * F.col("source_size") - F.col("offset") - F.col("within")
     taken = (epochs * F.col("size") + F.least(F.greatest(left, F.lit(0)), F.col("size"))).cast("long")
-    return out.select("row.*", F.struct("size", "source_size", "target", taken.alias("taken")).alias("mix"))
+    return out.select("row", F.struct("size", "source_size", "target", taken.alias("taken")).alias("mix"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs, F.col("size")).select("doc_id", "source", "mix.*")
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", "source", word_count("text").alias("size"))
+    return mix(sizes, F.col("size")).select("row.doc_id", "row.source", "mix.*")
 
 
 OP1_SQL = r"""

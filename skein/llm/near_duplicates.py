@@ -352,7 +352,7 @@ def deduplicated(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, i
         cols[text] = pa.array([None if p is None else read.decompress(p).decode() for p in cols[text].to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return map_batches(rows, df.columns, restore, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns))
+    return map_batches(rows, df.columns, restore, df.schema)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skein.llm.common import claim, held_out, map_batches, table
 from skein.llm.labelled import FOLDS, learning_rows, prior, ragged
@@ -127,44 +128,41 @@ def learn(words: list[np.ndarray], stats: np.ndarray, y: np.ndarray, steps: int
 
 def train(df: DataFrame, labels: DataFrame, label: str = "quality") -> Machine:
     """A machine learned from the bounded sample; its features are made on the executors."""
-    df = with_length(df)
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [featurise(t or "", n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.int32) for w, _ in made], pa.list_(pa.int32())), "s": pa.array([s for _, s in made], pa.list_(pa.float64())), "key": batch.column(2), "y": batch.column(3)})
+        made = [featurise(t or "", n) for t, n in zip(*(batch.column(0).field(k).to_pylist() for k in (0, 1)), strict=True)]
+        return pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.int32) for w, _ in made], pa.list_(pa.int32())), "s": pa.array([s for _, s in made], pa.list_(pa.float64())), "key": batch.column(1), "y": batch.column(2)})
 
-    got = map_batches(learning_rows(df, labels, label, ["text", "_stated"]), ["text", "_stated", "key", "y"], run, "w array<int>, s array<double>, key bigint, y int").toArrow()
+    got = map_batches(learning_rows(df, labels, label, F.col("text"), stated(df)), ["made", "key", "y"], run, "w array<int>, s array<double>, key bigint, y int").toArrow()
     order = np.lexsort((got["w"].combine_chunks().value_lengths().to_numpy(), got["key"].to_numpy()))  # not the cluster's
     stats = np.array(ragged(got["s"], order)).reshape(len(order), len(STATS))
     return learn(ragged(got["w"], order), stats, got["y"].to_numpy()[order].astype(np.float64))
 
 
-def with_length(df: DataFrame) -> DataFrame:
-    """The stated length under a name that clashes with none, null where the table has none."""
-    return df.withColumn("_stated", F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long"))
+def stated(df: DataFrame) -> Column:
+    """The stated length, null where the table has none."""
+    return (F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long")).alias("stated")
 
 
-def score(df: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
-    """These columns of df and a score, 0 to 1, under a name that isn't among them."""
+def score(df: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
+    """row (a struct of these columns of df) and score, 0 to 1."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    fields = [*keep, "text", "_stated"] if "text" not in keep else [*keep, "_stated"]
-    df = with_length(df).select(*fields)
-    text = fields.index("text")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    place = keep.index("text") if "text" in keep else None
+    given = df.select(kept, stated(df), *([] if "text" in keep else [F.col("text").alias("text")]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        texts, stated = batch.column(text).to_pylist(), batch.column(len(fields) - 1).to_pylist()
+        texts, lengths = (batch.column(2) if place is None else batch.column(0).field(place)).to_pylist(), batch.column(1).to_pylist()
         out = []
         for k in range(0, len(texts), 512):
             rows = []
-            for t, n in zip(texts[k : k + 512], stated[k : k + 512], strict=True):
+            for t, n in zip(texts[k : k + 512], lengths[k : k + 512], strict=True):
                 w, s = featurise(t or "", n)
                 rows.append(m.features(w, np.array(s)))
             out.append(m.score(rows)[0])
-        return pa.RecordBatch.from_arrays([*(batch.column(fields.index(c)) for c in keep), pa.array(np.concatenate(out), pa.float64())], [*keep, name])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out), pa.float64())], ["row", "score"])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
-    return map_batches(df, fields, run, schema)
+    return map_batches(given, given.columns, run, StructType([given.schema["row"], StructField("score", DoubleType())]))
 
 
 THRESHOLD = 0.3
@@ -173,4 +171,4 @@ THRESHOLD = 0.3
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", held_out("doc_id", FOLDS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out("row.doc_id", FOLDS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -141,14 +141,13 @@ def redacted(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = N
     """The rows with every found span replaced, overlapping spans as one; findings come from the ledger and this run's scan of unseen blobs. Other columns and texts stay as they are."""
     version = rules.version
     _, book = scan(df, rules, ledger, path_col=text_col, text_col=text_col)
-    known = book.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias("_skein_blob"), F.col("findings").alias("_skein_findings"))
-    found = df.withColumn("_skein_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(known, "_skein_blob", "left").select(*(F.col(f"`{c}`") for c in df.columns), "_skein_findings")
-    names = df.columns
-    text = names.index(text_col)
+    known = book.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
+    names, text = df.columns, df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = batch.columns
-        texts, spans = cols[text].to_pylist(), cols[-1].to_pylist()
+        cols = batch.column(0).flatten()
+        texts, spans = cols[text].to_pylist(), batch.column(1).to_pylist()
         for k, own in enumerate(spans):
             if own:
                 parts, at, t = [], 0, texts[k]
@@ -158,9 +157,9 @@ def redacted(df: DataFrame, rules: Rules = Rules(), ledger: DataFrame | None = N
                     at = max(at, x["end"])
                 texts[k] = "".join((*parts, t[at:]))
         cols[text] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_arrays(cols[:-1], names)
+        return pa.RecordBatch.from_arrays(cols, names)
 
-    return map_batches(found, found.columns, run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns))
+    return map_batches(rows.join(known, "blob", "left"), ["row", "findings"], run, df.schema)
 
 
 def _is(kind: str):

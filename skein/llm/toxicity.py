@@ -154,12 +154,12 @@ class Scorer(dict):
 
 def train(df: DataFrame, labels: DataFrame, label: str = "toxic", kinds=IDENTITY) -> Model:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
+        texts = [t or "" for t in batch.column(0).field(0).to_pylist()]
         terms = {t for kind in kinds for t in kind}
         own = [" ".join(sorted({_term(w) for w in set(words_of(t))} & terms)) for t in texts]
         return pa.RecordBatch.from_pydict({"f": pa.array([text_features(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), "terms": pa.array(own, pa.string()), "key": batch.column(1), "y": batch.column(2)})
 
-    got = map_batches(learning_rows(df, labels, label, ["text"]), ["text", "key", "y"], run, "f array<int>, terms string, key bigint, y int").toArrow()
+    got = map_batches(learning_rows(df, labels, label, F.col("text")), ["made", "key", "y"], run, "f array<int>, terms string, key bigint, y int").toArrow()
     order = np.lexsort((got["f"].combine_chunks().value_lengths().to_numpy(), got["key"].to_numpy()))  # not the cluster's
     return learn(ragged(got["f"], order), got["y"].to_numpy()[order].astype(np.float64), identity_pairs(sorted(got["terms"].to_pylist()), kinds))
 

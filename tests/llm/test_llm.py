@@ -82,7 +82,7 @@ def test_mixing(spark, docs, empty):
     rng = random.Random(1)
     rows = [(k, rng.choice(["a", "b", "c", None]) if k % 3 else "hot", rng.randint(0, 50)) for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    got = mixing.mix(df, F.col("size")).select("doc_id", "source", "mix.*").collect()
+    got = mixing.mix(df, F.col("size")).select("row.doc_id", "row.source", "mix.*").collect()
     sizes = {}
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
@@ -112,10 +112,10 @@ def labelled(spark, n=400):
 def test_quality(spark, docs, empty):
     df, labels = labelled(spark)
     m = quality.train(df, labels)
-    got = {r["doc_id"]: r["score"] for r in quality.score(df, m, ["doc_id"]).collect()}
+    got = {r["row"]["doc_id"]: r["score"] for r in quality.score(df, m, ["doc_id"]).collect()}
     assert np.mean([(got[k] >= 0.3) == (k % 3 != 0) for k in got]) > 0.98
-    odd = quality.score(docs, m, docs.columns, "q").collect()
-    assert len(odd) == 13 and all(0 <= r["score"] <= 1 for r in quality.score(docs.drop("score"), m, ["doc_id"]).collect())
+    odd = quality.score(docs, m, docs.columns).collect()
+    assert len(odd) == 13 and all(0 <= r["score"] <= 1 and r["row"]["score"] in (0.5, None) for r in odd)
     assert quality.score(empty, quality.train(empty, labels), ["doc_id"]).count() == 0
     # the identity gives the same as all pairs
     idx, x = m.features(*[(w, np.array(s)) for w, s in [quality.featurise("alpha beta ALPHA!!", 5)]][0])
