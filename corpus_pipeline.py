@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and is
 written as Parquet before the next one reads it. All but the last return the
-columns of documents; n_chars follows a changed text.
+columns of documents, further ones of any name included; n_chars follows a changed text.
+
+A null text counts as empty: the quality stage scores it like any other, it has no
+near copies and no secrets, and as its size is 0 the mix takes none of it. Null ids
+and sources are values like others. An empty table gives one with the same columns.
 """
 
 from __future__ import annotations
@@ -17,8 +21,7 @@ from skein.llm.common import WORD, stored, table
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores at 0.3 or more."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, machine, docs.columns, "_quality").where(F.col("_quality") >= quality.THRESHOLD)
-    return kept.drop("_quality")
+    return quality.score(docs, machine, docs.columns).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(size > 0, F.ceil(taken / size)).otherwise(0).cast("int")
     rows = mixed.where(taken > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = taken - size * (F.col("copy") - 1)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
-    text = F.when(words < size, cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.when(words < size, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    short = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    rows = rows.select("row", F.when(words < size, short).alias("cut"))  # null where the whole text stays
+    new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType))}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
