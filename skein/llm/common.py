@@ -83,15 +83,21 @@ def map_batches(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch],
     """Apply f to Arrow batches of these columns, in place: no shuffle, memory bounded by a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # halves keep the texts of one step near 8 MB however long they are
-            todo = [batch]
-            while todo:
-                b = todo.pop()
-                if b.num_rows > 1 and b.nbytes > 8_000_000:
-                    todo += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
-                elif b.num_rows and (out := f(b)) is not None:
-                    yield out
+        for batch in map_sized(batches):
+            if (out := f(batch)) is not None:
+                yield out
         release()
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def map_sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut in halves until no more than 8 MB long, or one row: the texts of one step stay near that however long they are."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and b.nbytes > 8_000_000:
+                todo += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
+            elif b.num_rows:
+                yield b
