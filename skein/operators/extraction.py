@@ -17,8 +17,10 @@ ENTITY = "struct<name:string,type:string,description:string,source_sentence:stri
 RELATION = "struct<source:string,target:string,type:string,description:string,source_sentence:string>"
 PAYLOAD = f"struct<entities:array<{ENTITY}>,relationships:array<{RELATION}>>"
 RECORD = f"chunk_id string, doc_id string, chunk_index int, text string, title string, entities array<{ENTITY}>, relationships array<{RELATION}>, _parse_error string, _corrupt_record string"
-#: Words that stand for nothing in a record.
-PLACEHOLDERS = ("entity", "entity_name", "entity_type", "name", "type", "description", "source", "target", "unknown", "none", "null", "n/a", "placeholder")
+#: Words of the prompt's examples that stand for nothing in a record, marks of these that make any text of a record worthless, and a text that is one mark.
+PLACEHOLDERS = ("entity_name", "entity_type", "entity_description", "source_entity", "target_entity", "relationship_keywords", "relationship_description")
+PLACEHOLDER_MARKS = ("<entity_name>", "<source_entity>", "<target_entity>", "<relationship_description>", "<relationship_keywords>")
+PLACEHOLDER_FORM = r"^\s*<[^>]+>\s*$"
 
 
 def parse_answer(df: DataFrame, raw_col: str) -> DataFrame:
@@ -101,16 +103,52 @@ def payload_errors(payload: Column) -> Column:
 
 
 def is_placeholder(value: Column) -> Column:
-    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return (v == "") | v.rlike(r"^<.*>$") | v.isin(*PLACEHOLDERS)
+    """Whether a text is null, blank, a single mark in angle brackets, or holds what a prompt's example says."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    out = (text == "") | text.rlike(PLACEHOLDER_FORM) | F.lower(text).isin(*PLACEHOLDERS)
+    for mark in PLACEHOLDER_MARKS:
+        out = out | text.contains(mark)
+    return out
+
+
+def _genuine(df: DataFrame, *fields: str) -> Column:
+    """None of these fields, as far as the records have them, is a placeholder."""
+    out = F.lit(True)
+    for c in fields:
+        if c in df.columns:
+            out = out & ~is_placeholder(F.col(c))
+    return out
 
 
 def valid_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.where(~is_placeholder(F.col("name")) & (F.trim(F.coalesce("description", F.lit(""))) != ""))
+    """Mentions whose name, type and description all say something."""
+    return nodes.where(_genuine(nodes, "name", "type", "description"))
 
 
 def valid_edges(edges: DataFrame) -> DataFrame:
-    return edges.where(~is_placeholder(F.col("source")) & ~is_placeholder(F.col("target")) & (norm(F.col("source")) != norm(F.col("target"))))
+    """Relationships between two different names, none of whose texts is a placeholder."""
+    return edges.where(_genuine(edges, "source", "target", "type", "keywords", "description") & (F.trim("source") != F.trim("target")))
+
+
+def validation_failures(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """chunk_id and reason of the chunks with a text that yield no graph data: all their records are placeholders, or they have none."""
+
+    def per(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("chunk_id").agg(F.count(F.lit(1)).alias(name))
+
+    out = chunks.select("chunk_id", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("full"))
+    for name, df in {"raw_nodes": nodes, "raw_edges": edges, "nodes": valid_nodes(nodes), "edges": valid_edges(edges)}.items():
+        out = out.join(per(df, name), "chunk_id", "left")
+    any_raw, any_good = (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) > 0 for a, b in (("raw_nodes", "raw_edges"), ("nodes", "edges")))
+    return out.where(~any_good & (any_raw | F.col("full"))).select("chunk_id", F.when(any_raw, "only placeholders").otherwise("nothing extracted").alias("reason"))
+
+
+def require_valid(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid nodes, valid edges); raises, naming a chunk, if one yields none."""
+    bad = validation_failures(chunks, nodes, edges).orderBy("chunk_id").first()
+    if bad:
+        raise ValueError(f"chunk {bad['chunk_id']}: {bad['reason']}")
+    return valid_nodes(nodes), valid_edges(edges)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

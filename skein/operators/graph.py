@@ -280,11 +280,16 @@ def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("names"))
 
 
-def alias_diagnosis(nodes: DataFrame, suffixes: tuple[str, ...] = ("system", "model", "method", "algorithm")) -> DataFrame:
-    """alias, members, verdict of keys that several names share: JUDGMENT if a member is another one and a suffix word, else SAFE."""
-    g = nodes.groupBy(norm_alias(F.col("name")).alias("alias")).agg(F.array_sort(F.collect_set(norm(F.col("name")))).alias("members")).where(F.size("members") > 1)
+#: Words behind a name that make it another thing's name.
+QUALIFIERS = ("pipeline", "system", "model", "framework", "approach", "method", "technique", "algorithm")
+
+
+def alias_diagnosis(nodes: DataFrame, suffixes: tuple[str, ...] = QUALIFIERS) -> DataFrame:
+    """alias, members (in lower case), verdict of keys that several names share: JUDGMENT if a member holds another one with a suffix word behind it, else SAFE."""
+    g = nodes.groupBy(norm_alias(F.col("name")).alias("alias")).agg(F.array_sort(F.collect_set(F.lower("name"))).alias("members"), F.count_distinct("name").alias("n")).where("n > 1").drop("n")
     words = F.array(*(F.lit(s) for s in suffixes))
-    risky = F.exists("members", lambda m: F.exists(words, lambda s: F.array_contains("members", F.concat(m, F.lit(" "), s))))
+    phrases = F.flatten(F.transform("members", lambda m: F.transform(words, lambda s: F.concat(m, F.lit(" "), s))))
+    risky = F.exists("members", lambda m: F.exists(phrases, lambda p: m.contains(p)))
     return g.select("alias", "members", F.when(risky, "JUDGMENT").otherwise("SAFE").alias("verdict"))
 
 

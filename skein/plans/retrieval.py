@@ -14,7 +14,7 @@ from skein.operators import graph as G
 from skein.operators import search as S
 
 #: Names that are types, not entities.
-TYPE_LABELS = ("PERSON", "ORGANIZATION", "LOCATION", "TECHNOLOGY", "CONCEPT", "PRODUCT", "EVENT", "METHOD", "DATASET", "METRIC", "SYSTEM", "TOOL", "DOCUMENT", "ALGORITHM", "OTHER")
+TYPE_LABELS = ("person", "organization", "location", "event", "technology", "other", "entity", "node", "edge", "concept", "relationship", "type", "class", "object", "thing")
 
 
 def _pool(k: int) -> int:
@@ -116,7 +116,7 @@ def spliced(dense: DataFrame, fused: DataFrame, head: int, slots: int) -> DataFr
 
 def candidates(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataFrame, hops: int = 2, weight: float = 0.85, most: int = 20) -> DataFrame:
     """qid, name, score, rank of the structural plan: the best similarity of the entries that reach a node, mixed with its PageRank. The cut comes before type labels drop, so fewer may be left."""
-    entries = hits.join(nodes.select(F.col("name").alias("id")), "id", "left_semi").where(~F.upper("id").isin(*TYPE_LABELS))
+    entries = hits.join(nodes.select(F.col("name").alias("id")), "id", "left_semi").where(~norm(F.col("id")).isin(*TYPE_LABELS))
     reach = G.bfs(nodes, edges, entries.select(F.col("id").alias("seed")), hops)
     sim = entries.select("qid", F.col("id").alias("seed"), F.col("score").alias("s")).join(reach, "seed").groupBy("qid", "name").agg(F.max("s").alias("sim"))
     best = ranks.agg(F.max("rank").alias("pr_max"))
@@ -127,7 +127,7 @@ def candidates(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataF
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
     out = scored.select("qid", "name", F.round(weight * over("sim", "sim_max") + (1 - weight) * over("pr", "pr_max"), 6).alias("score"))
-    return S.top(out, most, tie="name").where(~F.upper("name").isin(*TYPE_LABELS))
+    return S.top(out, most, tie="name").where(~norm(F.col("name")).isin(*TYPE_LABELS))
 
 
 def candidate_scope(found: DataFrame, nodes: DataFrame, chunks: DataFrame, scope: str = "docs") -> DataFrame:

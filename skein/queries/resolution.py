@@ -38,10 +38,25 @@ def e2(spark, sf_dir):
     return mentions(spark, sf_dir).select("name", T.resolution_alias(F.col("name")).alias("key")).distinct()
 
 
-@query("e3_ambiguous", "SELECT page_id, page_id % 4 IN (0, 2) AS ambiguous FROM pages")
+#: All listed terms in some spelling, and labels beside them.
+_TERMS = ("Apple", " java", "PYTHON", "mercury", "Rust ", "swift", "Go", "C", "net", "Spring", "node", "edge", "Graph", "tree", "query", "table", "Index", "Graphs", "Javas", "System", "token", "graph store", "model", "")
+
+
+@query("e3_ambiguous", f"SELECT page_id, label, lower(trim(label, ' ')) IN ('apple', 'java', 'python', 'mercury', 'rust', 'swift', 'go', 'c', 'net', 'spring', 'node', 'edge', 'graph', 'tree', 'query', 'table', 'index') AS ambiguous FROM (SELECT page_id, unnest([{', '.join(f"'{t}'" for t in _TERMS)}, url]) AS label FROM pages)")
 def e3(spark, sf_dir):
-    k = F.col("page_id") % 4
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", E.is_ambiguous(F.when(k == 0, "Graphs").when(k == 1, F.col("url")).when(k == 2, "Token").otherwise("graph store")).alias("ambiguous"))
+    labels = F.array(*(F.lit(t) for t in _TERMS), F.col("url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(labels).alias("label"))
+    return pages.select("page_id", "label", E.is_ambiguous(F.col("label")).alias("ambiguous"))
+
+
+_KINDS = ("TECH", "technology", "ORG", "Organization", "PERSON", "loc", "LOCATION", "concept", " System ", "TASK", "Subject", "OTHER", "EVENT", "TOOL", "Software", "", "PRODUCT")
+
+
+@query("e4_canonical_types", rf"""SELECT s_suppkey, kind, CASE WHEN coalesce(kind, '') = '' THEN 'OTHER' ELSE CASE upper(trim(kind, ' ')) WHEN 'TECH' THEN 'TECHNOLOGY' WHEN 'ORG' THEN 'ORGANIZATION' WHEN 'LOC' THEN 'LOCATION' WHEN 'SYSTEM' THEN 'TECHNOLOGY' WHEN 'TASK' THEN 'CONCEPT' WHEN 'SUBJECT' THEN 'CONCEPT' ELSE upper(trim(kind, ' ')) END END AS canonical,
+substr(sha256(lower(s_name) || '|' || canonical), 1, 24) AS id FROM (SELECT s_suppkey, s_name, unnest([{', '.join(f"'{t}'" for t in _KINDS)}, NULL]) AS kind FROM supplier)""")
+def e4t(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", F.explode(F.array(*(F.lit(t) for t in _KINDS), F.lit(None))).alias("kind"))
+    return s.select("s_suppkey", "kind", E.canonical_type(F.col("kind")).alias("canonical"), E.entity_id(F.col("s_name"), F.col("kind")).alias("id"))
 
 
 @query("e4_entity_ids", rf"WITH {GRAPH} SELECT name, type, substr(sha256({NORM.format('name')} || '|' || type), 1, 24) AS id FROM nodes")
@@ -90,6 +105,12 @@ def e13(spark, sf_dir):
     return E.candidates(graph(spark, sf_dir)[0], _registry(spark, sf_dir), cross_doc_only=True).select("node_a", "node_b")
 
 
+@query("e13_broad_pairs", _PAIRS.replace("WHERE x.type = y.type OR x.type = 'OTHER' OR y.type = 'OTHER')", "WHERE x.type = y.type OR x.type = 'OTHER' OR y.type = 'OTHER' OR (x.type IN ('TECHNOLOGY', 'CONCEPT', 'SYSTEM') AND y.type IN ('TECHNOLOGY', 'CONCEPT', 'SYSTEM')) OR (x.type IN ('ORGANIZATION', 'PERSON') AND y.type IN ('ORGANIZATION', 'PERSON')))") + " SELECT * FROM cn")
+def e13b(spark, sf_dir):
+    """The diagnosis's own rule of types."""
+    return E.candidates(graph(spark, sf_dir)[0], _registry(spark, sf_dir), one_entity=E.broadly_compatible).select("node_a", "node_b", "signal", "classification")
+
+
 @query("e14_nodes_per_document", f"WITH {GRAPH} SELECT doc_id, count(*) AS nodes FROM (SELECT unnest(docs) AS doc_id FROM nodes) GROUP BY doc_id")
 def e14(spark, sf_dir):
     return E.nodes_per_document(graph(spark, sf_dir)[0])

@@ -221,18 +221,34 @@ def x8r(spark, sf_dir):
     return X.merge_relations(relations(spark, sf_dir).withColumn("pass", (F.col("pos") % 2).cast("int"))).select("chunk_id", "source", "target", "type", "pass")
 
 
+#: Names that are placeholders, and some that only look like one.
+_SAMPLES = ("<|entity|>", " <name> ", "entity_name", "Entity_Type", "entity_description", "source_entity", "TARGET_ENTITY", "relationship_keywords", "relationship_description", "a <source_entity> b", "x<target_entity>", "Name", "Source", "unknown", "none", "a < b > c", "  ")
+
+
 @query(
     "x11_placeholders",
-    r"""SELECT page_id, (trim(x, ' ') = '' OR regexp_matches(lower(trim(x, ' ')), '^<.*>$') OR lower(trim(x, ' ')) IN ('entity', 'none')) AS placeholder FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<|entity|>' WHEN 1 THEN url WHEN 2 THEN ' None' ELSE '' END AS x FROM pages)""",
+    rf"""WITH w AS (SELECT page_id, [{", ".join(f"'{x}'" for x in _SAMPLES)}, url, NULL] AS x FROM pages) SELECT page_id, v, (trim(coalesce(v, ''), ' ') = '' OR regexp_matches(trim(v, ' '), '^<[^>]+>$')
+OR lower(trim(v, ' ')) IN ('entity_name', 'entity_type', 'entity_description', 'source_entity', 'target_entity', 'relationship_keywords', 'relationship_description')
+OR contains(v, '<entity_name>') OR contains(v, '<source_entity>') OR contains(v, '<target_entity>') OR contains(v, '<relationship_description>') OR contains(v, '<relationship_keywords>')) AS placeholder FROM (SELECT page_id, unnest(x) AS v FROM w)""",
 )
 def x11(spark, sf_dir):
-    k = F.col("page_id") % 4
-    return table(spark, sf_dir, "pages").select("page_id", X.is_placeholder(F.when(k == 0, "<|entity|>").when(k == 1, F.col("url")).when(k == 2, " None").otherwise("")).alias("placeholder"))
+    texts = F.array(*(F.lit(x) for x in _SAMPLES), F.col("url"), F.lit(None))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(texts).alias("v")).select("page_id", "v", X.is_placeholder(F.col("v")).alias("placeholder"))
+
+
+@query(
+    "x12_valid_nodes",
+    f"WITH {KG} SELECT record_no, pos, name FROM (SELECT *, CASE pos % 7 WHEN 0 THEN ' ' WHEN 1 THEN '<entity_type>' WHEN 2 THEN 'see <entity_name>' ELSE description END AS d FROM ents) WHERE pos % 7 > 2 AND trim(name, ' ') <> ''",
+)
+def x12n(spark, sf_dir):
+    k = F.col("pos") % 7
+    rows = mentions(spark, sf_dir).withColumn("description", F.when(k == 0, " ").when(k == 1, "<entity_type>").when(k == 2, "see <entity_name>").otherwise(F.col("description")))
+    return X.valid_nodes(rows).select("record_no", "pos", "name")
 
 
 @query(
     "x12_valid_edges",
-    rf"WITH {KG} SELECT record_no, pos, source, target FROM rels WHERE {NORM.format('source')} <> {NORM.format('target')}",
+    f"WITH {KG} SELECT record_no, pos, source, target FROM rels WHERE trim(source, ' ') <> trim(target, ' ')",
 )
 def x12(spark, sf_dir):
     return X.valid_edges(relations(spark, sf_dir)).select("record_no", "pos", "source", "target")
