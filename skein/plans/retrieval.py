@@ -6,6 +6,9 @@ relationships (id: 'src|dst'). Every plan gives qid, id (a chunk), score, rank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,23 +150,42 @@ def verbalise(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
 
 
-def expansion(questions: DataFrame, titles: DataFrame, seeds: DataFrame, least: int = 4) -> DataFrame:
-    """(qid, id): seed chunks, chunks whose base title stands in the question, and chunks whose title a seed's entity names. titles: id, title; seeds: qid, id, names (array). Titles of any length meet questions by word n-grams, not by pairs."""
-    from skein.functions.text import terms
+def expansion(questions: DataFrame, titles: DataFrame, seeds: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
+    """(qid, id): seed chunks, chunks whose base title stands in the question as a whole phrase, and chunks whose title one of the names is. titles: id, title; seeds: qid, id; names: qid, name, of the seeds' entities. Titles and names under `least` characters count as full titles alone.
 
-    keyed = titles.select("id", F.array_join(terms(base_title(F.col("title"))), " ").alias("phrase"), norm(F.col("title")).alias("full"), norm(base_title(F.col("title"))).alias("base")).where(F.length("phrase") >= least)
-    by_title = G.phrases_in(questions.select("qid", terms(F.col("text")).alias("w")), "qid", keyed.select("phrase")).join(keyed, "phrase").select("qid", "id")
-    named = seeds.select("qid", F.explode("names").alias("n")).select("qid", norm(F.col("n")).alias("n"))
-    by_name = named.join(keyed, (F.col("n") == F.col("full"))).select("qid", "id").unionByName(named.join(keyed, F.col("n") == F.col("base")).select("qid", "id"))
+    Titles of any length meet questions by word n-grams, not by pairs, and the phrase decides.
+    """
+    from skein.functions.text import terms
+    from skein.plans.query_focused import whole_phrase
+
+    keyed = titles.select("id", norm(F.col("title")).alias("full"), norm(base_title(F.col("title"))).alias("base"))
+    long = keyed.where(F.length("base") >= least).withColumn("phrase", F.array_join(terms(F.col("base")), " "))
+    asked = questions.select("qid", terms(F.col("text")).alias("w"), norm(F.col("text")).alias("q"))
+    near = G.phrases_in(asked, "qid", long.select("phrase")).join(long, "phrase").join(asked.select("qid", "q"), "qid")
+    by_title = near.where(whole_phrase(F.col("base"), F.col("q"))).select("qid", "id")
+    named = names.select("qid", norm(F.col("name")).alias("n")).where("n <> ''").distinct()
+    by_name = named.join(keyed, F.col("n") == F.col("full")).select("qid", "id").unionByName(named.join(long, F.col("n") == F.col("base")).select("qid", "id"))
     return seeds.select("qid", "id").unionByName(by_title).unionByName(by_name).distinct()
 
 
-def query_focused(dense: DataFrame, support: DataFrame, k: int) -> DataFrame:
-    """Supported chunks by score and dense rank, then dense ones, then leftovers (support with score 0). support: qid, id, score."""
-    both = dense.select("qid", "id", F.col("rank").alias("dense_rank")).join(support.select("qid", "id", "score"), ["qid", "id"], "full_outer")
-    part = F.when(F.coalesce("score", F.lit(0.0)) > 0, 0).when(F.col("dense_rank").isNotNull(), 1).otherwise(2)
-    w = Window.partitionBy("qid").orderBy(part, F.desc(F.coalesce("score", F.lit(0.0))), F.coalesce("dense_rank", F.lit(10**9)), "id")
-    return both.select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
+def structural(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 6, scope: str = "docs", embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """qid, id, score, rank of the structural plan: candidates, the chunks that they leave in scope, and a hybrid search among these.
+
+    chunks: id, doc_id, text, vec; questions: qid, text, vec. With the scope 'verbalized' the
+    candidates' lines, embedded by embed() (qid, text: with vec), are the dense side of the search. Where the
+    candidates name no chunk, those of their documents are searched.
+    """
+    found = G.saved(candidates(hits, nodes, edges, ranks))
+    within = candidate_scope(found, nodes, chunks, scope)
+    if scope != "docs":
+        lone = found.select("qid").distinct().join(within.select("qid").distinct(), "qid", "left_anti")
+        within = within.unionByName(candidate_scope(found.join(lone, "qid", "left_semi"), nodes, chunks))
+    asked = questions
+    if scope == "verbalized":
+        if embed is None:
+            raise ValueError("the scope 'verbalized' needs an embedder")
+        asked = questions.drop("vec").join(embed(verbalise(found, nodes)).select("qid", "vec"), "qid")
+    return S.hybrid(chunks, asked, k, scope=G.saved(within))
 
 
 def materialise(ranked: DataFrame, primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
@@ -175,14 +197,66 @@ def materialise(ranked: DataFrame, primary: DataFrame, fallback: DataFrame, k: i
     return out.where(F.col("text").isNotNull()).drop("t1", "t2")
 
 
-#: Modes of the service and the plans behind them.
-MODES = {"naive": "flat", "bypass": "structural", "local": "local", "global": "global", "hybrid": "hybrid", "mix": "mix", "mix_opt": "mix_optimised"}
-PLANS = {"flat": S.hybrid, "structural": candidates, "local": local, "global": global_, "hybrid": hybrid, "mix": mix, "mix_optimised": mix_optimised, "query_focused": query_focused}
+@dataclass
+class Corpus:
+    """What the plans search: collections (id, text, vec; chunks with doc_id and title too), the graph, its PageRank and the records behind it."""
+
+    chunks: DataFrame
+    entities: DataFrame
+    relationships: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    ranks: DataFrame
+    mentions: DataFrame
+    relations: DataFrame
+    embed: Callable[[DataFrame], DataFrame] | None = None
+
+    def lists(self, questions: DataFrame, k: int, optimised: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The local and the global list."""
+        return tuple(G.saved(f(S.hybrid(items, questions, _pool(k)), self.nodes, self.edges, optimised)) for f, items in ((local, self.entities), (global_, self.relationships)))
+
+    def flat(self, questions: DataFrame, k: int) -> DataFrame:
+        return S.hybrid(self.chunks, questions, k)
+
 
+#: Fixed value: entities at which the structural plan enters the graph.
+ENTRIES = 8
 
-def plan(name: str):
-    """The plan of a name or mode."""
+
+def _structural(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    return structural(S.hybrid(c.entities, q, ENTRIES), c.nodes, c.edges, c.ranks, c.chunks, q, k, embed=c.embed)
+
+
+def _query_focused(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    from skein.plans.query_focused import query_focused
+
+    return query_focused(q, G.saved(c.flat(q, max(k, ENTRIES))), c.chunks.select("id", "title"), c.mentions, c.relations, k)[0]
+
+
+Plan = Callable[[Corpus, DataFrame, int], DataFrame]
+#: Modes of the service and the plans behind them.
+MODES = {"naive": "flat", "bypass": "structural", "local": "local", "global": "global", "hybrid": "hybrid", "mix": "mix", "mix_opt": "mix_optimised"}
+PLANS: dict[str, Plan] = {
+    "flat": Corpus.flat,
+    "structural": _structural,
+    "local": lambda c, q, k: cut(c.lists(q, k)[0], k),
+    "global": lambda c, q, k: cut(c.lists(q, k)[1], k),
+    "hybrid": lambda c, q, k: hybrid(*c.lists(q, k), k),
+    "hybrid_optimised": lambda c, q, k: hybrid(*c.lists(q, k, True), k, True),
+    "mix": lambda c, q, k: mix(S.cosine_top(c.chunks, q, k), *c.lists(q, k), k),
+    "mix_optimised": lambda c, q, k: mix_optimised(S.cosine_top(c.chunks, q, k), *c.lists(q, k, True), k),
+    "query_focused": _query_focused,
+}
+
+
+def plan(name: str) -> Plan:
+    """The plan of a name or mode: a function of (corpus, questions, k) that gives qid, id (a chunk), score, rank."""
     key = MODES.get(name, name)
     if key not in PLANS:
         raise ValueError(f"unknown plan {name!r}; there are {', '.join(sorted(PLANS))}")
     return PLANS[key]
+
+
+def plans() -> list[dict[str, str]]:
+    """Name and modes of each plan."""
+    return [{"name": p, "modes": ", ".join(m for m, x in MODES.items() if x == p)} for p in PLANS]

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import search as S
+from skein.plans import query_focused as QF
 from skein.plans import retrieval as R
 from skein.queries import query
 from skein.queries.graph import GRAPH, graph
 from skein.queries.search import hybrid_sql
-from skein.sources.tables import table
+from skein.queries.text import NORM
+from skein.sources.tables import mentions, relations, table
 
 K = 10
 _VEC = "(SELECT embedding FROM embeddings WHERE vec_id = ('0x' || substr(md5({}), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))"
 _BASE = f"""WITH {GRAPH}, fd AS (SELECT key, arg_min(description, ord) AS d FROM k GROUP BY key),
 ent AS (SELECT name AS id, d AS text, {_VEC.format("name")} AS vec FROM nodes JOIN fd USING (key)),
 rel AS (SELECT src || '|' || dst AS id, types[1] || ' ' || src || ' ' || dst || ' ' || description AS text, {_VEC.format("src || '|' || dst")} AS vec FROM edges),
-questions AS (SELECT p_partkey AS qid, p_name || ' ' || p_partkey % 200 AS text, embedding AS vec FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings) WHERE p_partkey % 400 = 0),
+questions AS (SELECT p_partkey AS qid, p_name || ' ' || p_partkey % 200 AS text, embedding AS vec FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings) WHERE p_partkey % 50 = 0),
 {hybrid_sql("eh", "ent", "questions", 30, 30)}, {hybrid_sql("rh", "rel", "questions", 30, 30)},
 nch AS (SELECT DISTINCT n.name, k.chunk_id AS chunk FROM k JOIN nodes n USING (key)), ech AS (SELECT DISTINCT src, dst, chunk_id AS chunk FROM res WHERE src <> dst),
 ew AS (SELECT qid, id AS name, score / max(score) OVER (PARTITION BY qid) AS w FROM eh_hits), rw AS (SELECT qid, split_part(id, '|', 1) AS src, split_part(id, '|', 2) AS dst, score / max(score) OVER (PARTITION BY qid) AS w FROM rh_hits),
@@ -39,8 +42,10 @@ def _global(part: str) -> str:
 
 _LISTS = _BASE + _list("lo", _local("0.5::DOUBLE")) + _list("gl", _global("0.3::DOUBLE"))
 _OPT = _BASE + _list("lo", _local("0.35::DOUBLE / log2(2 + degree)")) + _list("gl", _global("0.2::DOUBLE / log2(2 + degree)"))
-#: The dense list: chunks of the questions' own vectors, here those of the chunk ids.
-_DENSE = f", chunks AS (SELECT 'order-' || o_orderkey AS id, '' AS text, {_VEC.format("'order-' || o_orderkey")} AS vec FROM orders WHERE o_orderkey % 10 = 0), {hybrid_sql('dn', 'chunks', 'questions', K, K)}"
+#: A chunk for each order: its text and title name a part, its document is the customer's nation.
+_CHUNKS = f"""chunks AS (SELECT 'order-' || o_orderkey AS id, 'nation-' || c_nationkey AS doc_id, lower(o_orderpriority) || ' ' || p_name || ' ' || p_partkey % 200 AS text, p_name || ' ' || p_partkey % 200 || ' (' || p_brand || ')' AS title,
+{_VEC.format("'order-' || o_orderkey")} AS vec FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))"""
+_DENSE = f", {_CHUNKS}, {hybrid_sql('dn', 'chunks', 'questions', K, K)}"
 
 
 def _vectors(spark, sf_dir, df):
@@ -56,7 +61,7 @@ def _setup(spark, sf_dir):
     ents = _vectors(spark, sf_dir, nodes.select(F.col("name").alias("id"), F.get("descriptions", 0)["text"].alias("text")))
     rels = _vectors(spark, sf_dir, edges.select(F.concat_ws("|", "src", "dst").alias("id"), F.concat_ws(" ", F.get("types", 0), "src", "dst", "description").alias("text")))
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    q = table(spark, sf_dir, "part").where("p_partkey % 400 = 0").join(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", F.col("p_partkey") % F.col("n")).join(v, "vec_id")
+    q = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").join(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", F.col("p_partkey") % F.col("n")).join(v, "vec_id")
     q = G.saved(q.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 200).cast("string")).alias("text"), "vec"))
     return nodes, edges, ents, rels, q
 
@@ -68,10 +73,20 @@ def _lists(spark, sf_dir, optimised=False):
     return G.saved(lo), G.saved(gl), q
 
 
+def _chunks(spark, sf_dir):
+    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("parts"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n))  # n is one row
+    o = o.withColumn("p_partkey", F.col("o_orderkey") % F.col("parts")).join(table(spark, sf_dir, "part"), "p_partkey")
+    name = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 200).cast("string"))
+    rows = o.select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("doc_id"),
+        F.concat_ws(" ", F.lower("o_orderpriority"), name).alias("text"), F.concat(name, F.lit(" ("), "p_brand", F.lit(")")).alias("title"),
+    )
+    return _vectors(spark, sf_dir, rows)
+
+
 def _dense(spark, sf_dir, q):
-    key = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
-    chunks = _vectors(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(key.alias("id"), F.lit("").alias("text")))
-    return S.cosine_top(chunks, q, K)
+    return S.cosine_top(_chunks(spark, sf_dir), q, K)
 
 
 @query("q3_local", _LISTS + f" SELECT qid, id, score, rank FROM lo WHERE rank <= {K}")
@@ -126,20 +141,35 @@ def q7(spark, sf_dir):
     return R.mix_optimised(_dense(spark, sf_dir, q), lo, gl, K)
 
 
+_ROUNDS = 10
+
+
+def _ranks_sql() -> str:
+    out = ["nn AS (SELECT count(*)::DOUBLE AS n FROM nodes), og AS (SELECT src, count(*) AS deg FROM edges GROUP BY src), p0 AS MATERIALIZED (SELECT name, deg, 1.0::DOUBLE / n AS r FROM nodes LEFT JOIN og ON src = name, nn)"]
+    for k in range(_ROUNDS):
+        out.append(f"p{k + 1} AS MATERIALIZED (SELECT p.name, p.deg, 0.15::DOUBLE / n + 0.85::DOUBLE * d.x / n + 0.85::DOUBLE * coalesce(f.x, 0) AS r FROM p{k} p LEFT JOIN (SELECT dst, sum(r / deg) AS x FROM edges JOIN p{k} ON src = name GROUP BY dst) f ON f.dst = p.name, nn, (SELECT coalesce(sum(r), 0) AS x FROM p{k} WHERE deg IS NULL) d)")
+    return ", ".join(out)
+
+
+_HOP = "{1} AS MATERIALIZED (SELECT qid, name, max(score) AS score FROM (FROM {0} UNION ALL SELECT qid, b, score FROM {0} JOIN u ON a = name) GROUP BY 1, 2)"
 _CAND = (
     _BASE
-    + f""", u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT qid, id AS name, score FROM eh_hits WHERE rank <= 8),
-s1 AS (SELECT qid, name, max(score) AS score FROM (FROM s0 UNION ALL SELECT qid, b, score FROM s0 JOIN u ON a = name) GROUP BY 1, 2), pr AS (SELECT name, coalesce(degree, 0)::DOUBLE AS pr FROM nodes LEFT JOIN dgr USING (name)),
-sc AS (SELECT qid, name, round(0.85::DOUBLE * score / max(score) OVER (PARTITION BY qid) + (1 - 0.85::DOUBLE) * pr / (SELECT max(pr) FROM pr), 6) AS score FROM s1 JOIN pr USING (name)),
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS rank FROM sc) WHERE rank <= 20)"""
+    + f""", {_ranks_sql()}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT qid, id AS name, score FROM eh_hits WHERE rank <= {R.ENTRIES}), {_HOP.format("s0", "s1")}, {_HOP.format("s1", "s2")},
+sc AS (SELECT qid, name, round(0.85::DOUBLE * score / max(score) OVER (PARTITION BY qid) + (1 - 0.85::DOUBLE) * r / (SELECT max(r) FROM p{_ROUNDS}), 6) AS score FROM s2 JOIN p{_ROUNDS} USING (name)),
+cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS rank FROM sc) WHERE rank <= 20)"""
 )
 
 
-def _candidates(spark, sf_dir):
-    """Degrees stand in for PageRank, which SQL can't iterate to convergence."""
+def _entries(spark, sf_dir):
+    """Entity hits, the graph, its PageRank after a fixed number of rounds, which SQL can unroll, and the questions."""
     nodes, edges, ents, _, q = _setup(spark, sf_dir)
-    ranks = G.degree(nodes, edges).select("name", F.col("degree").cast("double").alias("rank"))
-    return R.candidates(R.cut(S.hybrid(ents, q, 30, 30), 8), nodes, edges, ranks, hops=1), nodes
+    ranks = G.saved(G.pagerank(nodes.select("name"), edges.select("src", "dst"), rounds=_ROUNDS, tolerance=None))
+    return R.cut(S.hybrid(ents, q, 30, 30), R.ENTRIES), nodes, edges, ranks, q
+
+
+def _candidates(spark, sf_dir):
+    hits, nodes, edges, ranks, _ = _entries(spark, sf_dir)
+    return R.candidates(hits, nodes, edges, ranks), nodes
 
 
 @query("q2_structural_candidates", _CAND + " SELECT qid, name, score, rank FROM cand")
@@ -147,15 +177,38 @@ def q2(spark, sf_dir):
     return _candidates(spark, sf_dir)[0]
 
 
-@query("q2_scope_documents", _CAND + ", o AS (SELECT 'order-' || o_orderkey AS id, 'nation-' || c_nationkey AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey) SELECT DISTINCT qid, o.id FROM cand JOIN nodes USING (name) JOIN o ON list_contains(docs, o.doc_id)")
+_SCOPE = "scope AS MATERIALIZED (SELECT DISTINCT qid, chunks.id FROM cand JOIN nodes USING (name) JOIN chunks ON list_contains(docs, doc_id))"
+_NAMED = "scope AS MATERIALIZED (SELECT DISTINCT qid, chunk AS id FROM cand JOIN nch USING (name))"
+_VERB = "verb AS (SELECT qid, string_agg(name || ' (' || type || '): ' || d, chr(10) ORDER BY rank) AS text FROM cand JOIN nodes USING (name) JOIN fd USING (key) GROUP BY qid)"
+_WITHIN = "(qid, id) IN (SELECT qid, id FROM scope)"
+
+
+@query("q2_scope_documents", _CAND + f", {_CHUNKS}, {_SCOPE} FROM scope")
 def q2b(spark, sf_dir):
     found, nodes = _candidates(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    chunks = o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("doc_id"))
-    return R.candidate_scope(found, nodes, chunks)
+    return R.candidate_scope(found, nodes, _chunks(spark, sf_dir))
+
+
+@query("q2_structural_documents", _CAND + f", {_CHUNKS}, {_SCOPE}, {hybrid_sql('sh', 'chunks', 'questions', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
+def q2d(spark, sf_dir):
+    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
+    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q)
+
 
+@query("q2_structural_mentions", _CAND + f", {_CHUNKS}, {_NAMED}, {hybrid_sql('sh', 'chunks', 'questions', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
+def q2m(spark, sf_dir):
+    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
+    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="candidates")
 
-@query("q2_verbalised", _CAND + " SELECT qid, string_agg(name || ' (' || type || '): ' || d, chr(10) ORDER BY rank) AS text FROM cand JOIN nodes USING (name) JOIN fd USING (key) GROUP BY qid")
+
+@query("q2_structural_verbalised", _CAND + f", {_CHUNKS}, {_NAMED}, {_VERB}, asked AS (SELECT qid, questions.text, {_VEC.format('verb.text')} AS vec FROM questions JOIN verb USING (qid)), {hybrid_sql('sh', 'chunks', 'asked', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
+def q2v(spark, sf_dir):
+    """The embedder picks a vector of the table by a text's digest."""
+    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
+    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="verbalized", embed=lambda t: _vectors(spark, sf_dir, t.select("qid", F.col("text").alias("id"))))
+
+
+@query("q2_verbalised", _CAND + f", {_VERB} FROM verb")
 def q2c(spark, sf_dir):
     return R.verbalise(*_candidates(spark, sf_dir))
 
@@ -178,26 +231,92 @@ def q13(spark, sf_dir):
     return R.materialise(lo, store.where(key % 2 == 0), store.where(key % 2 == 1), 10)
 
 
-_TITLES = "titles AS (SELECT p_partkey AS id, p_name || ' (' || p_brand || ')' AS title, lower(p_name) AS phrase FROM part), qs AS (SELECT o_orderkey AS qid, 'who sells the ' || p_name || ' of ' || p_brand AS text, p_partkey AS seed FROM orders JOIN part ON p_partkey = o_orderkey % 97 WHERE o_orderkey % 500 = 0)"
+_TITLES = "titles AS (SELECT p_partkey AS id, p_name || ' (' || p_brand || ')' AS title, lower(p_name) AS base FROM part), qs AS (SELECT o_orderkey AS qid, 'who sells the ' || p_name || ' of ' || p_brand AS text, p_partkey AS seed FROM orders JOIN part ON p_partkey = o_orderkey % 97 WHERE o_orderkey % 50 = 0)"
 
 
-@query("q8_expansion", f"WITH {_TITLES} SELECT qid, seed AS id FROM qs UNION SELECT qid, id FROM qs JOIN titles ON contains(' ' || lower(text) || ' ', ' ' || phrase || ' ')")
+@query("q8_expansion", f"WITH {_TITLES} SELECT qid, seed AS id FROM qs UNION SELECT qid, id FROM qs JOIN titles ON contains(' ' || lower(text) || ' ', ' ' || base || ' ') UNION SELECT qid, id FROM qs JOIN titles ON base = 'blue bolt'")
 def q8a(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     titles = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("title"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").withColumn("p_partkey", F.col("o_orderkey") % 97).join(part, "p_partkey")
-    q = o.select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("who sells the "), "p_name", F.lit(" of "), "p_brand").alias("text"), F.col("p_partkey").alias("id"), F.array(F.lit("nothing")).alias("names"))
-    return R.expansion(q.select("qid", "text"), titles, q.select("qid", "id", "names"))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").withColumn("p_partkey", F.col("o_orderkey") % 97).join(part, "p_partkey")
+    q = o.select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("who sells the "), "p_name", F.lit(" of "), "p_brand").alias("text"), F.col("p_partkey").alias("id"))
+    return R.expansion(q.select("qid", "text"), titles, q.select("qid", "id"), q.select("qid", F.lit("Blue bolt").alias("name")))
+
+
+_Q8 = (
+    _BASE
+    + _DENSE
+    + f""", ek AS (SELECT chunk_id, {NORM.format("name")} AS key FROM ents), seeds AS (SELECT qid, id FROM dn_hits WHERE rank <= 5), tl AS (SELECT id, lower(title) AS whole, lower(split_part(title, ' (', 1)) AS base FROM chunks),
+sel AS MATERIALIZED (FROM seeds UNION SELECT qid, id FROM questions q JOIN tl ON contains(' ' || lower(q.text) || ' ', ' ' || base || ' ') UNION SELECT qid, tl.id FROM (SELECT DISTINCT qid, key FROM seeds JOIN ek ON chunk_id = id) JOIN tl ON key = base OR key = whole),
+m AS MATERIALIZED (SELECT DISTINCT qid, key, id FROM sel JOIN ek ON chunk_id = id WHERE key <> ''), mk AS (SELECT DISTINCT qid, key FROM m),
+ln AS MATERIALIZED (SELECT DISTINCT qid, s, t, id FROM (SELECT qid, {NORM.format("source")} AS s, {NORM.format("target")} AS t, id FROM sel JOIN rels ON chunk_id = id) WHERE s <> t AND (qid, s) IN (FROM mk) AND (qid, t) IN (FROM mk)),
+un AS (SELECT qid, s AS a, t AS b FROM ln UNION SELECT qid, t, s FROM ln), an AS MATERIALIZED (SELECT mk.qid, key FROM mk JOIN questions USING (qid) WHERE length(key) >= 3 AND contains(' ' || lower(text) || ' ', ' ' || key || ' ')),
+d1 AS (SELECT qid, key, min(d) AS d FROM (SELECT qid, key, 0 AS d FROM an UNION ALL SELECT an.qid, b, 1 FROM an JOIN un ON un.qid = an.qid AND a = key) GROUP BY 1, 2), d2 AS MATERIALIZED (SELECT qid, key, min(d) AS d FROM (FROM d1 UNION ALL SELECT d1.qid, b, d + 1 FROM d1 JOIN un ON un.qid = d1.qid AND a = key) GROUP BY 1, 2),
+sp AS MATERIALIZED (SELECT qid, id, round(sum(w), 9) AS s FROM (SELECT qid, id, 1.0::DOUBLE / (1 + d) AS w FROM m JOIN d2 USING (qid, key) UNION ALL SELECT ln.qid, id, 0.5::DOUBLE / (1 + least(x.d, y.d)) FROM ln JOIN d2 x ON x.qid = ln.qid AND x.key = s JOIN d2 y ON y.qid = ln.qid AND y.key = t) GROUP BY 1, 2)"""
+)
+
+
+def _focused(spark, sf_dir):
+    q = _setup(spark, sf_dir)[4]
+    chunks = G.saved(_chunks(spark, sf_dir))
+    dense = G.saved(S.hybrid(chunks, q, K, K))
+    return q, chunks, dense, G.saved(mentions(spark, sf_dir).select("chunk_id", "name")), G.saved(relations(spark, sf_dir).select("chunk_id", "source", "target"))
 
 
 @query(
     "q8_query_focused",
-    _LISTS
-    + _DENSE
-    + f""", sp AS (SELECT qid, id, CASE WHEN rank <= 5 THEN score ELSE 0 END AS score FROM lo WHERE rank <= 12), f AS (SELECT qid, id, d.rank AS dr, coalesce(sp.score, 0) AS score FROM dn_dense d FULL JOIN sp USING (qid, id))
-SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN score > 0 THEN 0 WHEN dr IS NOT NULL THEN 1 ELSE 2 END, score DESC, coalesce(dr, 1000000000), id) AS rank FROM f) WHERE rank <= {K}""",
+    _Q8
+    + f""", al AS (SELECT qid, id, d.rank AS dr, s FROM dn_hits d FULL JOIN sp USING (qid, id) FULL JOIN sel USING (qid, id)), rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN s IS NOT NULL THEN 0 WHEN dr IS NOT NULL THEN 1 ELSE 2 END, s DESC NULLS LAST, coalesce(dr, 1000000), id) AS rank FROM al WHERE dr IS NOT NULL OR qid IN (SELECT qid FROM sp))
+SELECT qid, id, round(1 - (rank - 1)::DOUBLE / count(*) OVER (PARTITION BY qid), 6) AS score, rank FROM rk WHERE rank <= {K}""",
 )
 def q8(spark, sf_dir):
-    lo, _, q = _lists(spark, sf_dir)
-    support = lo.where("rank <= 12").select("qid", "id", F.when(F.col("rank") <= 5, F.col("score")).otherwise(0.0).alias("score"))
-    return R.query_focused(_dense(spark, sf_dir, q), support, K)
+    q, chunks, dense, ents, rels = _focused(spark, sf_dir)
+    return QF.query_focused(q, dense, chunks.select("id", "title"), ents, rels, K)[0]
+
+
+def _count(name: str, what: str, of: str) -> str:
+    return f"coalesce((SELECT count(*) FROM {of} x WHERE x.qid = q.qid), 0) AS {name}" if what == "*" else f"coalesce((SELECT count(DISTINCT {what}) FROM {of} x WHERE x.qid = q.qid), 0) AS {name}"
+
+
+_COUNTS = ", ".join([_count("n_selected", "*", "sel"), _count("anchors", "*", "an"), _count("graph_nodes", "*", "mk"), _count("graph_edges", "(s, t)", "ln"), _count("supported", "*", "sp")])
+
+
+@query("q8_counters", _Q8 + f" SELECT qid, {_COUNTS} FROM questions q")
+def q8c(spark, sf_dir):
+    q, chunks, dense, ents, rels = _focused(spark, sf_dir)
+    return QF.query_focused(q, dense, chunks.select("id", "title"), ents, rels, K)[1]
+
+
+@query(
+    "q9_on_demand",
+    _BASE
+    + _DENSE
+    + r""", st AS (SELECT id, sha256(text) AS sha, CASE WHEN contains(text, 'bolt') THEN 'failed_model' WHEN contains(text, 'gizmo') THEN 'failed_infra' ELSE 'ok' END AS status, starts_with(text, '1') AS known, regexp_replace(text, '^\S+ ', '') AS part FROM chunks),
+seeds AS (SELECT qid, id FROM dn_hits WHERE rank <= 5), tl AS (SELECT id, lower(title) AS whole, lower(split_part(title, ' (', 1)) AS base FROM chunks),
+sel AS MATERIALIZED (FROM seeds UNION SELECT qid, id FROM questions q JOIN tl ON contains(' ' || lower(q.text) || ' ', ' ' || base || ' ') UNION SELECT qid, tl.id FROM (SELECT DISTINCT qid, part FROM seeds JOIN st USING (id) WHERE status = 'ok') JOIN tl ON part = base OR part = whole),
+lk AS (SELECT sel.qid, sel.id, sha, status, known, row_number() OVER (PARTITION BY sha ORDER BY sel.qid, sel.id) = 1 AND NOT known AS paid FROM sel JOIN st USING (id))
+SELECT qid, count(*) AS lookups, count(*) FILTER (NOT paid AND status = 'ok') AS hits_ok, count(*) FILTER (NOT paid AND status <> 'ok') AS hits_failed, count(*) FILTER (paid) AS misses, count(*) FILTER (paid AND status = 'ok') AS extracted_ok,
+count(*) FILTER (paid AND status = 'failed_model') AS extracted_failed_model, count(*) FILTER (paid AND status = 'failed_infra') AS extracted_failed_infra, count(*) FILTER (status = 'ok') AS valid_records, count(*) FILTER (status <> 'ok') AS failed_or_missing FROM lk GROUP BY qid""",
+)
+def q9(spark, sf_dir):
+    """What on-demand extraction costs each question: half of the contents are in the cache, some can't be extracted. An extraction names the part that the text names."""
+    q, chunks, dense, _, _ = _focused(spark, sf_dir)
+
+    def extract(missing):
+        status = F.when(F.col("text").contains("bolt"), "failed_model").when(F.col("text").contains("gizmo"), "failed_infra").otherwise("ok")
+        part = F.regexp_replace("text", r"^\S+ ", "")
+        none = F.array().cast("array<struct<source:string,target:string>>")
+        return missing.select("content_sha256", status.alias("status"), F.array(F.struct(part.alias("name"))).alias("entities"), none.alias("relationships"))
+
+    known = extract(chunks.where(F.col("text").startswith("1")).select("text", F.sha2("text", 256).alias("content_sha256")).dropDuplicates(["content_sha256"]))
+    counts = QF.on_demand(q, dense, chunks.select("id", "title", "text"), known, extract, K)[1]
+    return counts.drop("n_selected", "anchors", "graph_nodes", "graph_edges", "supported")
+
+
+@query("m26_selection_simulation")
+def m26(spark, sf_dir):
+    """Gold: a question's two least orders among its part's line items."""
+    q, chunks, dense, ents, rels = _focused(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("qid"), F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("id")).join(q.select("qid"), "qid", "left_semi").distinct()
+    gold = li.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where("n <= 2").drop("n")
+    return QF.simulate(q.withColumn("type", F.when(F.col("qid") % 100 == 0, "bridge").otherwise("comparison")), gold, dense, chunks.select("id", "title"), ents, rels)

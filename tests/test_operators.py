@@ -137,8 +137,8 @@ def test_phrases_of_any_length(spark):
     long = "one two three four five six seven eight"
     q = spark.createDataFrame([(1, f"What is {long}, and why?"), (2, "one two three"), (3, "")], "qid int, text string")
     titles = spark.createDataFrame([("a", f"{long} (film)"), ("b", "two three"), ("c", "one two three four"), ("d", "why not")], "id string, title string")
-    seeds = spark.createDataFrame([], "qid int, id string, names array<string>")
-    assert {(r["qid"], r["id"]) for r in R.expansion(q, titles, seeds).collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "b")}
+    seeds, names = spark.createDataFrame([(3, "d")], "qid int, id string"), spark.createDataFrame([(3, " Two  Three"), (3, "x")], "qid int, name string")
+    assert {(r["qid"], r["id"]) for r in R.expansion(q, titles, seeds, names).collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "b"), (3, "d"), (3, "b")}
     nodes = spark.createDataFrame([(long,), ("Five six",), ("--",)], "name string")
     docs = spark.createDataFrame([(1, f"so {long}."), (2, f"{long} again"), (3, "five, six"), (4, None)], "doc_id int, text string")
     assert {(r["a"], r["b"], r["names"]) for r in G.mention_links(nodes, docs).collect()} == {("1", "2", 2), ("1", "3", 1), ("2", "3", 1)}
