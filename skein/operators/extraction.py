@@ -51,11 +51,11 @@ def endpoint_filter(rels: DataFrame, ents: DataFrame, prior: DataFrame | None =
     names = ents.select("chunk_id", norm(F.col("name")).alias("k"))
     if prior is not None:
         names = names.unionByName(prior.select("chunk_id", norm(F.col("name")).alias("k")))
-    names = names.distinct()
-    r = rels.withColumn("_s", norm(F.col("source"))).withColumn("_t", norm(F.col("target"))).where("_s <> '' and _t <> ''")
-    for end in ("_s", "_t"):
-        r = r.join(names.withColumnRenamed("k", end), ["chunk_id", end], "left_semi")
-    return r.drop("_s", "_t")
+    # a chunk names few things, so one join by chunk meets both ends
+    of = names.groupBy("chunk_id").agg(F.collect_set("k").alias("k"))
+    s, t = norm(F.col("source")), norm(F.col("target"))
+    rows = rels.select(F.struct("*").alias("row"), "chunk_id", s.alias("s"), t.alias("t")).where("s <> '' and t <> ''")
+    return rows.join(of, "chunk_id").where(F.array_contains("k", F.col("s")) & F.array_contains("k", F.col("t"))).select("row.*")
 
 
 def recover_stubs(rels: DataFrame, ents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

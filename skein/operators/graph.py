@@ -1,10 +1,14 @@
 """Building, ranking, walking and measuring the entity graph.
 
-Graphs are two DataFrames. Nodes: name, key, type, descriptions,
+Graphs are two DataFrames. Nodes: name, key, type, mentions (a count), descriptions,
 source_sentences (arrays of text, chunk_id, doc_id in mention order),
-source_docs (sorted), stub, ord. Edges: src, dst, types (with repeats),
+source_docs (sorted), stub, ord. Edges: src, dst, mentions, types (with repeats),
 description and source_doc of the first mention, source_sentences, ord.
 First wins by (record_no, pos), never by the order of rows.
+
+The arrays grow with a node's mentions. Each is an aggregate of its own, so a plan that
+doesn't read them has Catalyst drop them, and what is left meets in each task before any
+shuffle; node_places() and edge_places() give where a node or edge stands as rows.
 """
 
 from __future__ import annotations
@@ -35,20 +39,32 @@ def saved(df: DataFrame) -> DataFrame:
 def build_nodes(ents: DataFrame) -> DataFrame:
     """One node for each key; its name is the first spelling, its type the first that isn't OTHER."""
     e = ents.withColumn("key", norm(F.col("name"))).where("key <> ''").withColumn("type", F.when(F.coalesce("type", F.lit("")) == "", "OTHER").otherwise(F.col("type")))
-    mention = F.struct(mention_order().alias("ord"), F.coalesce("description", F.lit("")).alias("d"), F.coalesce("source_sentence", F.lit("")).alias("s"), "chunk_id", "doc_id")
+
+    def texts(field: str) -> Column:
+        every = F.array_sort(F.collect_list(F.struct(mention_order().alias("ord"), F.coalesce(field, F.lit("")).alias("text"), "chunk_id", "doc_id")))
+        return F.transform(every, lambda x: F.struct(x["text"], x["chunk_id"], x["doc_id"]))
+
     g = e.groupBy("key").agg(
         F.min_by(F.trim("name"), mention_order()).alias("name"),
+        F.count(F.lit(1)).alias("mentions"),
         F.coalesce(F.min_by(F.when(F.col("type") != "OTHER", F.col("type")), F.when(F.col("type") != "OTHER", mention_order())), F.lit("OTHER")).alias("type"),
-        F.array_sort(F.collect_list(mention)).alias("m"),
+        texts("description").alias("descriptions"),
+        texts("source_sentence").alias("source_sentences"),
         F.array_sort(F.collect_set("doc_id")).alias("source_docs"),
         F.bool_and(F.coalesce("stub", F.lit(False))).alias("stub"),
         F.min(mention_order()).alias("ord"),
     )
+    return g.select("name", "key", "type", "mentions", "descriptions", "source_sentences", "source_docs", "stub", "ord")
 
-    def texts(field: str) -> Column:
-        return F.transform("m", lambda x: F.struct(x[field].alias("text"), x["chunk_id"], x["doc_id"]))
 
-    return g.select("name", "key", "type", texts("d").alias("descriptions"), texts("s").alias("source_sentences"), "source_docs", "stub", "ord")
+def node_places(ents: DataFrame) -> DataFrame:
+    """key, chunk_id, doc_id: where the nodes of these mentions stand, each place once."""
+    return ents.select(norm(F.col("name")).alias("key"), "chunk_id", "doc_id").where("key <> ''").distinct()
+
+
+def edge_places(resolved: DataFrame) -> DataFrame:
+    """src, dst, chunk_id, doc_id: where the edges of these relationships stand, each place once."""
+    return resolved.where("src <> dst").select("src", "dst", "chunk_id", "doc_id").distinct()
 
 
 def resolve_ends(rels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,14 +78,16 @@ def resolve_ends(rels: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_edges(resolved: DataFrame) -> DataFrame:
     """One edge for each ordered pair; dangling ends and self-loops dropped."""
     r = resolved.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    kind = F.upper(F.trim(F.coalesce("type", F.lit(""))))
     g = r.groupBy("src", "dst").agg(
-        F.array_sort(F.collect_list(F.struct(mention_order().alias("ord"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"), F.coalesce("source_sentence", F.lit("")).alias("s"), "chunk_id", "doc_id"))).alias("m"),
+        F.count(F.lit(1)).alias("mentions"),
+        F.transform(F.array_sort(F.collect_list(F.struct(mention_order().alias("ord"), kind.alias("type")))), lambda x: x["type"]).alias("types"),
+        F.transform(F.array_sort(F.collect_list(F.struct(mention_order().alias("ord"), F.coalesce("source_sentence", F.lit("")).alias("text"), "chunk_id", "doc_id", kind.alias("type")))), lambda x: F.struct(x["text"], x["chunk_id"], x["doc_id"], x["type"])).alias("source_sentences"),
         F.min_by("description", mention_order()).alias("description"),
         F.min_by("doc_id", mention_order()).alias("source_doc"),
         F.min(mention_order()).alias("ord"),
     )
-    sentences = F.transform("m", lambda x: F.struct(x["s"].alias("text"), x["chunk_id"], x["doc_id"], x["type"]))
-    return g.select("src", "dst", F.transform("m", lambda x: x["type"]).alias("types"), "description", sentences.alias("source_sentences"), "source_doc", "ord")
+    return g.select("src", "dst", "mentions", "types", "description", "source_sentences", "source_doc", "ord")
 
 
 def alias_map(nodes: DataFrame) -> DataFrame:
@@ -91,6 +109,7 @@ def merge_aliases(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     merged = own.groupBy(F.col("canonical").alias("name")).agg(
         F.min_by("key", first).alias("key"),
         F.coalesce(F.min_by(F.when(F.col("type") != "OTHER", F.col("type")), F.when(F.col("type") != "OTHER", first)), F.lit("OTHER")).alias("type"),
+        F.sum("mentions").alias("mentions"),
         flat("descriptions"),
         flat("source_sentences"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_docs")))).alias("source_docs"),
@@ -101,7 +120,7 @@ def merge_aliases(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     e = e.where("s <> d").withColumn("moved", ((F.col("src") != F.col("s")) | (F.col("dst") != F.col("d"))).cast("int"))
     place = F.struct("moved", "ord")
     lists = F.array_sort(F.collect_list(F.struct("moved", "ord", F.col("source_sentences").alias("x"))))
-    e = e.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.min_by("types", place).alias("types"), F.min_by("description", place).alias("description"), F.flatten(F.transform(lists, lambda x: x["x"])).alias("source_sentences"), F.min_by("source_doc", place).alias("source_doc"), F.min("ord").alias("ord"))
+    e = e.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("mentions").alias("mentions"), F.min_by("types", place).alias("types"), F.min_by("description", place).alias("description"), F.flatten(F.transform(lists, lambda x: x["x"])).alias("source_sentences"), F.min_by("source_doc", place).alias("source_doc"), F.min("ord").alias("ord"))
     return merged, e
 
 
@@ -152,14 +171,12 @@ def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, directe
     """seed, name, depth: the least distance of every node within `hops` of each seed (column seed), itself included. Seeds that are no nodes are skipped."""
     if hops < 0:
         raise ValueError("hops must not be negative")
-    near = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else undirected(edges)
-    seen = seeds.select("seed").distinct().join(nodes.select(F.col("name").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("name"), F.lit(0).alias("depth"))
+    near = saved(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else undirected(edges))
+    seen = saved(seeds.select("seed").distinct().join(nodes.select(F.col("name").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("name"), F.lit(0).alias("depth")))
     front = seen
     for d in range(1, hops + 1):
         step = front.join(near, front["name"] == near["a"]).select("seed", F.col("b").alias("name")).distinct()
-        front = step.join(seen.select("seed", "name"), ["seed", "name"], "left_anti").withColumn("depth", F.lit(d))
-        if hops > 2:
-            front = saved(front)
+        front = saved(step.join(seen.select("seed", "name"), ["seed", "name"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
@@ -266,16 +283,21 @@ def phrases_in(texts: DataFrame, id_col: str, phrases: DataFrame) -> DataFrame:
     return grams
 
 
-def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, names: pairs of documents in whose texts a node's name stands as a whole phrase, for names found in few enough documents to pair.
-
-    Names of any length are looked up by their words: a text's word n-grams join the names' keys, so no name meets every text.
-    """
+def found_in(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """name, doc_id: documents in whose texts a node's name stands as a whole phrase."""
     from skein.functions.text import terms
 
     keys = nodes.select("name", F.array_join(terms(F.col("name")), " ").alias("phrase"), F.size(terms(F.col("name"))).alias("k")).where("k > 0").drop("k")
     t = docs.select(F.col("doc_id").cast("string").alias("doc_id"), terms(F.col("text")).alias("w"))
-    found = phrases_in(t, "doc_id", keys).join(keys, "phrase").select("name", "doc_id").distinct()
+    return phrases_in(t, "doc_id", keys).join(keys, "phrase").select("name", "doc_id").distinct()
+
+
+def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, names: pairs of documents in whose texts a node's name stands as a whole phrase. A name that many documents hold makes a pair of any two of them, which is the result asked for; found_in() has the names and documents without pairs.
+
+    Names of any length are looked up by their words: a text's word n-grams join the names' keys, so no name meets every text.
+    """
+    found = found_in(nodes, docs)
     pairs = found.alias("x").join(found.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     return pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("names"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
+import zlib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,36 +104,60 @@ def joint(answers: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return j.select(key, (F.col("e1") * F.col("e2")).alias("em"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
 
-def _resampled(rows: DataFrame, by: list[str], f: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(lambda d: pd.DataFrame([{**{c: d[c].iloc[0] for c in by}, **f(d)}]), f"{kinds}, {schema}")
-
-
-def _interval(x: list[float], draws: int, seed: int) -> tuple[float, float]:
-    rng, n = random.Random(seed), len(x)
-    means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
-    return means[int(0.025 * draws)], means[int(0.975 * draws) - 1]
+#: Rows of a group that one task resamples.
+BLOCK = 50_000
+
+
+def _resampled(rows: DataFrame, by: list[str], value: Column, order: str, draws: int, seed: int) -> DataFrame:
+    """The columns by, n, total, wins, losses, ties, lo and hi of each group: its size and sum, the numbers of values over, under and at 0, and the 95% interval of the mean over `draws` resamples.
+
+    A group of any size is dealt to blocks. How many of a resample's rows come from each block is
+    multinomial; it is split along a binary tree of the blocks with random numbers of the
+    tree's places, so each task finds its own part of every resample alone.
+    """
+    key = F.to_json(F.struct(*by))  # null-safe
+    x = rows.select(key.alias("k"), F.struct(*by).alias("by"), F.col(order).alias("o"), value.cast("double").alias("x")).where("x is not null")
+    cut = x.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cut"))
+    x = x.join(cut, "k").withColumn("block", F.pmod(F.xxhash64("o"), "cut")).drop("cut")
+    sizes = x.groupBy("k", "block").agg(F.count(F.lit(1)).alias("m"))
+    every = sizes.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("every"))
+    plan = sizes.select("k", "block").join(every, "k")
+
+    def resample(values: pa.Table, plan: pa.Table) -> pa.Table:
+        every = plan["every"][0].as_py()
+        m, me = np.array([e["m"] for e in every]), [e["block"] for e in every].index(plan["own"][0].as_py())
+        key, lo, hi = zlib.crc32(plan["key"][0].as_py().encode()), 0, len(m)
+        count = np.full(draws, m.sum())
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = np.random.default_rng([seed, key, lo, hi]).binomial(count, m[lo:mid].sum() / m[lo:hi].sum())
+            count, lo, hi = (left, lo, mid) if me < mid else (count - left, mid, hi)
+        x = values["x"].to_numpy()
+        x = x[np.lexsort((x, values["o"].to_numpy(zero_copy_only=False)))]
+        rng = np.random.default_rng([seed, key, me])
+        sums = np.array([x[rng.integers(0, len(x), c)].sum() for c in count.tolist()])
+        figures = {"n": len(x), "total": float(x.sum()), "wins": int((x > 0).sum()), "losses": int((x < 0).sum()), "ties": int((x == 0).sum())}
+        return pa.table({"k": [plan["key"][0].as_py()], **{c: [v] for c, v in figures.items()}, "sums": [sums.tolist()]})
+
+    plan = plan.toDF("key", "own", "every")
+    parts = x.select("k", "block", "o", "x").groupBy("k", "block").cogroup(plan.groupBy("key", "own")).applyInArrow(resample, "k string, n long, total double, wins long, losses long, ties long, sums array<double>")
+    each = parts.select("k", "n", "total", "wins", "losses", "ties", F.posexplode("sums").alias("draw", "s"))
+    per = each.groupBy("k", "draw").agg(F.sum("s").alias("s"), *(F.sum(c).alias(c) for c in ("n", "total", "wins", "losses", "ties")))
+    out = per.groupBy("k").agg(F.array_sort(F.collect_list(F.col("s") / F.col("n"))).alias("means"), *(F.first(c).alias(c) for c in ("n", "total", "wins", "losses", "ties")))
+    names = x.groupBy("k").agg(F.first("by").alias("by"))
+    return out.join(names, "k").select("by.*", "n", "total", "wins", "losses", "ties", F.get("means", int(0.025 * draws)).alias("lo"), F.get("means", int(0.975 * draws) - 1).alias("hi"))
 
 
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, order: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    def f(d: pd.DataFrame) -> dict:
-        x = d.sort_values(order)[value].tolist()
-        lo, hi = _interval(x, draws, seed)
-        return {"mean": sum(x) / len(x), "lo": lo, "hi": hi}
-
-    return _resampled(rows, by, f, "mean double, lo double, hi double")
+    """Mean of a column with a 95% interval by resampling; the same rows and seed give the same interval."""
+    r = _resampled(rows, by, F.col(value), order, draws, seed)
+    return r.select(*by, (F.col("total") / F.col("n")).alias("mean"), "lo", "hi")
 
 
 def paired_bootstrap(rows: DataFrame, by: list[str], a: str, b: str, order: str, draws: int = 10_000, seed: int = 12345) -> DataFrame:
-    """Mean difference a - b with a 95% interval, and wins, losses and ties."""
-
-    def f(d: pd.DataFrame) -> dict:
-        d = d.sort_values(order)
-        x = (d[a] - d[b]).tolist()
-        lo, hi = _interval(x, draws, seed)
-        return {"diff": sum(x) / len(x), "lo": lo, "hi": hi, "wins": sum(v > 0 for v in x), "losses": sum(v < 0 for v in x), "ties": sum(v == 0 for v in x)}
-
-    return _resampled(rows, by, f, "diff double, lo double, hi double, wins long, losses long, ties long")
+    """Mean difference b - a with a 95% interval, whether that excludes 0, and wins of b, losses and ties."""
+    r = _resampled(rows, by, F.col(b) - F.col(a), order, draws, seed)
+    return r.select(*by, (F.col("total") / F.col("n")).alias("diff"), "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_0"), "wins", "losses", "ties")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

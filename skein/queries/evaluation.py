@@ -65,9 +65,9 @@ def m8(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.is_refusal(F.col("text")).alias("refusal"))
 
 
-@query("m10_citations", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'c' || event_id % 5 || ',c1' ELSE 'c1' END AS cited FROM events WHERE event_id % 5 <> 1")
+@query("m10_citations", "SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'c1' WHEN event_id % 5 < 3 THEN 'c' || event_id % 5 || ',c1' ELSE 'c1' END AS cited FROM events")
 def m10(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 <> 1")
+    e = table(spark, sf_dir, "events")
     answer = F.concat(F.lit("so ["), (F.col("event_id") % 5).cast("string"), F.lit("] and [1], ["), (F.col("event_id") % 5).cast("string"), F.lit("]"))
     return e.select("event_id", F.array_join(M.citations(answer, F.array(*(F.lit(f"c{k}") for k in range(3)))), ",").alias("cited"))
 
@@ -115,17 +115,17 @@ def m14(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey < 600").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") % 1).alias("a"), (F.col("o_totalprice") % 0.7).alias("b"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") % 1).alias("a"), (F.col("o_totalprice") % 0.7).alias("b"))
 
 
 @query("m15_paired_bootstrap")
 def m15(spark, sf_dir):
-    return M.paired_bootstrap(_scores(spark, sf_dir), ["o_orderstatus"], "a", "b", "o_orderkey", draws=500)
+    return M.paired_bootstrap(_scores(spark, sf_dir), ["o_orderstatus"], "a", "b", "o_orderkey")
 
 
 @query("m16_bootstrap_mean")
 def m16(spark, sf_dir):
-    return M.bootstrap_mean(_scores(spark, sf_dir), ["o_orderstatus"], "a", "o_orderkey", draws=500)
+    return M.bootstrap_mean(_scores(spark, sf_dir), ["o_orderstatus"], "a", "o_orderkey")
 
 
 @query("m17_wilson", "WITH s AS (SELECT event_type, count(*) FILTER (value > 20)::DOUBLE AS k, count(*)::DOUBLE AS n, 1.959963984540054::DOUBLE AS z FROM events GROUP BY 1) SELECT event_type, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lo, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS hi FROM s")

@@ -39,7 +39,7 @@ def g2(spark, sf_dir):
 @query("g3_node_dedup", f"WITH {GRAPH} SELECT name, key, type, mentions, array_to_string(docs, ',') AS docs FROM nodes")
 def g3(spark, sf_dir):
     nodes = G.build_nodes(mentions(spark, sf_dir))
-    return nodes.select("name", "key", "type", F.size("descriptions").cast("long").alias("mentions"), F.array_join("source_docs", ",").alias("docs"))
+    return nodes.select("name", "key", "type", "mentions", F.array_join("source_docs", ",").alias("docs"))
 
 
 @query("g4_endpoint_resolution", f"WITH {GRAPH} SELECT record_no, pos, src, dst FROM res")
@@ -54,7 +54,7 @@ def g5(spark, sf_dir):
 
 @query("g6_parallel_edges", f"WITH {GRAPH} SELECT src, dst, array_to_string(types, ',') AS types, description, source_doc, n AS sentences FROM edges")
 def g6(spark, sf_dir):
-    return graph(spark, sf_dir)[2].select("src", "dst", F.array_join("types", ",").alias("types"), "description", "source_doc", F.size("source_sentences").cast("long").alias("sentences"))
+    return graph(spark, sf_dir)[2].select("src", "dst", F.array_join("types", ",").alias("types"), "description", "source_doc", F.col("mentions").alias("sentences"))
 
 
 @query(
@@ -65,7 +65,7 @@ SELECT canonical AS name, coalesce(arg_min(type, (CASE WHEN nodes.name = canonic
 def g7n(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     merged, _ = G.merge_aliases(nodes, edges)
-    return merged.select("name", "type", F.size("descriptions").cast("long").alias("mentions"), F.array_join("source_docs", ",").alias("docs"))
+    return merged.select("name", "type", "mentions", F.array_join("source_docs", ",").alias("docs"))
 
 
 @query(
@@ -76,7 +76,7 @@ SELECT s AS src, d AS dst, array_to_string(arg_min(types, place), ',') AS types,
 def g7e(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     _, e = G.merge_aliases(nodes, edges)
-    return e.select("src", "dst", F.array_join("types", ",").alias("types"), F.size("source_sentences").cast("long").alias("sentences"), "source_doc")
+    return e.select("src", "dst", F.array_join("types", ",").alias("types"), F.col("mentions").alias("sentences"), "source_doc")
 
 
 @query(
@@ -142,19 +142,21 @@ def a4(spark, sf_dir):
     return G.bfs(nodes, edges, _seeds(spark), 2)
 
 
-_CC = f"""WITH RECURSIVE {GRAPH}, f AS (SELECT * FROM edges WHERE src LIKE 'Supplier%' AND list_contains(types, 'SUPPLIES') AND n >= 2), u AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f),
-r(name, reach) AS (SELECT name, name FROM nodes UNION SELECT r.name, u.b FROM r JOIN u ON u.a = r.reach), cc AS (SELECT name, min(reach) AS component FROM r GROUP BY name)"""
+def _components_sql(rounds: int = 10) -> str:
+    """Rounds of the least neighbouring label: more than any path in the given graphs is long."""
+    out = [f"WITH {GRAPH}, u AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c0 AS MATERIALIZED (SELECT name, name AS component FROM nodes)"]
+    for k in range(rounds):
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT x.name, least(x.component, coalesce(min(y.component), x.component)) AS component FROM c{k} x LEFT JOIN u ON a = x.name LEFT JOIN c{k} y ON y.name = b GROUP BY x.name, x.component)")
+    return ", ".join(out) + f", cc AS (FROM c{rounds})"
 
 
-def _sparse(edges):
-    """Edges that at least two relationships support: few enough for several components."""
-    return edges.where(F.col("src").startswith("Supplier") & F.array_contains("types", "SUPPLIES") & (F.size("source_sentences") >= 2))
+_CC = _components_sql()
 
 
 @query("a5_components", _CC + " SELECT name, component FROM cc")
 def a5(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
-    return G.components(nodes, _sparse(edges))
+    return G.components(nodes, edges)
 
 
 def _metrics_sql(pred: str) -> str:
@@ -168,7 +170,7 @@ SELECT count(*) AS nodes, count(*) FILTER (len(docs) >= 2) AS cross_doc_nodes, 0
 
 def _metrics(spark, sf_dir, **flags):
     nodes, _, edges = graph(spark, sf_dir)
-    return G.metrics(nodes, edges, G.components(nodes, _sparse(edges)), **flags)
+    return G.metrics(nodes, edges, G.components(nodes, edges), **flags)
 
 
 @query("a6_graph_metrics", _metrics_sql("NOT list_has_any(sd, dd)"))
@@ -181,6 +183,39 @@ def a7(spark, sf_dir):
     return _metrics(spark, sf_dir, by_provenance=True)
 
 
+_GAPS = "nodes.name LIKE 'NATION_1%'"
+#: The nodes named NATION_1 have lost their documents.
+_LOST = _CC.replace(", c0 AS", f", lost AS (SELECT * REPLACE (CASE WHEN {_GAPS} THEN [] ELSE docs END AS docs) FROM nodes), c0 AS", 1)
+
+
+def _variant_sql(pred: str) -> str:
+    return _LOST + _metrics_sql(pred).removeprefix(_CC).replace("nodes", "lost").replace("AS lost,", "AS nodes,").replace("_lost", "_nodes")
+
+
+def _variant(spark, sf_dir, **flags):
+    nodes, _, edges = graph(spark, sf_dir)
+    lost = nodes.withColumn("source_docs", F.when(F.col("name").like("NATION_1%"), F.array().cast("array<string>")).otherwise(F.col("source_docs")))
+    return G.metrics(lost, edges, G.components(nodes, edges), **flags)
+
+
+_APART, _MANY, _FULL = "NOT list_has_any(sd, dd)", "len(edge_docs) > 1", "len(sd) > 0 AND len(dd) > 0"
+
+
+@query("a7_strict", _variant_sql(f"{_APART} AND {_FULL}"))
+def a7s(spark, sf_dir):
+    return _variant(spark, sf_dir)
+
+
+@query("a7_empty_counts", _variant_sql(_APART))
+def a7e(spark, sf_dir):
+    return _variant(spark, sf_dir, empty_counts=True)
+
+
+@query("a7_empty_counts_by_provenance", _variant_sql(f"{_APART} OR {_MANY}"))
+def a7ep(spark, sf_dir):
+    return _variant(spark, sf_dir, empty_counts=True, by_provenance=True)
+
+
 @query("a6_edge_types", f"WITH {GRAPH} SELECT type, count(*) AS n FROM (SELECT unnest(types) AS type FROM edges) GROUP BY type ORDER BY n DESC, type LIMIT 20")
 def a6t(spark, sf_dir):
     return G.edge_types(graph(spark, sf_dir)[2])
@@ -229,36 +264,39 @@ def a11e(spark, sf_dir):
 @query(
     "a12_gold_connectivity",
     f"""WITH {GRAPH}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), nc AS (SELECT DISTINCT n.name, k.chunk_id FROM k JOIN nodes n USING (key)),
-p AS (SELECT o_orderkey AS pair_id, 'order-' || o_orderkey AS a_chunk, 'order-' || (o_orderkey + 1) AS b_chunk FROM orders WHERE o_orderkey % 200 = 0),
-s AS (SELECT pair_id, b_chunk, name FROM p JOIN nc ON a_chunk = chunk_id), r AS (SELECT * FROM s UNION SELECT pair_id, b_chunk, b FROM s JOIN u ON a = name),
+p AS (SELECT o_orderkey AS pair_id, 'order-' || o_orderkey AS a_chunk, 'order-' || (o_orderkey + 1) AS b_chunk FROM orders WHERE o_orderkey % 50 = 0),
+s AS (SELECT pair_id, b_chunk, name FROM p JOIN nc ON a_chunk = chunk_id), r1 AS MATERIALIZED (SELECT * FROM s UNION SELECT pair_id, b_chunk, b FROM s JOIN u ON a = name), r2 AS MATERIALIZED (SELECT * FROM r1 UNION SELECT pair_id, b_chunk, b FROM r1 JOIN u ON a = name), r AS MATERIALIZED (SELECT * FROM r2 UNION SELECT pair_id, b_chunk, b FROM r2 JOIN u ON a = name),
 h AS (SELECT DISTINCT pair_id FROM r JOIN nc ON r.b_chunk = nc.chunk_id AND r.name = nc.name) SELECT p.pair_id, h.pair_id IS NOT NULL AS connected FROM p LEFT JOIN h USING (pair_id)""",
 )
 def a12(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     key = F.col("o_orderkey")
-    pairs = table(spark, sf_dir, "orders").where(key % 200 == 0).select(key.alias("pair_id"), F.concat(F.lit("order-"), key.cast("string")).alias("a_chunk"), F.concat(F.lit("order-"), (key + 1).cast("string")).alias("b_chunk"))
-    return G.gold_connected(nodes, edges, pairs, 1)
+    pairs = table(spark, sf_dir, "orders").where(key % 50 == 0).select(key.alias("pair_id"), F.concat(F.lit("order-"), key.cast("string")).alias("a_chunk"), F.concat(F.lit("order-"), (key + 1).cast("string")).alias("b_chunk"))
+    return G.gold_connected(nodes, edges, pairs)
 
 
-_SUB = GRAPH.replace("ents AS (", "ents AS (SELECT * FROM (", 1).replace("), rels AS (", ") WHERE record_no % 10 = 0), rels AS (SELECT * FROM (", 1).replace("),\nk AS", ") WHERE record_no % 10 = 0),\nk AS", 1)
+_CHOSEN = "record_no IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+_SUB = GRAPH.replace("ents AS (", "ents AS (SELECT * FROM (", 1).replace("), rels AS (", f") WHERE {_CHOSEN}), rels AS (SELECT * FROM (", 1).replace("),\nk AS", f") WHERE {_CHOSEN}),\nk AS", 1)
 
 
 @query("a13_induced_graph", f"WITH {_SUB} SELECT src, dst, n AS sentences FROM edges")
 def a13(spark, sf_dir):
-    """The graph rebuilt from the records that a selection names."""
-    nodes = G.build_nodes(mentions(spark, sf_dir).where("record_no % 10 = 0"))
-    edges = G.build_edges(G.resolve_ends(relations(spark, sf_dir).where("record_no % 10 = 0"), nodes))
-    return edges.select("src", "dst", F.size("source_sentences").cast("long").alias("sentences"))
+    """The graph rebuilt from the records that a selection names: those of urgent orders."""
+    chosen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("record_no"))
+    nodes = G.build_nodes(mentions(spark, sf_dir).join(chosen, "record_no", "left_semi"))
+    edges = G.build_edges(G.resolve_ends(relations(spark, sf_dir).join(chosen, "record_no", "left_semi"), nodes))
+    return edges.select("src", "dst", F.col("mentions").alias("sentences"))
 
 
 @query(
     "a14_mention_links",
-    r"""WITH n AS (SELECT unnest(['worthless', 'pathetic', 'trash', 'que le', 'scum']) AS name), d AS (SELECT doc_id::VARCHAR AS doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda t: t <> ''), ' ') || ' ' AS t FROM documents),
-f AS (SELECT name, doc_id FROM n JOIN d ON contains(t, ' ' || name || ' ')) SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS names FROM f x JOIN f y ON x.name = y.name AND x.doc_id < y.doc_id GROUP BY 1, 2""",
+    rf"""WITH {GRAPH}, n AS (SELECT name, ' ' || array_to_string(list_filter(string_split_regex(lower(name), '[^\pL\pN]+'), lambda t: t <> ''), ' ') || ' ' AS p FROM (SELECT name FROM nodes UNION ALL SELECT unnest(['worthless', 'pathetic', 'trash', 'que le', 'scum']))), d AS (SELECT doc_id::VARCHAR AS doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda t: t <> ''), ' ') || ' ' AS t FROM documents),
+f AS (SELECT name, doc_id FROM n JOIN d ON contains(t, p)) SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS names FROM f x JOIN f y ON x.name = y.name AND x.doc_id < y.doc_id GROUP BY 1, 2""",
 )
 def a14(spark, sf_dir):
+    """The graph's names, and some that stand in the documents."""
     names = spark.createDataFrame([(w,) for w in ("worthless", "pathetic", "trash", "que le", "scum")], "name string")
-    return G.mention_links(names, table(spark, sf_dir, "documents"))
+    return G.mention_links(graph(spark, sf_dir)[0].select("name").unionByName(names), table(spark, sf_dir, "documents"))
 
 
 @query(
