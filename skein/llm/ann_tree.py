@@ -135,14 +135,20 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of a row of scores, ties to the smaller id."""
-    if len(scores) > k:
+def _top(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, products) of the k best rows of x for a query, ties to the smaller id; -inf scores are none.
+
+    The last bits of a matrix product depend on its shape, so all rows within the rounding
+    of the cut are multiplied anew, each in the same order, before any is left out.
+    """
+    at = np.flatnonzero(scores > -np.inf)
+    if len(at) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= cut)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+        margin = 4 * len(q) * np.finfo(float).eps * float(np.abs(q).max() * np.abs(x[at]).sum(1).max())
+        at = np.flatnonzero(scores >= cut - margin)
+    exact = (x[at] * q).sum(1)
+    order = np.lexsort((ids[at], -exact))[:k]
+    return at[order], exact[order]
 
 
 def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
@@ -153,6 +159,7 @@ def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
     is_query = table["is_query"].to_numpy()
     ids, x = table["id"].to_numpy(), _matrix(table["vec"].combine_chunks(), dim)
     own, asking = np.flatnonzero(~is_query), np.flatnonzero(is_query)
+    mine = x[own]
     names, flat = np.unique(flat, return_inverse=True)
     home = flat[np.repeat(~is_query, counts)]
     wanted = np.zeros((len(asking), len(names)), bool)
@@ -160,20 +167,14 @@ def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(asking) if len(own) else 0, 256):
         some = asking[a : a + 256]
-        s = x[some] @ x[own].T
+        s = x[some] @ mine.T
         s[~wanted[a : a + 256][:, home]] = -np.inf
         s[ids[some][:, None] == ids[own][None]] = -np.inf
         for r in range(len(some)):
-            at = _top(s[r], ids[own], k)
-            at = at[s[r][at] > -np.inf]
-            found.append((np.full(len(at), some[r]), own[at], s[r][at]))
+            at, exact = _top(s[r], x[some[r]], mine, ids[own], k)
+            found.append((np.full(len(at), some[r]), own[at], exact))
     q, c, s = (np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)]) for n in range(3))
-    order = np.lexsort((ids[c], -s, q))
-    q, c = q[order], c[order]
-    first = np.flatnonzero(np.diff(q, prepend=-1))
-    keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
-    q, c = q[keep], c[keep]
-    return pa.table({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array((x[q] * x[c]).sum(1), pa.float64())})
+    return pa.table({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array(s, pa.float64())})
 
 
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -245,12 +246,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         ids, x = given.value
         for b in batches:
             ci, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
-            s = x @ _matrix(b.column(1), dim).T
+            mine = _matrix(b.column(1), dim)
+            s = x @ mine.T
             s[ids[:, None] == ci[None]] = -np.inf
             for r in range(len(ids)):
-                at = _top(s[r], ci, k)
-                at = at[s[r][at] > -np.inf]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(at), ids[r]), pa.int64()), "vec_id": pa.array(ci[at], pa.int64()), "score": pa.array(s[r][at], pa.float64()), "leaf": pa.array(leaf[at], pa.int32())})
+                at, exact = _top(s[r], x[r], mine, ci, k)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(at), ids[r]), pa.int64()), "vec_id": pa.array(ci[at], pa.int64()), "score": pa.array(exact, pa.float64()), "leaf": pa.array(leaf[at], pa.int32())})
 
     true = dealt.select("id", "vec", "leaf").mapInArrow(against, FOUND + ", leaf int")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,70 +1,123 @@
 """The live index: uploads and removals as a stream, published as versions.
 
-State lives under one folder: records/ (appended batches of chunks), removals, a
-folder for each version and a pointer file that a rename replaces. A batch
-replaces all rows of its files, so a run that is repeated after a crash gives the same version.
+State lives under one folder: inbox/ (a JSON file for each upload or removal),
+a folder for each version with chunks, nodes and edges, and a pointer file for each published
+version, of which the newest counts. A pointer appears by a rename to a name of its own, so a
+crash at any step leaves the version before it active. A batch replaces all rows of its files,
+so one that is repeated after a crash gives the same version.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators import graph as G
 from skein.operators.chunking import sliding_window
+from skein.operators.extraction import ENTITY, RELATION
 
-CHUNK = "file_name string, chunk_id string, doc_id string, chunk_index int, text string, _parse_error string, removed boolean, seq long"
+CHUNK = f"file_name string, chunk_id string, doc_id string, chunk_index int, text string, entities array<{ENTITY}>, relationships array<{RELATION}>, _parse_error string, seq long"
 UPLOAD = "file_name string, text string, removed boolean"
 KEPT_VERSIONS, HISTORY = 2, 50
 
 
+def no_records(chunks: DataFrame) -> DataFrame:
+    """Chunks without extraction: searchable text alone."""
+    return chunks.withColumn("entities", F.array().cast(f"array<{ENTITY}>")).withColumn("relationships", F.array().cast(f"array<{RELATION}>")).withColumn("_parse_error", F.lit(None).cast("string"))
+
+
 class LiveIndex:
-    """extract(chunks) may add columns; a row with _parse_error stays searchable."""
+    """extract(chunks) adds entities, relationships and _parse_error; a chunk with an error stays searchable and adds nothing to the graph."""
 
-    def __init__(self, spark: SparkSession, root: str, extract: Callable[[DataFrame], DataFrame] | None = None, size: int = 500):
-        self.spark, self.root, self.size = spark, root.rstrip("/"), size
-        self.extract = extract or (lambda df: df.withColumn("_parse_error", F.lit(None).cast("string")))
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(p)
+    def __init__(self, spark: SparkSession, root: str, extract: Callable[[DataFrame], DataFrame] = no_records, size: int = 500):
+        self.spark, self.root, self.size, self.extract = spark, root.rstrip("/"), size, extract
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for folder in ("inbox", "pointers"):
+            self.fs.mkdirs(self._path(folder))
 
     def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def _put(self, folder: str, name: str, state: dict) -> None:
+        """A JSON file that appears whole or not at all."""
+        tmp = self._path(f".new-{uuid.uuid4().hex}")
+        out = self.fs.create(tmp, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self.fs.rename(tmp, self._path(f"{folder}/{name}")):
+            self.fs.delete(tmp, False)
+            raise FileExistsError(f"{folder}/{name}")
+
+    def _pointers(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self._path("pointers")))
 
     def _pointer(self) -> dict:
-        p = self._path("active.json")
-        if not self.fs.exists(p):
+        names = self._pointers()
+        if not names:
             return {"version": 0, "history": []}
-        return json.loads(self.spark.read.option("wholetext", True).text(str(p.toString())).first()[0])
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/pointers/{names[-1]}").first()[0])
 
     def _publish(self, state: dict) -> None:
-        tmp, p = self._path(f".active-{uuid.uuid4().hex}"), self._path("active.json")
-        out = self.fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if self.fs.exists(p):
-            self.fs.delete(p, False)
-        self.fs.rename(tmp, p)
+        self._put("pointers", f"{state['version']:012d}.json", state)
+        for old in self._pointers()[:-KEPT_VERSIONS]:
+            self.fs.delete(self._path(f"pointers/{old}"), False)
+
+    def enqueue(self, file_name: str, text: str) -> None:
+        """Put an upload in the inbox; one of a name that is indexed replaces it."""
+        self._put("inbox", f"{time.time_ns():020d}-{uuid.uuid4().hex}.json", {"file_name": file_name, "text": text, "removed": False})
+
+    def remove(self, file_name: str) -> None:
+        """Put a removal in the inbox."""
+        self._put("inbox", f"{time.time_ns():020d}-{uuid.uuid4().hex}.json", {"file_name": file_name, "text": None, "removed": True})
 
     def version(self) -> int:
         return self._pointer()["version"]
 
+    def _read(self, part: str, schema) -> DataFrame:
+        v = self.version()
+        return self.spark.read.schema(schema).parquet(f"{self.root}/v{v}/{part}") if v else self.spark.createDataFrame([], schema)
+
     def records(self) -> DataFrame:
         """Chunks of the active version."""
-        v = self.version()
-        return self.spark.read.schema(CHUNK).parquet(f"{self.root}/v{v}") if v else self.spark.createDataFrame([], CHUNK)
+        return self._read("chunks", CHUNK)
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the active version."""
+        nodes, edges = self.build(self.spark.createDataFrame([], CHUNK))
+        return self._read("nodes", nodes.schema), self._read("edges", edges.schema)
+
+    def build(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of chunks; the first mention is that of the earliest batch, file and chunk."""
+        good = rows.where("_parse_error is null").select(F.struct("seq", "file_name", "chunk_index").alias("record_no"), "chunk_id", "doc_id", "entities", "relationships")
+        ents = good.select("record_no", "chunk_id", "doc_id", F.posexplode("entities").alias("pos", "x")).select("record_no", "pos", "chunk_id", "doc_id", "x.*")
+        rels = good.select("record_no", "chunk_id", "doc_id", F.posexplode("relationships").alias("pos", "x")).select("record_no", "pos", "chunk_id", "doc_id", "x.*")
+        nodes = G.build_nodes(ents)
+        return nodes, G.build_edges(G.resolve_ends(rels, nodes))
 
     def history(self) -> list[dict]:
+        """The last batches, newest first: batch, version, files and their states."""
         return self._pointer()["history"]
 
     def status(self, file_name: str) -> str:
-        return "indexed" if self.records().where(F.col("file_name") == file_name).limit(1).count() else "unknown"
+        """indexed, indexed_with_errors, queued (in no published batch yet), removed or unknown."""
+        own = self.records().where(F.col("file_name") == file_name).agg(F.count(F.lit(1)).alias("n"), F.count("_parse_error").alias("bad")).first()
+        seen = {f: s for h in reversed(self.history()) for f, s in h["files"].items()}
+        if own["n"]:
+            return "indexed_with_errors" if own["bad"] else "indexed"
+        if file_name in seen:
+            return seen[file_name]
+        waiting = self.fs.listStatus(self._path("inbox"))
+        if len(waiting) and self.spark.read.schema(UPLOAD).json(f"{self.root}/inbox").where((F.col("file_name") == file_name) & ~F.coalesce("removed", F.lit(False))).limit(1).count():
+            return "queued"
+        return "unknown"
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch of uploads and tombstones: replace the files' rows, write the next version, move the pointer, prune. A batch that was published before is skipped; one that changes nothing publishes nothing."""
+        """One micro-batch of uploads and tombstones: replace the files' rows, rebuild the graph, write the next version, move the pointer, prune. A batch that was published before is skipped; one that changes nothing publishes nothing."""
         state = self._pointer()
         if any(h["batch"] == batch_id for h in state["history"]):
             return
@@ -74,26 +127,29 @@ class LiveIndex:
             old = self.records()
             uploads = last.where("not removed")
             gone = last.where("removed").join(old.select("file_name").distinct(), "file_name", "left_semi")
-            if not uploads.limit(1).count() and not gone.limit(1).count():
+            files = {r["file_name"]: "removed" if r["removed"] else "indexed" for r in uploads.unionByName(gone).select("file_name", "removed").collect()}  # one inbox file makes a batch
+            if not files:
                 return
             chunks = sliding_window(uploads.select(F.col("file_name").alias("doc_id"), "text"), self.size)
-            fresh = self.extract(chunks).select(F.col("doc_id").alias("file_name"), "chunk_id", "doc_id", "chunk_index", "text", "_parse_error", F.lit(False).alias("removed"), F.lit(batch_id).cast("long").alias("seq"))
+            fresh = self.extract(chunks).select(F.col("doc_id").alias("file_name"), "chunk_id", "doc_id", "chunk_index", "text", "entities", "relationships", "_parse_error", F.lit(batch_id).cast("long").alias("seq"))
             rows = old.join(last.select("file_name"), "file_name", "left_anti").select(fresh.columns).unionByName(fresh)
             v = state["version"] + 1
-            path = f"{self.root}/v{v}"
             try:
-                rows.write.mode("overwrite").parquet(path)
+                rows.write.mode("overwrite").parquet(f"{self.root}/v{v}/chunks")
+                nodes, edges = self.build(self.spark.read.schema(CHUNK).parquet(f"{self.root}/v{v}/chunks"))
+                nodes.write.mode("overwrite").parquet(f"{self.root}/v{v}/nodes")
+                edges.write.mode("overwrite").parquet(f"{self.root}/v{v}/edges")
             except Exception:
                 self.fs.delete(self._path(f"v{v}"), True)
                 raise
-            self._publish({"version": v, "history": [{"batch": batch_id, "version": v}, *state["history"]][:HISTORY]})
+            self._publish({"version": v, "history": [{"batch": batch_id, "version": v, "files": files}, *state["history"]][:HISTORY]})
             self.fs.delete(self._path(f"v{v - KEPT_VERSIONS}"), True)
         finally:
             last.unpersist()
 
-    def run(self, inbox: str) -> None:
-        """Take in all files of JSON rows (file_name, text, removed) that are new in the inbox."""
-        stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1).json(inbox)
+    def run(self, inbox: str | None = None) -> None:
+        """Take in all files of JSON rows (file_name, text, removed) that are new in the inbox, oldest first. After a crash the stream's checkpoint gives the unfinished batch again."""
+        stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1).json(inbox or f"{self.root}/inbox")
         stream = stream.withColumn("removed", F.coalesce("removed", F.lit(False)))
         q = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.root}/_checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -268,6 +268,23 @@ def test_ann(spark):
     assert ann_tree.search(spark.createDataFrame([], df.schema), F.col("id") % 20 == 0).count() == 0
 
 
+def test_ann_ties_go_to_the_smaller_id(spark):
+    """Equal rows have equal products, whatever the shape of the matrices that propose them."""
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=64)
+    x = np.concatenate([rng.normal(size=(200, 64)) * 0.1, np.repeat(one[None], 3000, axis=0)])
+    order = rng.permutation(len(x))
+    rows = [(int(k), x[i].tolist()) for k, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    same = [k for k, i in enumerate(order) if i >= 200]
+    got = {}
+    for r in ann_tree.search(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in [k for k in same if k % 20 == 0]:
+        want = [k for k in same if k != q][:20]
+        assert [v for _, v, _ in sorted(got[q])] == want and len({s for _, _, s in got[q]}) == 1
+
+
 def test_batches_are_cut(spark):
     from skein.llm.common import map_batches
 

@@ -189,4 +189,46 @@ def test_live_index(spark, tmp_path):
     assert send(3, file_name="f2", text="a b") == (3, 4)
     assert send(4, file_name="f1", removed=True) == (4, 1)
     assert send(5, file_name="nobody", removed=True) == (4, 1)
-    assert index.status("f2") == "indexed" and index.status("f1") == "unknown" and len(index.history()) == 4
+    assert index.status("f2") == "indexed" and index.status("f1") == "removed" and index.status("f3") == "unknown" and len(index.history()) == 4
+
+
+def test_live_index_rebuilds_and_recovers(spark, tmp_path, monkeypatch):
+    from skein.operators.extraction import ENTITY, RELATION
+    from skein.streaming.live_index import LiveIndex
+
+    def extract(chunks):
+        """'A knows B' is two entities and a relationship; a chunk with '!' can't be extracted."""
+        w, none = F.split("text", " "), F.lit("")
+        bad = F.col("text").contains("!")
+        ents = F.array(*(F.struct(w[k].alias("name"), F.lit("PERSON").alias("type"), none.alias("description"), none.alias("source_sentence"), F.lit(False).alias("stub")) for k in (0, 2)))
+        rels = F.array(F.struct(w[0].alias("source"), w[2].alias("target"), w[1].alias("type"), none.alias("description"), none.alias("source_sentence")))
+        out = chunks.withColumn("_parse_error", F.when(bad, "no answer"))
+        return out.withColumn("entities", F.when(~bad, ents).cast(f"array<{ENTITY}>")).withColumn("relationships", F.when(~bad, rels).cast(f"array<{RELATION}>"))
+
+    def edges(index):
+        return sorted((r["src"], r["dst"], r["types"][0]) for r in index.graph()[1].collect())
+
+    index = LiveIndex(spark, str(tmp_path / "index"), extract)
+    assert index.version() == 0 and edges(index) == []
+    index.enqueue("f1", "Ann knows Bob")
+    assert index.status("f1") == "queued"
+    index.run()
+    index.enqueue("f2", "ann likes Cid")
+    index.enqueue("f3", "oh no !")
+    index.run()
+    assert index.version() == 3 and edges(index) == [("Ann", "Bob", "KNOWS"), ("Ann", "Cid", "LIKES")]
+    assert index.status("f3") == "indexed_with_errors" and index.records().count() == 3
+    # a crash before the pointer moves leaves the old version; the batch comes again
+    index.enqueue("f1", "Dan knows Eve")
+    for step in ("_publish", "build"):
+        with monkeypatch.context() as m:
+            m.setattr(LiveIndex, step, lambda *a: 1 / 0)
+            with pytest.raises(Exception):
+                index.run()
+        again = LiveIndex(spark, str(tmp_path / "index"), extract)
+        assert again.version() == 3 and edges(again) == [("Ann", "Bob", "KNOWS"), ("Ann", "Cid", "LIKES")]
+    again.run()
+    assert again.version() == 4 and edges(again) == [("Dan", "Eve", "KNOWS"), ("ann", "Cid", "LIKES")]
+    again.remove("f2")
+    again.run()
+    assert edges(again) == [("Dan", "Eve", "KNOWS")] and again.status("f2") == "removed" and len(list((tmp_path / "index").glob("v*"))) == 2
