@@ -38,33 +38,45 @@ def with_offsets(pieces: DataFrame, strategy: str) -> DataFrame:
     return rows.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "token_count", (F.col("end_offset") - F.col("token_count")).alias("start_offset"), "end_offset", "chunk_index", F.lit(strategy).alias("strategy"))
 
 
-def split_recursive(text: str, target: int, overlap: float, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
-    """Pieces of about `target` tokens cut at the coarsest separator that fits, each led by the end of the piece before."""
+def split_recursive(text: str, target: int, overlap: float, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
+    """Pieces of at most `target` tokens, cut at the coarsest separator that does; "" parts characters.
+
+    Parts join up to the target, and a run begins with the end of the run before it. A run
+    that is too long with this goes on at the next separator; where none is left, token windows with the same
+    overlap cut it.
+    """
 
     def count(t: str) -> int:
         return len(_token.findall(t))
 
-    def cut(t: str, level: int) -> list[str]:
+    back = int(overlap * target * 4)
+
+    def runs(parts: list[str]) -> Iterator[str]:
+        run = ""
+        for part in parts:
+            if run and count(run + part) > target:
+                yield run
+                run = run[-back:] if back else ""
+            run += part
+        if run:
+            yield run
+
+    def cut(t: str, level: int) -> Iterator[str]:
+        if not t.strip():
+            return
         if count(t) <= target:
-            return [t]
-        if level == len(separators):
+            yield t
+        elif level == len(separators):
             own = _token.findall(t)
-            return ["".join(own[k : k + target]) for k in range(0, len(own), target)]
-        sep = separators[level]
-        parts = t.split(sep)
-        parts = [p + sep for p in parts[:-1]] + parts[-1:]
-        out: list[str] = []
-        for p in parts:
-            for q in [p] if count(p) <= target else cut(p, level + 1):
-                if out and count(out[-1]) + count(q) <= target:
-                    out[-1] += q
-                else:
-                    out.append(q)
-        return out
-
-    pieces = [p for p in cut(text, 0) if p.strip()]
-    back = int(overlap * target * 4)
-    return [p if not k or not back else pieces[k - 1][-back:] + p for k, p in enumerate(pieces)]
+            for at in range(0, len(own), max(1, target - int(target * overlap))):
+                yield "".join(own[at : at + target])
+        else:
+            sep = separators[level]
+            parts = t.split(sep) if sep else [*t]
+            for run in runs([p + sep for p in parts[:-1]] + parts[-1:]):
+                yield from cut(run, level + 1)
+
+    return [*cut(text, 0)]
 
 
 def split_markdown(text: str, least: int = 100) -> list[str]:

@@ -42,7 +42,11 @@ def term_coverage(answer: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) > 0, hit / F.size(wanted)).otherwise(1.0)
 
 
-def is_refusal(answer: Column, markers: tuple[str, ...] = ("not enough information", "cannot answer", "don't know")) -> Column:
+#: Fixed value: what an answer says that a model was told to say where it finds none.
+NO_ANSWER = "i cannot answer this question"
+
+
+def is_refusal(answer: Column, markers: tuple[str, ...] = (NO_ANSWER,)) -> Column:
     out = F.lit(False)
     for m in markers:
         out = out | F.lower(answer).contains(m)
@@ -254,10 +258,171 @@ def cross_document_share(retrieved: DataFrame, chunk_docs: DataFrame, gold: Data
     return r.groupBy("qid").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("hit") == 1, F.col("id"))).alias("gold_hits")).withColumn("cross", F.col("documents") > 1)
 
 
+#: Endings that a stem loses, the first that leaves three letters, and words that say nothing of a text's content.
+ENDINGS = ("iness", "ingly", "edly", "ment", "ness", "tion", "ing", "ies", "ied", "ed", "es", "ly", "s")
+STOPWORDS = """a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing
+down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of
+off on once one only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through to
+too under until up very was we were what when where which while who whom why will with would you your yours""".split()
+
+
 def stem(word: Column) -> Column:
-    """A cautious stem: common endings off words that stay four letters long."""
-    return F.regexp_replace(F.lower(word), "^(.{4,}?)(ings?|edly|ed|es|s|ly)$", "$1")
+    """A word in lower case without its ending."""
+    w = F.lower(word)
+    out = None
+    for e in ENDINGS:
+        fits = w.endswith(e) & (F.length(w) >= len(e) + 3)
+        short = F.substring(w, F.lit(1), F.length(w) - len(e))
+        out = F.when(fits, short) if out is None else out.when(fits, short)
+    return out.otherwise(w)
+
+
+def content_stems(text: Column) -> Column:
+    """Distinct stems of a text's words of three letters and more, without stop words."""
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS)), stem))
 
 
 def stem_overlap(a: Column, b: Column) -> Column:
-    return F.array_intersect(F.transform(terms(a), stem), F.transform(terms(b), stem))
+    return F.array_sort(F.array_intersect(content_stems(a), content_stems(b)))
+
+
+#: The kinds of questions of a gold set, and the least letters of an answer.
+QUESTION_TYPES = ("single-chunk", "two-chunk", "cross-doc", "paraphrase", "no-answer")
+LEAST_ANSWER = 40
+
+
+def gold_problems(questions: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, rule, detail: each rule that a gold set breaks.
+
+    questions: qid, type, text, answer, note; gold: qid, id, required_terms (array); chunks: id,
+    doc_id, text. Rules: a known type; gold chunks that exist and hold their required terms in
+    any case; one gold chunk for single-chunk and paraphrase questions, two of one document
+    for two-chunk ones, two or more of several documents for cross-doc ones, none for no-answer ones, which
+    have no answer and a note that says NOT ANSWERABLE; an answer of more than LEAST_ANSWER letters for
+    all others; no content stem in common with its chunk for a paraphrase.
+    """
+    g = gold.select("qid", "id", "required_terms").join(chunks.select("id", "doc_id", F.col("text").alias("chunk")), "id", "left").join(questions.select("qid", "type", F.col("text").alias("q")), "qid")
+    lacks = F.filter(F.coalesce("required_terms", F.array().cast("array<string>")), lambda t: ~F.lower("chunk").contains(F.lower(t)))
+    shared = stem_overlap(F.col("q"), F.col("chunk"))
+    in_chunk = F.array(
+        F.when(F.col("chunk").isNull(), F.struct(F.lit("unknown chunk").alias("rule"), F.col("id").cast("string").alias("detail"))),
+        F.when(F.size(lacks) > 0, F.struct(F.lit("required terms").alias("rule"), F.array_join(lacks, ",").alias("detail"))),
+        F.when((F.col("type") == "paraphrase") & (F.size(shared) > 0), F.struct(F.lit("shared stems").alias("rule"), F.array_join(shared, ",").alias("detail"))),
+    )
+    of_chunks = g.select("qid", F.explode(F.filter(in_chunk, lambda x: x.isNotNull())).alias("x")).select("qid", "x.*")
+    per = g.groupBy("qid").agg(F.count_distinct("id").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    q = questions.join(per, "qid", "left").na.fill(0, ["n", "docs"])
+    kind, answer = F.col("type"), F.coalesce("answer", F.lit(""))
+    wrong = {
+        "type": ~F.coalesce(kind, F.lit("")).isin(*QUESTION_TYPES),
+        "one gold chunk": kind.isin("single-chunk", "paraphrase") & (F.col("n") != 1),
+        "two gold chunks of one document": (kind == "two-chunk") & ((F.col("n") != 2) | (F.col("docs") != 1)),
+        "several documents": (kind == "cross-doc") & ((F.col("docs") < 2) | (F.col("n") < 2)),
+        "no gold and no answer": (kind == "no-answer") & ((F.col("n") > 0) | F.col("answer").isNotNull() | ~F.coalesce("note", F.lit("")).contains("NOT ANSWERABLE")),
+        "an answer": (kind != "no-answer") & (F.length(answer) <= LEAST_ANSWER),
+    }
+    rules = F.array(*(F.when(bad, F.lit(rule)) for rule, bad in wrong.items()))
+    of_questions = q.select("qid", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"), F.concat_ws(":", "type", F.col("n").cast("string")).alias("detail"))
+    return of_questions.unionByName(of_chunks)
+
+
+#: What an answer says that gives none.
+REFUSALS = ("cannot answer", "not provided", "does not contain", "i cannot", "insufficient", "not mentioned", "no evidence", "not found")
+
+
+def corrected(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    """One row of means under both conventions: over answerable questions alone, and over all with 1 for those without gold.
+
+    rows: qid, answer, retrieved (array of ids by rank), gold (array), required (array of terms), latency.
+    Beside recall at each k and the reciprocal rank: n, answerable, refused (share of the
+    unanswerable that are refused), valid_citations (all [n] of an answer are in range), gold_citations (share of
+    an answer's citations in range that are gold; without citations 1 for questions without gold), coverage of
+    required terms, truncated (answers of 450 tokens and more that end without a mark) and latency.
+    """
+    none = F.array().cast("array<string>")
+    answer, got, gold = F.coalesce("answer", F.lit("")), F.coalesce("retrieved", none), F.coalesce("gold", none)
+    marks = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))
+    base = rows.select(answer.alias("answer"), got.alias("got"), gold.alias("gold"), marks.alias("marks"), F.array_distinct(F.coalesce("required", none)).alias("required"), "latency")
+    base = base.withColumn("has", F.size("gold") > 0).withColumn("cited", F.transform(F.filter("marks", lambda n: n < F.size("got")), lambda n: F.get("got", n)))
+    places = F.filter(F.transform("got", lambda x, i: F.when(F.array_contains("gold", x), i + 1)), lambda i: i.isNotNull())
+
+    def recall(k: int) -> Column:
+        return F.size(F.array_intersect(F.slice("got", 1, k), "gold")) / F.size("gold")
+
+    hits = F.size(F.filter("cited", lambda c: F.array_contains("gold", c)))
+    base = base.withColumn("places", places)
+    figures = {f"recall_at_{k}": recall(k) for k in ks} | {"mrr": F.when(F.size("places") > 0, 1 / F.array_min("places")).otherwise(0.0)}
+    both = [x for name, c in figures.items() for x in (F.round(F.avg(F.when(F.col("has"), c)), 4).alias(f"answerable_{name}"), F.round(F.avg(F.when(F.col("has"), c).otherwise(1.0)), 4).alias(f"all_{name}"))]
+    refused = F.exists(F.array(*(F.lit(r) for r in REFUSALS)), lambda r: F.lower("answer").contains(r))
+    valid = F.when(F.forall("marks", lambda n: n < F.size("got")), 1.0).otherwise(0.0)
+    aligned = F.when(F.size("marks") == 0, F.when(F.col("has"), 0.0).otherwise(1.0)).when(F.col("has") & (F.size("cited") > 0), hits / F.size("cited")).otherwise(0.0)
+    cut_off = ~F.trim("answer").rlike(r"[.!?\"'}\])]$") & (F.size(F.regexp_extract_all("answer", F.lit(r"(\S+)"), F.lit(1))) >= 450)
+    return base.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("has").alias("answerable"), *both,
+        F.round(F.avg(F.when(~F.col("has"), refused.cast("double"))), 4).alias("refused"), F.round(F.avg(valid), 4).alias("valid_citations"), F.round(F.avg(aligned), 4).alias("gold_citations"),
+        F.round(F.avg(F.when(F.size("required") > 0, term_coverage(F.col("answer"), F.col("required")))), 4).alias("coverage"), F.count_if(cut_off).alias("truncated"), F.round(F.avg("latency"), 3).alias("latency"),
+    )
+
+
+def stratum_noise(labels: DataFrame, stratum: str, judge: str, human: str, noise: str = "NOISE") -> DataFrame:
+    """By stratum, and over all with a null one: n, agreement and the human noise rate with Wilson's intervals, the judge's noise rate. Labels count without case and outer blanks."""
+    a, h = F.upper(F.trim(judge)), F.upper(F.trim(human))
+    rows = labels.where(F.coalesce(h, F.lit("")) != "").select(F.col(stratum).alias("stratum"), (a == h).alias("same"), (h == noise).alias("hn"), (a == noise).alias("an"))
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if("same").alias("same"), F.count_if("hn").alias("hn"), F.count_if("an").alias("an")]
+    out = rows.groupBy("stratum").agg(*counts).unionByName(rows.agg(*counts).withColumn("stratum", F.lit(None)).select("stratum", "n", "same", "hn", "an"))
+    (s_lo, s_hi), (n_lo, n_hi) = wilson(F.col("same"), F.col("n")), wilson(F.col("hn"), F.col("n"))
+    parts = {"agreement": F.col("same") / F.col("n"), "agreement_lo": s_lo, "agreement_hi": s_hi, "noise": F.col("hn") / F.col("n"), "noise_lo": n_lo, "noise_hi": n_hi, "judge_noise": F.col("an") / F.col("n")}
+    return out.select("stratum", "n", *(F.round(c, 6).alias(name) for name, c in parts.items()))
+
+
+def _loose(a: Column, b: Column) -> Column:
+    """One of two names holds the other; brackets and blanks around them don't count."""
+    a, b = F.regexp_replace(a, r"^[() ]+|[() ]+$", ""), F.regexp_replace(b, r"^[() ]+|[() ]+$", "")
+    return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
+
+
+def relation_differences(reference: DataFrame, other: DataFrame, by: str) -> DataFrame:
+    """by, source, target, kind of the reference's distinct relations (by, source, target): 'exact', 'renamed' (its ends and those of an unmatched other one hold each other, this way or reversed), else 'missing'. Names count normalised; sides are compared within `by` alone."""
+    from skein.functions.text import norm
+
+    def pairs(df: DataFrame) -> DataFrame:
+        return df.select(by, norm(F.col("source")).alias("source"), norm(F.col("target")).alias("target")).distinct()
+
+    a, b = pairs(reference), pairs(other)
+    keys = [by, "source", "target"]
+    free = b.join(a, keys, "left_anti").groupBy(by).agg(F.collect_list(F.struct("source", "target")).alias("free"))
+    rows = a.join(b.withColumn("same", F.lit(True)), keys, "left").join(free, by, "left")
+    s, t = F.col("source"), F.col("target")
+    near = F.exists("free", lambda x: (_loose(s, x["source"]) & _loose(t, x["target"])) | (_loose(s, x["target"]) & _loose(t, x["source"])))
+    return rows.select(*keys, F.when(F.col("same"), "exact").when(F.coalesce(near, F.lit(False)), "renamed").otherwise("missing").alias("kind"))
+
+
+#: Words that are no sign of where a context is from, and the least letters and number of those that are.
+COMMON = """about above after against also among and another are because been before being between both but can could does during each from further have
+having here into its more most must not only other over same should some such than that the their them then there these they this those through under until
+using was were what when where which while will with within would""".split()
+LEAST_TERM, LEAST_TERMS, MOST_TERMS = 5, 3, 20
+
+
+def context_traced(contexts: DataFrame, documents: DataFrame, n: int = 4) -> DataFrame:
+    """cid, id, shared (n-grams in common), terms (words in common that the question lacks) and traced (any of the first, or LEAST_TERMS of the second), of contexts (cid, text, question) and documents that have any word in common with them.
+
+    Words are runs of a-z and 0-9. Of a pair's common words of LEAST_TERM letters and more the first MOST_TERMS by
+    the alphabet count. Contexts and documents meet on n-grams and on words, not each with each.
+    """
+
+    def words(c: str) -> Column:
+        return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+
+    a = contexts.select("cid", words("text").alias("w"), words("question").alias("q"))
+    b = documents.select("id", words("text").alias("w"))
+    grams = a.select("cid", F.explode(ngrams("w", n)).alias("g")).join(b.select("id", F.explode(ngrams("w", n)).alias("g")), "g").groupBy("cid", "id").agg(F.count(F.lit(1)).alias("shared"))
+
+    def telling(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.array_distinct("w")).alias("t")).where(F.col("t").rlike(f"^[a-z]{{{LEAST_TERM},}}$") & ~F.col("t").isin(*COMMON))
+
+    common = telling(a, "cid").join(telling(b, "id"), "t").groupBy("cid", "id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, MOST_TERMS).alias("t"))
+    common = common.join(a.select("cid", "q"), "cid").select("cid", "id", F.size(F.array_except("t", "q")).cast("long").alias("terms"))
+    out = grams.join(common, ["cid", "id"], "full_outer").na.fill(0, ["shared", "terms"])
+    return out.withColumn("traced", (F.col("shared") > 0) | (F.col("terms") >= LEAST_TERMS))

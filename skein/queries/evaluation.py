@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from skein.operators import metrics as M
 from skein.operators import search as S
 from skein.queries import query
-from skein.sources.tables import table
+from skein.queries.text import KG
+from skein.sources.tables import relations, table
 
 _RUN = """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id % 25 = 0),
 run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 10), qs AS (SELECT id AS qid, label FROM e WHERE id % 25 = 0),
@@ -49,6 +50,32 @@ def m5(spark, sf_dir):
     return M.retrieval(q, run, gold).join(gold.select("qid").distinct(), "qid", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall_at_10"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
+_ANSWER = "CASE qid % 4 WHEN 0 THEN 'see [0], [' || qid % 13 || '] and The End' WHEN 1 THEN 'It is not found.' WHEN 2 THEN 'plain' ELSE 'the end [1]' END"
+
+
+@query(
+    "m5_both_conventions",
+    _RUN
+    + rf""", r AS (SELECT qid, list(id::VARCHAR ORDER BY rank) AS got FROM run GROUP BY qid), g AS (SELECT qid, list(id::VARCHAR) AS gold FROM gold GROUP BY qid),
+x AS (SELECT qid, {_ANSWER} AS answer, got, coalesce(gold, []) AS gold, qid % 7 AS latency FROM qs JOIN r USING (qid) LEFT JOIN g USING (qid)),
+y AS (SELECT *, len(gold) > 0 AS has, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda m: m::INT) AS marks FROM x),
+z AS (SELECT *, list_transform(list_filter(marks, lambda m: m < len(got)), lambda m: got[m + 1]) AS cited, list_min(list_filter(list_transform(range(1, len(got) + 1), lambda i: CASE WHEN list_contains(gold, got[i]) THEN i END), lambda i: i IS NOT NULL)) AS first FROM y),
+w AS (SELECT *, {", ".join(f"CASE WHEN has THEN len(list_intersect(got[1:{k}], gold))::DOUBLE / len(gold) END AS r{k}" for k in (1, 3, 6))}, CASE WHEN has THEN coalesce(1.0::DOUBLE / first, 0) END AS rr FROM z)
+SELECT count(*) AS n, count(*) FILTER (has) AS answerable, {", ".join(f"round(avg(r{k}), 4) AS answerable_recall_at_{k}, round(avg(coalesce(r{k}, 1)), 4) AS all_recall_at_{k}" for k in (1, 3, 6))}, round(avg(rr), 4) AS answerable_mrr, round(avg(coalesce(rr, 1)), 4) AS all_mrr,
+round(avg(CASE WHEN NOT has THEN contains(lower(answer), 'not found')::INT END), 4) AS refused, round(avg((len(cited) = len(marks))::INT), 4) AS valid_citations,
+round(avg(CASE WHEN len(marks) = 0 THEN CASE WHEN has THEN 0 ELSE 1 END WHEN has AND len(cited) > 0 THEN len(list_filter(cited, lambda c: list_contains(gold, c)))::DOUBLE / len(cited) ELSE 0 END), 4) AS gold_citations,
+round(avg(((contains(lower(answer), 'the end'))::INT + (contains(lower(answer), 'see'))::INT)::DOUBLE / 2), 4) AS coverage, 0::BIGINT AS truncated, round(avg(latency), 3) AS latency FROM w""",
+)
+def m5b(spark, sf_dir):
+    q, run, gold = _run(spark, sf_dir)
+    got = run.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias("retrieved"))
+    wanted = gold.groupBy("qid").agg(F.collect_list(F.col("id").cast("string")).alias("gold"))
+    k = F.col("qid") % 4
+    answer = F.when(k == 0, F.concat(F.lit("see [0], ["), (F.col("qid") % 13).cast("string"), F.lit("] and The End"))).when(k == 1, "It is not found.").when(k == 2, "plain").otherwise("the end [1]")
+    rows = q.select("qid", answer.alias("answer"), (F.col("qid") % 7).alias("latency"), F.array(F.lit("the end"), F.lit("See")).alias("required"))
+    return M.corrected(rows.join(got, "qid").join(wanted, "qid", "left"))
+
+
 @query("m6_precision", _RUN + " SELECT qid, round(avg(CASE WHEN gold.id IS NULL THEN 0 ELSE 1 END), 6) AS precision FROM run LEFT JOIN gold USING (qid, id) WHERE rank <= 5 GROUP BY qid")
 def m6(spark, sf_dir):
     _, run, gold = _run(spark, sf_dir)
@@ -60,9 +87,9 @@ def m7(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", M.term_coverage(F.col("text"), F.array(F.lit("The"), F.lit("worthless"))).alias("coverage"))
 
 
-@query("m8_refusals", "SELECT conv_id, turn, contains(lower(text), 'cannot answer') OR contains(lower(text), 'don''t know') OR contains(lower(text), 'not enough information') AS refusal FROM conversations")
+@query("m8_refusals", "SELECT conv_id, turn, turn % 3 = 1 AS refusal FROM conversations")
 def m8(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.is_refusal(F.col("text")).alias("refusal"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.is_refusal(F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Sorry, I cannot answer THIS question. "), F.coalesce("text", F.lit("")))).when(F.col("turn") % 3 == 2, "I cannot answer that").otherwise(F.col("text"))).alias("refusal"))
 
 
 @query("m10_citations", "SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'c1' WHEN event_id % 5 < 3 THEN 'c' || event_id % 5 || ',c1' ELSE 'c1' END AS cited FROM events")
@@ -140,6 +167,44 @@ def m18(spark, sf_dir):
     return M.agreement(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
+@query(
+    "m18_stratum_noise",
+    """WITH l AS (SELECT user_id % 3 AS stratum, event_type AS a, CASE WHEN event_id % 7 = 0 THEN 'click' ELSE ' ' || upper(event_type) END AS h FROM events), r AS (SELECT stratum, upper(trim(a)) = upper(trim(h)) AS same, upper(trim(h)) = 'CLICK' AS hn, upper(trim(a)) = 'CLICK' AS an FROM l),
+s AS (SELECT stratum, count(*)::DOUBLE AS n, count(*) FILTER (same)::DOUBLE AS same, count(*) FILTER (hn)::DOUBLE AS hn, count(*) FILTER (an)::DOUBLE AS an, 1.959963984540054::DOUBLE AS z FROM r GROUP BY GROUPING SETS ((stratum), ()))
+SELECT stratum, n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n + z * z / (2 * n) - z * sqrt(same / n * (1 - same / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS agreement_lo, round((same / n + z * z / (2 * n) + z * sqrt(same / n * (1 - same / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS agreement_hi,
+round(hn / n, 6) AS noise, round((hn / n + z * z / (2 * n) - z * sqrt(hn / n * (1 - hn / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS noise_lo, round((hn / n + z * z / (2 * n) + z * sqrt(hn / n * (1 - hn / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS noise_hi, round(an / n, 6) AS judge_noise FROM s""",
+)
+def m18s(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    human = F.when(F.col("event_id") % 7 == 0, "click").otherwise(F.concat(F.lit(" "), F.upper("event_type")))
+    return M.stratum_noise(e.select((F.col("user_id") % 3).alias("stratum"), "event_type", human.alias("human")), "stratum", "event_type", "human", "CLICK")
+
+
+@query(
+    "m20_relation_differences",
+    f"""WITH {KG}, a AS (SELECT DISTINCT chunk_id, lower(source) AS source, lower(target) AS target FROM rels), b AS (SELECT DISTINCT chunk_id, lower(CASE pos % 5 WHEN 0 THEN target WHEN 1 THEN source || ' inc' ELSE source END) AS source, lower(CASE pos % 5 WHEN 0 THEN source WHEN 2 THEN 'no such' ELSE target END) AS target FROM rels),
+f AS (FROM b ANTI JOIN a USING (chunk_id, source, target)) SELECT a.*, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.chunk_id = a.chunk_id AND b.source = a.source AND b.target = a.target) THEN 'exact'
+WHEN EXISTS (SELECT 1 FROM f WHERE f.chunk_id = a.chunk_id AND (((contains(f.source, a.source) OR contains(a.source, f.source)) AND (contains(f.target, a.target) OR contains(a.target, f.target))) OR ((contains(f.source, a.target) OR contains(a.target, f.source)) AND (contains(f.target, a.source) OR contains(a.source, f.target))))) THEN 'renamed' ELSE 'missing' END AS kind FROM a""",
+)
+def m20r(spark, sf_dir):
+    r = relations(spark, sf_dir)
+    k = F.col("pos") % 5
+    other = r.select("chunk_id", F.when(k == 0, F.col("target")).when(k == 1, F.concat("source", F.lit(" inc"))).otherwise(F.col("source")).alias("source"), F.when(k == 0, F.col("source")).when(k == 2, "no such").otherwise(F.col("target")).alias("target"))
+    return M.relation_differences(r, other, "chunk_id")
+
+
+@query(
+    "m29_context_traced",
+    rf"""WITH a AS (SELECT item_id AS cid, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+') AS q FROM benchmark), b AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ga AS (SELECT DISTINCT cid, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT cid, w, unnest(range(1, len(w) - 2)) AS i FROM a)), gb AS (SELECT DISTINCT id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM b)), g AS (SELECT cid, id, count(*) AS shared FROM ga JOIN gb USING (g) GROUP BY 1, 2),
+ta AS (SELECT DISTINCT cid, unnest(w) AS t FROM a), tb AS (SELECT DISTINCT id, unnest(w) AS t FROM b), c AS (SELECT cid, id, list_sort(list(t))[1:20] AS t FROM ta JOIN tb USING (t) WHERE regexp_full_match(t, '[a-z]{{5,}}') AND t NOT IN ({", ".join(f"'{w}'" for w in M.COMMON)}) GROUP BY 1, 2),
+e AS (SELECT cid, id, len(list_filter(t, lambda x: NOT list_contains(q, x))) AS terms FROM c JOIN a USING (cid)) SELECT cid, id, coalesce(shared, 0) AS shared, coalesce(terms, 0) AS terms, coalesce(shared, 0) > 0 OR coalesce(terms, 0) >= 3 AS traced FROM g FULL JOIN e USING (cid, id)""",
+)
+def m29t(spark, sf_dir):
+    c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cid"), "text", F.substring("text", 1, 60).alias("question"))
+    return M.context_traced(c, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("m22_summary", "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(max(value), 4) AS max, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def m22(spark, sf_dir):
     return M.summary(table(spark, sf_dir, "events"), "event_type", "value")

@@ -111,11 +111,11 @@ def t11(spark, sf_dir):
 
 @query(
     "t12_dedup_ratio",
-    rf"WITH {KG} SELECT type, count(*) AS raw, count(DISTINCT {NORM.format('name')}) AS uniq, round(count(DISTINCT {NORM.format('name')})::DOUBLE / count(*), 6) AS ratio FROM ents GROUP BY type",
+    rf"WITH {KG} SELECT type, count(*) AS raw, count(DISTINCT {NORM.format('name')}) AS uniq, round(count(DISTINCT {NORM.format('name')})::DOUBLE / count(*), 6) AS ratio, round(1000.0::DOUBLE * count(DISTINCT {NORM.format('name')}) / sum(len(regexp_extract_all(source_sentence, '\S+\s*'))), 6) AS per_1k FROM ents GROUP BY type",
 )
 def t12(spark, sf_dir):
     u = F.countDistinct(T.norm(F.col("name")))
-    return mentions(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("raw"), u.alias("uniq"), F.round(u / F.count(F.lit(1)), 6).alias("ratio"))
+    return mentions(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("raw"), u.alias("uniq"), F.round(u / F.count(F.lit(1)), 6).alias("ratio"), F.round(1000 * u / F.sum(F.size(F.regexp_extract_all("source_sentence", F.lit(r"(\S+\s*)"), F.lit(1)))), 6).alias("per_1k"))
 
 
 @query(
