@@ -62,10 +62,16 @@ def local(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool =
     return _ranked([own, around.select("qid", "chunk", "w")])
 
 
-def global_(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False) -> DataFrame:
-    """Relationship hits ('src|dst') give their weight to their chunks, and a part to the chunks of both ends."""
+def global_(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False, store: DataFrame | None = None) -> DataFrame:
+    """Relationship hits give their weight to their chunks, and a part to the chunks of both ends. A hit is a record of the store (rel_id, source_entity, target_entity, chunk_ids); where that lacks it, an edge of the graph by its id 'src|dst'."""
     seeds = _weights(hits).withColumn("src", F.split_part("id", F.lit("|"), F.lit(1))).withColumn("dst", F.split_part("id", F.lit("|"), F.lit(2)))
-    own = seeds.join(_edge_chunks(edges), ["src", "dst"]).select("qid", "chunk", "w")
+    if store is not None:
+        seeds = seeds.join(store.select(F.col("rel_id").alias("id"), "source_entity", "target_entity", "chunk_ids"), "id", "left")
+        seeds = seeds.withColumn("src", F.coalesce("source_entity", "src")).withColumn("dst", F.coalesce("target_entity", "dst"))
+        held = seeds.where("chunk_ids is not null").select("qid", F.explode(F.array_distinct("chunk_ids")).alias("chunk"), "w")
+        own = held.unionByName(seeds.where("chunk_ids is null").join(_edge_chunks(edges), ["src", "dst"]).select("qid", "chunk", "w"))
+    else:
+        own = seeds.join(_edge_chunks(edges), ["src", "dst"]).select("qid", "chunk", "w")
     ends = seeds.select("qid", "w", F.explode(F.array("src", "dst")).alias("name"))
     part = F.lit(0.3)
     if optimised:

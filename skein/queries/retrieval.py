@@ -99,6 +99,20 @@ def q4(spark, sf_dir):
     return R.cut(_lists(spark, sf_dir)[1], K)
 
 
+@query(
+    "q4_global_store",
+    _BASE
+    + f""", sto AS (SELECT src, dst, min(chunk) AS chunk FROM ech WHERE length(src) % 2 = 0 GROUP BY src, dst), ec2 AS (FROM sto UNION ALL SELECT src, dst, chunk FROM ech ANTI JOIN sto USING (src, dst))"""
+    + _list("gl", _global("0.3::DOUBLE").replace("FROM rw JOIN ech", "FROM rw JOIN ec2"))
+    + f" SELECT qid, id, score, rank FROM gl WHERE rank <= {K}",
+)
+def q4s(spark, sf_dir):
+    """Half of the relationships have records, which hold their least chunk alone; the others fall back to the graph."""
+    nodes, edges, _, rels, q = _setup(spark, sf_dir)
+    store = edges.where(F.length("src") % 2 == 0).select(F.concat_ws("|", "src", "dst").alias("rel_id"), F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), F.array(F.array_min(G.edge_chunks(F.col("source_sentences")))).alias("chunk_ids"))
+    return R.cut(R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, store=store), K)
+
+
 def _fused(w: float) -> str:
     return f", fu AS (SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM lo WHERE rank <= 30 UNION ALL SELECT *, {w}::DOUBLE FROM gl WHERE rank <= 30) GROUP BY qid, id)"
 

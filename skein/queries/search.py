@@ -83,6 +83,26 @@ def scoped(spark, sf_dir):
     return S.hybrid(docs, q, 8, scope=keys)
 
 
+@query(
+    "v7_embedding",
+    "SELECT page_id, list_transform(range(0, 8), lambda i: ('0x' || substr(md5(i || ':' || t), 1, 4))::BIGINT / 65535.0::DOUBLE)::VARCHAR AS vec FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ' ' ELSE url END AS t FROM pages)",
+)
+def embedding(spark, sf_dir):
+    """An embedder by digests; blank texts are one space."""
+
+    def embed(text):
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), text)), 1, 4), 16, 10).cast("double") / 65535.0)
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.col("url")).alias("text"))
+    return S.embedded(pages, embed, 8).select("page_id", F.concat(F.lit("["), F.array_join(F.transform("vec", lambda v: v.cast("string")), ", "), F.lit("]")).alias("vec"))
+
+
+@query("q17_keywords", "SELECT item_id AS qid, text AS low, text AS high FROM benchmark")
+def identity_keywords(spark, sf_dir):
+    low, high = S.keywords(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(low, "|").alias("low"), F.array_join(high, "|").alias("high"))
+
+
 @query("v8_valid_vectors", "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
 def validated(spark, sf_dir):
     return S.valid_vectors(table(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.size("embedding").alias("dim"))

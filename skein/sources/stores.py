@@ -18,7 +18,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id (file stem), text, source_path of the .txt and .md files of a folder, not of its subfolders, by path."""
     if not folder:
         raise ValueError("no folder")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md,TXT,MD,Txt,Md}").text(folder)
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").text(folder)
     path = F.col("_metadata.file_path")
     return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"), path.alias("source_path")).orderBy("source_path")
 
@@ -48,6 +48,87 @@ def benchmark_records(spark: SparkSession, json_path: str | None, parquet_path:
     return df
 
 
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and sha256 of the files at a path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: The files of a benchmark folder and what they hold.
+PARAGRAPH = "chunk_id string, title string, sentences array<string>, text string"
+QUESTION = "_id string, question string, answer string, type string, level string, supporting_facts array<struct<title:string,sent_id:int>>, gold_chunk_ids array<string>, context_chunk_ids array<string>"
+FACT = "question_id string, title string, sent_id int, chunk_id string"
+
+
+def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The paragraphs of a benchmark alone: no question, answer or supporting fact is read, so none can leak into what is built from them."""
+    return spark.read.schema(PARAGRAPH).json(f"{folder}/corpus.jsonl")
+
+
+def load_benchmark(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """corpus, questions and facts of a benchmark folder, and config and stats as rows (name, value)."""
+    out = {"corpus": load_corpus(spark, folder), "questions": spark.read.schema(QUESTION).json(f"{folder}/questions.jsonl"), "facts": spark.read.schema(FACT).json(f"{folder}/supporting_facts.jsonl")}
+    return out | {n: spark.read.schema("name string, value string").json(f"{folder}/{n}.jsonl") for n in ("corpus_stats", "benchmark_config")}
+
+
+def write_benchmark(folder: str, questions: DataFrame, paragraphs: DataFrame, contexts: DataFrame, facts: DataFrame, config: dict[str, str]) -> None:
+    """Six artefacts: questions (with sorted, distinct gold_chunk_ids and their contexts' chunks), sample_ids, corpus, supporting_facts, corpus_stats and benchmark_config, as JSON rows.
+
+    questions: _id, question, answer, type, level; paragraphs: chunk_id, title, sentences, text;
+    contexts: question_id, ord, chunk_id; facts: question_id, title, sent_id, chunk_id (null where no paragraph of the question has it).
+    """
+    spark = questions.sparkSession
+    of = F.col("question_id").alias("_id")
+    # a question has few facts and contexts
+    gold = facts.groupBy(of).agg(F.array_sort(F.collect_set("chunk_id")).alias("gold_chunk_ids"), F.transform(F.array_sort(F.collect_list(F.struct("title", "sent_id"))), lambda x: F.struct(x["title"], x["sent_id"])).alias("supporting_facts"))
+    near = contexts.groupBy(of).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]).alias("context_chunk_ids"))
+    full = questions.join(gold, "_id", "left").join(near, "_id", "left")
+    blank = {"gold_chunk_ids": "array<string>", "context_chunk_ids": "array<string>", "supporting_facts": "array<struct<title:string,sent_id:int>>"}
+    full = full.select("_id", "question", "answer", "type", "level", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in blank.items()))
+    seen = paragraphs.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_distinct("title").alias("titles"), F.coalesce(F.sum(F.size("sentences")), F.lit(0)).alias("sentences"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    stats = seen.join(questions.agg(F.count(F.lit(1)).alias("questions"))).join(facts.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("chunk_id").isNull()).alias("unmatched_facts")))  # single rows
+    parts = {
+        "questions": full, "sample_ids": full.select("_id", "type"), "corpus": paragraphs.select("chunk_id", "title", "sentences", "text"), "supporting_facts": facts.select("question_id", "title", "sent_id", "chunk_id"),
+        "corpus_stats": stats.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in stats.columns)))),
+        "benchmark_config": spark.createDataFrame(sorted(config.items()), "name string, value string"),
+    }
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}.jsonl")
+
+
+class RelationshipStore:
+    """Relationship records (rel_id, source_entity, target_entity, ...) by id and by pair; the last record of an id counts, and ones without an id are left out."""
+
+    def __init__(self, records: DataFrame, order: str | None = None):
+        rows = records.where(F.coalesce("rel_id", F.lit("")) != "")
+        if order:
+            w = Window.partitionBy("rel_id").orderBy(F.desc(order))
+            rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        self.rows = rows
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """The records of rows (rel_id); ids without one are left out."""
+        return self.rows.join(ids.select("rel_id").distinct(), "rel_id", "left_semi")
+
+    def by_pair(self, pairs: DataFrame) -> DataFrame:
+        """The records between the ends of rows (source_entity, target_entity)."""
+        return self.rows.join(pairs.select("source_entity", "target_entity").distinct(), ["source_entity", "target_entity"], "left_semi")
+
+
+def append(rows: DataFrame, path: str, batch: int) -> None:
+    """Add rows to a log. A batch has a folder of its own, so one that is written again after a crash replaces itself."""
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def log(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The log's entries, the last of each key; an empty one if nothing has been written."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch long").json(path)
+    w = Window.partitionBy(key).orderBy(F.desc("batch"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
+
+
 def array_of_structs(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """A struct of arrays as an array of structs."""
     return df.withColumn(column, F.arrays_zip(*(F.col(f"{column}.{f}").alias(f) for f in fields)))
@@ -81,12 +162,19 @@ def chunk_collection(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return first.join(vectors, "chunk_id").select(F.col("chunk_id").alias("id"), "chunk_id", F.col("doc_id").alias("source_doc"), "chunk_index", "text", F.col("vec").alias("text_vec"))
 
 
+#: Record numbers of a range whose relations are numbered together.
+RANGE = 100_000
+
+
 def relation_collection(edges: DataFrame) -> DataFrame:
     """rel_id in edge order, endpoints, rel_type (the first), all_types, weight (mentions), text, chunk_ids, doc_ids. Numbers come from ranges of the order, not from one task."""
     order = F.struct("ord", "src", "dst")
     spans = edges.select("src", "dst", order.alias("o"), F.col("ord.record_no").alias("r"), "types", "description", "source_sentences", "source_doc")
     per = spans.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # two levels: a sum for each range of record numbers, of which one task adds up few, then sums within each
+    wide = per.withColumn("span", F.floor(F.col("r") / RANGE))
+    lower = wide.groupBy("span").agg(F.sum("n").alias("n")).select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    before = wide.withColumn("inner", F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(lower, "span").select("r", (F.col("below") + F.col("inner")).alias("base"))
     within = spans.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("o")))
     rel = within.join(before, "r").withColumn("rel_id", F.format_string("rel_%05d", F.col("base") + F.col("k") - 1))
     ids = lambda f: F.array_distinct(F.transform("source_sentences", lambda x: x[f]))
