@@ -38,7 +38,7 @@ H = f"WITH {ITEMS}, {hybrid_sql('h', 'items', 'questions', 8, 10)}"
 
 @query("v1_bm25", H + " SELECT qid, id, score, rank FROM h_words")
 def bm25(spark, sf_dir):
-    return S.top(S.bm25(*items(spark, sf_dir)), 10).select("qid", "id", "score", "rank")
+    return S.bm25_top(*items(spark, sf_dir), 10)
 
 
 @query("v1_dense", H + " SELECT qid, id, score, rank FROM h_dense")
@@ -73,7 +73,7 @@ def pool(spark, sf_dir):
 @query("v5_weighted_rrf", H + " SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM h_dense UNION ALL SELECT *, 0.6::DOUBLE FROM h_words) GROUP BY qid, id")
 def weighted(spark, sf_dir):
     docs, q = items(spark, sf_dir)
-    return S.rrf([S.cosine_top(docs, q, 10), S.top(S.bm25(docs, q), 10)], [1.0, 0.6])
+    return S.rrf([S.cosine_top(docs, q, 10), S.bm25_top(docs, q, 10)], [1.0, 0.6])
 
 
 @query("v6_scoped_hybrid", f"WITH {ITEMS}, {hybrid_sql('h', 'items', 'questions', 8, 10, 'id % 3 = qid % 3')} SELECT qid, id, score, rank FROM h_hits")
@@ -117,7 +117,7 @@ def cosine(spark, sf_dir):
 @query("v11_signals", H + " SELECT qid, id, h_dense.rank AS dense_rank, h_words.rank AS words_rank, h_hits.rank AS fused_rank FROM h_dense FULL JOIN h_words USING (qid, id) FULL JOIN h_hits USING (qid, id)")
 def compared(spark, sf_dir):
     docs, q = items(spark, sf_dir)
-    d, w = S.cosine_top(docs, q, 10), S.top(S.bm25(docs, q), 10)
+    d, w = S.cosine_top(docs, q, 10), S.bm25_top(docs, q, 10)
     return S.signals(d, w, S.top(S.rrf([d, w]), 8))
 
 
@@ -135,7 +135,7 @@ def fallbacks(spark, sf_dir):
 @query("q14_round_robin", H + ", b AS (SELECT qid, id, min(rank * 2 + l) AS spot FROM (SELECT *, 0 AS l FROM h_dense UNION ALL SELECT *, 1 FROM h_words) GROUP BY qid, id) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY spot) AS place FROM b")
 def robin(spark, sf_dir):
     docs, q = items(spark, sf_dir)
-    return S.round_robin([S.cosine_top(docs, q, 10), S.top(S.bm25(docs, q), 10)])
+    return S.round_robin([S.cosine_top(docs, q, 10), S.bm25_top(docs, q, 10)])
 
 
 @query("q1_flat_hybrid", H + " SELECT qid, id AS chunk_id, score, rank, 'chunk' AS source FROM h_hits")
