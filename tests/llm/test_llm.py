@@ -157,7 +157,7 @@ def test_matroska(docs, empty):
 def brute_components(rows, width, num, den):
     sets = {}
     for d, t in rows:
-        w = (t or "").lower().split()
+        w = (t or "").encode().lower().split()  # A-Z alone, and white space of ASCII
         sets[d] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     parent = {d: d for d in sets}
 
