@@ -7,11 +7,13 @@ source, target, type, ...), both with an explicit order (record_no, pos).
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import json_object, norm, sentence_with, verbatim
+from skein.operators import graph as G
 
 ENTITY = "struct<name:string,type:string,description:string,source_sentence:string,stub:boolean>"
 RELATION = "struct<source:string,target:string,type:string,description:string,source_sentence:string>"
@@ -31,6 +33,34 @@ def parse_answer(df: DataFrame, raw_col: str) -> DataFrame:
     return out.withColumn("entities", entities).withColumn("relationships", relations).withColumn("_parse_error", F.when(F.col("_body").isNull(), "no JSON object")).drop("_body", "_payload")
 
 
+class Extractor(Protocol):
+    """A model: chunks (with text) to the same rows with `raw`, its answers, under a frequency penalty or its own setting."""
+
+    def __call__(self, chunks: DataFrame, penalty: float | None) -> DataFrame: ...
+
+
+#: Penalties under which a chunk without a usable answer is asked again, one after the other.
+LADDER = (0.5, 1.0)
+
+
+def extract(chunks: DataFrame, model: Extractor, penalties: tuple[float, ...] = LADDER, current: float | None = None, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """chunks with entities, relationships, _parse_error, attempts and penalty (that of the last answer). Chunks whose answer can't be read go up the ladder; a rung equal to the model's current penalty is skipped. save() stores a round's rows, so that no answer is asked for twice."""
+    save = save or G.saved
+    out, rest = None, chunks
+    rungs = [None, *(p for p in penalties if p != current)]
+    for n, p in enumerate(rungs):
+        asked = model(rest, p).withColumn("attempts", F.lit(n + 1)).withColumn("penalty", F.lit(p).cast("double"))
+        read = save(parse_answer(asked, "raw").drop("raw"))
+        bad = F.col("_parse_error").isNotNull()
+        last = n + 1 == len(rungs)
+        done = read if last else read.where(~bad)
+        out = done if out is None else out.unionByName(done)
+        rest = read.where(bad).select(chunks.columns)
+        if last or not rest.limit(1).count():
+            return out
+    return out
+
+
 def normalised(entities: Column, relations: Column) -> tuple[Column, Column]:
     """Trimmed records: types in upper case with defaults OTHER and RELATED_TO, rows without name or endpoint gone."""
 

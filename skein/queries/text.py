@@ -221,6 +221,23 @@ def x8r(spark, sf_dir):
     return X.merge_relations(relations(spark, sf_dir).withColumn("pass", (F.col("pos") % 2).cast("int"))).select("chunk_id", "source", "target", "type", "pass")
 
 
+@query(
+    "x1_retry_ladder",
+    "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 IN (0, 1) THEN 1 WHEN (conv_id + turn) % 4 = 2 THEN 2 ELSE 3 END AS attempts, CASE (conv_id + turn) % 4 WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 END::DOUBLE AS penalty, CASE WHEN (conv_id + turn) % 12 = 3 THEN '' ELSE role END AS name FROM conversations",
+)
+def x1(spark, sf_dir):
+    """A model that answers some chunks only when it is asked again, and some never."""
+    k = F.col("conv_id") + F.col("turn")
+
+    def model(chunks, penalty):
+        fine = {None: k % 4 < 2, 0.5: k % 4 == 2, 1.0: (k % 4 == 3) & (k % 12 != 3)}[penalty]
+        answer = F.concat(F.lit('Sure: {"entities": [{"name": " '), F.col("role"), F.lit('"}], "relationships": []}'))
+        return chunks.withColumn("raw", F.when(fine, answer).otherwise("I can't."))
+
+    out = X.extract(table(spark, sf_dir, "conversations"), model, current=0.7)
+    return out.select("conv_id", "turn", "attempts", "penalty", F.coalesce(F.get("entities", 0)["name"], F.lit("")).alias("name"))
+
+
 #: Names that are placeholders, and some that only look like one.
 _SAMPLES = ("<|entity|>", " <name> ", "entity_name", "Entity_Type", "entity_description", "source_entity", "TARGET_ENTITY", "relationship_keywords", "relationship_description", "a <source_entity> b", "x<target_entity>", "Name", "Source", "unknown", "none", "a < b > c", "  ")
 
