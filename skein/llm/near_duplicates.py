@@ -38,7 +38,7 @@ from skein.llm.common import claim, lower_words, map_batches, stored, table
 
 TREES, MISS = 25, 1e-6  #: trees at least, and the probability that a pair at the threshold is no candidate
 DEPTH = 5
-MOST, WEIGHT = 1024, 8_000_000  #: classes and shingles that one task confirms
+MOST, WEIGHT = 2048, 8_000_000  #: classes and shingles that one task confirms
 CACHE = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
