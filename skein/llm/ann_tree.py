@@ -135,17 +135,21 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _top(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, products) of the k best rows of x for a query, ties to the smaller id; -inf scores are none.
+def _peak(x: np.ndarray) -> float:
+    return float(np.abs(x).sum(1).max(initial=0))
+
+
+def _top(scores: np.ndarray, q: np.ndarray, x: np.ndarray, peak: float, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, products) of the k best rows of x for a query, ties to the smaller id; -inf scores are none. peak: the largest sum of a row's magnitudes.
 
     The last bits of a matrix product depend on its shape, so all rows within the rounding
     of the cut are multiplied anew, each in the same order, before any is left out.
     """
-    at = np.flatnonzero(scores > -np.inf)
-    if len(at) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        margin = 4 * len(q) * np.finfo(float).eps * float(np.abs(q).max() * np.abs(x[at]).sum(1).max())
-        at = np.flatnonzero(scores >= cut - margin)
+    cut = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    if cut > -np.inf:
+        at = np.flatnonzero(scores >= cut - 4 * len(q) * np.finfo(float).eps * float(np.abs(q).max()) * peak)
+    else:
+        at = np.flatnonzero(scores > -np.inf)
     exact = (x[at] * q).sum(1)
     order = np.lexsort((ids[at], -exact))[:k]
     return at[order], exact[order]
@@ -160,6 +164,7 @@ def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
     ids, x = table["id"].to_numpy(), _matrix(table["vec"].combine_chunks(), dim)
     own, asking = np.flatnonzero(~is_query), np.flatnonzero(is_query)
     mine = x[own]
+    peak = _peak(mine)
     names, flat = np.unique(flat, return_inverse=True)
     home = flat[np.repeat(~is_query, counts)]
     wanted = np.zeros((len(asking), len(names)), bool)
@@ -171,7 +176,7 @@ def best_in_block(table: pa.Table, dim: int, k: int) -> pa.Table:
         s[~wanted[a : a + 256][:, home]] = -np.inf
         s[ids[some][:, None] == ids[own][None]] = -np.inf
         for r in range(len(some)):
-            at, exact = _top(s[r], x[some[r]], mine, ids[own], k)
+            at, exact = _top(s[r], x[some[r]], mine, peak, ids[own], k)
             found.append((np.full(len(at), some[r]), own[at], exact))
     q, c, s = (np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)]) for n in range(3))
     return pa.table({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array(s, pa.float64())})
@@ -247,10 +252,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         for b in batches:
             ci, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
             mine = _matrix(b.column(1), dim)
+            peak = _peak(mine)
             s = x @ mine.T
             s[ids[:, None] == ci[None]] = -np.inf
             for r in range(len(ids)):
-                at, exact = _top(s[r], x[r], mine, ci, k)
+                at, exact = _top(s[r], x[r], mine, peak, ci, k)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(at), ids[r]), pa.int64()), "vec_id": pa.array(ci[at], pa.int64()), "score": pa.array(exact, pa.float64()), "leaf": pa.array(leaf[at], pa.int32())})
 
     true = dealt.select("id", "vec", "leaf").mapInArrow(against, FOUND + ", leaf int")
