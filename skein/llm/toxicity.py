@@ -3,8 +3,9 @@
 A sparse logistic model over words and their beginnings. Beside the loss on the
 labelled rows it minimises the squared change of the score when an identity term
 of a labelled text is swapped for another one, or when one is named in a text
-that has none; a neutral mention of a group so moves no score, whatever company
-such terms keep in the labels. An L1 penalty leaves weights on few features.
+that has none, over all such copies of the labelled texts; a neutral mention of a
+group so moves no score, whatever company such terms keep in the labels. An L1
+penalty leaves weights on few features.
 
 Null texts count as empty and get the bias's score. Without labelled rows every
 score is the prior.
@@ -13,6 +14,7 @@ score is the prior.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,22 +63,22 @@ def text_features(text: str) -> np.ndarray:
     return np.array([f for w in set(words_of(text)) for f in word_features(w)], np.int64)
 
 
-def identity_pairs(texts: list[str], kinds=IDENTITY, named: int = 64) -> list[tuple[list[int], list[int]]]:
-    """(features that leave, features that come) of counterfactual texts.
+def identity_pairs(texts: list[str], kinds=IDENTITY, named: int = 64) -> list[tuple[list[int], list[int], int]]:
+    """(features that leave, features that come, number of texts) of counterfactual texts. A copy's change of score is that of its swapped words, whatever else it says, so like swaps are one pair.
 
     A text with a term is paired with its copies that hold the other terms of
     the kind; `named` texts without any are paired with copies that name each term.
     """
     kind_of = {t: kind for kind in kinds for t in kind}
-    swaps: set[tuple[str, str]] = set()
+    swaps: Counter[tuple[str, str]] = Counter()
     plain = 0
     for text in texts:
         own = {_term(w) for w in set(words_of(text))} & kind_of.keys()
-        swaps |= {(t, other) for t in own for other in kind_of[t] if other != t}
+        swaps.update((t, other) for t in own for other in kind_of[t] if other != t)
         if not own and plain < named:
             plain += 1
-            swaps |= {("", t) for t in kind_of}
-    return [(word_features(a) if a else [], word_features(b)) for a, b in sorted(swaps)]
+            swaps.update(("", t) for t in kind_of)
+    return [(word_features(a) if a else [], word_features(b), n) for (a, b), n in sorted(swaps.items())]
 
 
 @dataclass
@@ -86,8 +88,8 @@ class Model:
     weights: np.ndarray
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], steps: int = 1500, batch: int = 256, rate: float = 0.3, l1: float = 2e-4, counterfactual: float = 1.0, least: int = 2) -> Model:
-    """Proximal Adagrad on balanced loss + counterfactual * mean (change of score)^2 + l1 * |weights|, over features of at least `least` rows."""
+def learn(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], list[int], int]], steps: int = 1500, batch: int = 256, rate: float = 0.3, l1: float = 2e-4, counterfactual: float = 1.0, least: int = 2) -> Model:
+    """Proximal Adagrad on balanced loss + counterfactual * mean over copies of (change of score)^2 + l1 * |weights|, over features of at least `least` rows."""
     p = prior(y)
     if not 0 < y.sum() < len(y):
         return Model(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0))
@@ -96,14 +98,16 @@ def learn(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], li
     for r in rows:
         rows_with[np.unique(r)] += 1
     known = np.flatnonzero(rows_with >= least)
-    known = np.union1d(known, np.array([f for pair in pairs for side in pair for f in side], np.int64))
+    known = np.union1d(known, np.array([f for pair in pairs for side in pair[:2] for f in side], np.int64))
 
     def own(features) -> np.ndarray:
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
         return at[known[at] == features].astype(np.int32)
 
     rows = [own(r) for r in rows]
-    sides = [[own(np.array(side, np.int64)) for side in sides] for sides in zip(*pairs, strict=True)] or [[], []]
+    sides = [[own(np.array(pair[k], np.int64)) for pair in pairs] for k in (0, 1)]
+    copies = np.array([pair[2] for pair in pairs], np.float64)
+    copies /= max(copies.sum(), 1)
     n, size = len(pairs), len(known)
     swapped = np.concatenate([np.zeros(0, np.int64), *sides[0], *sides[1]])
     sign = np.repeat([-1.0, 1.0], [sum(map(len, side)) for side in sides])
@@ -121,7 +125,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], li
             total = np.bincount(idx, g[of], size)
             if n:
                 change = np.bincount(of_pair, sign * w[swapped], n)
-                total += np.bincount(swapped, 2 * counterfactual / n * sign * change[of_pair], size)
+                total += np.bincount(swapped, 2 * counterfactual * sign * (copies * change)[of_pair], size)
             seen += total**2
             pace = rate / np.sqrt(seen)
             moved = w - pace * total
