@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["t1_sliding_window", "x4_endpoint_filter", "x8_gleaning_merge", "g3_node_dedup", "g6_parallel_edges", "g7_alias_edges", "a4_distances", "v1_hybrid", "q1_flat_hybrid", "e6_candidate_pairs", "m3_retrieval_benchmark", "f1_toon"]
+NAMES = ["t1_sliding_window", "x4_endpoint_filter", "x8_gleaning_merge", "g3_node_dedup", "g6_parallel_edges", "g7_alias_edges", "a4_distances", "v1_hybrid", "q1_flat_hybrid", "e6_candidate_pairs", "m3_retrieval_benchmark", "f1_toon",
+    "x1_retry_ladder", "x11_placeholders", "x12_valid_nodes", "e3_ambiguous", "e4_canonical_types", "a5_components", "a7_empty_counts", "a15_alias_groups", "v6_scoped_hybrid", "q2_structural_mentions", "q4_global_store", "q8_query_focused", "q9_on_demand",
+    "m5_both_conventions", "m18_stratum_noise", "m20_relation_differences", "m29_context_traced", "s7_entity_collection", "s12_relations_by_id"]
 
 
 def plain(v):
