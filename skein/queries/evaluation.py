@@ -99,6 +99,12 @@ def m10(spark, sf_dir):
     return e.select("event_id", F.array_join(M.citations(answer, F.array(*(F.lit(f"c{k}") for k in range(3)))), ",").alias("cited"))
 
 
+@query("m9_hallucinated", "SELECT event_id, array_to_string(list_sort(list_filter(['c' || event_id % 5, 'c1', 'x'], lambda c: NOT list_contains(['c0', 'c1', 'c2'], c))), ',') AS made_up FROM events")
+def m9(spark, sf_dir):
+    cited = F.array(F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string")), F.lit("c1"), F.lit("x"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(M.hallucinated(cited, F.array(*(F.lit(f"c{k}") for k in range(3)))), ",").alias("made_up"))
+
+
 _NA = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 #]|#', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), ' +', ' ', 'g'), ' ')"
 
 

@@ -321,3 +321,9 @@ def a15(spark, sf_dir):
 def a16(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     return G.as_json(nodes, edges)[1]
+
+
+@query("a16_json_nodes", f"""WITH {GRAPH} SELECT '{{"id":"' || name || '","labels":["' || name || '"],"properties":{{"entity_type":"' || type || '","description":"","source_docs":"' || array_to_string(docs, ',') || '"}}}}' AS node FROM nodes""")
+def a16n(spark, sf_dir):
+    nodes, _, edges = graph(spark, sf_dir)
+    return G.as_json(nodes, edges)[0]

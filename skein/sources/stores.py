@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +183,23 @@ def relation_collection(edges: DataFrame) -> DataFrame:
     return rel.select("rel_id", F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), F.get("types", 0).alias("rel_type"), F.array_distinct("types").alias("all_types"), F.size("types").alias("weight"), F.concat_ws(" ", F.get("types", 0), "src", "dst", "description").alias("text"), ids("chunk_id").alias("chunk_ids"), ids("doc_id").alias("doc_ids"), "source_doc")
 
 
+def collections(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, ranks: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """The three collections of an index. embed() adds vec to rows with text: 'name (TYPE): description' of a node, 'type source target description' of an edge, a chunk's own."""
+    line = F.concat("name", F.lit(" ("), "type", F.lit("): "), F.coalesce(F.get("descriptions", 0)["text"], F.lit("")))
+    named = embed(nodes.select("name", line.alias("text"))).select("name", "vec")
+    texts = embed(chunks.select("chunk_id", "chunk_index", "doc_id", "text"))
+    first = Window.partitionBy("chunk_id").orderBy("chunk_index", "doc_id")
+    vectors = texts.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("chunk_id", "vec")
+    return {"entities": entity_collection(nodes, named, ranks), "relationships": embed(relation_collection(edges)).withColumnRenamed("vec", "text_vec"), "chunks": chunk_collection(chunks, vectors)}
+
+
+def write_collections(folder: str, parts: dict[str, DataFrame]) -> None:
+    """Each collection as a Parquet folder, in place of an older one; a folder that holds anything else is refused."""
+    for name, df in parts.items():
+        reset(df.sparkSession, f"{folder}/{name}")
+        df.write.parquet(f"{folder}/{name}")
+
+
 def fetch(ids: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Rows (id, text) of the wanted ids in their order (column ord), from the fallback where the primary lacks them; ids in neither are left out."""
     want = ids.groupBy("id").agg(F.min("ord").alias("ord"))
