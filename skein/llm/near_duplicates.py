@@ -1,9 +1,12 @@
 """Near-duplicates with an LSH forest over MinHash signatures.
 
 Texts with equal shingle sets form a class, so exact copies cost one row each.
-A class has TREES or more sorted signature orders; in each, a region is the run of
-classes whose longest common prefix is at least a depth, and a region's classes
-are candidates of each other. Regions are tied together by stars around their
+A class has TREES or more signature orders: in each it stands at a number of DEPTH values of
+BITS bits, by which the order is sorted. A region is a run of classes with a longest common
+prefix of at least a depth, which the run's size sets: DEPTH - 1 values where no more than
+SPARSE classes share them, all DEPTH in denser places. A region's classes
+are candidates of each other. As only equal prefixes count, Spark gathers runs by
+their prefix instead of sorting the orders. Regions are tied together by stars around their
 least class, so no pairs are emitted, and connected regions form a candidate
 group. In a group all intersections of the full sets are counted exactly and
 links confirmed.
@@ -13,8 +16,8 @@ region, whichever makes fewer copies of its classes; what is still too large goe
 to tasks as pairs of blocks, every block with every other one whose set sizes
 allow a link. So no two classes of a region go uncompared, however large it is.
 
-A pair at the threshold t shares no region of depth 5 with probability
-(1 - t^5)^trees; the trees are as many as keep it under MISS (25 at 0.85, 35 at 0.80).
+Classes with DEPTH values in common are in one region at either depth. A pair at the threshold t shares no region with a probability of
+(1 - t^5)^trees at most; the trees are as many as keep it under MISS (25 at 0.85, 35 at 0.80).
 
 Words are runs outside space and U+0009 to U+000D, A-Z in lower case. With fewer
 words than a shingle's the whole sequence is the one shingle. Empty and null
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import claim, lower_words, map_batches, stored, table
 
 TREES, MISS = 25, 1e-6  #: trees at least, and the probability that a pair at the threshold is no candidate
-DEPTH = 5
+DEPTH, BITS = 5, 11
+SPARSE = 16  #: classes of a run up to which it is a region at one value less
 MOST, WEIGHT = 2048, 8_000_000  #: classes and shingles that one task confirms
 CACHE = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -97,14 +101,12 @@ def signature(hashes: np.ndarray, trees: int) -> np.ndarray:
         return np.min([(multiply * x[k : k + 1024] + add).min(1) for k in range(0, len(x), 1024)], axis=0)
 
 
-def prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
-    """A hash for each tree of the first `depth` values in the tree's order, which starts at its own values and goes on round."""
-    trees = len(sig) // DEPTH
-    out = np.arange(trees, dtype=np.uint64)
-    at = np.arange(trees) * DEPTH
-    with np.errstate(over="ignore"):
-        for k in range(depth):
-            out = _mix(out * _A + sig[(at + k) % len(sig)])
+def orders(sig: np.ndarray) -> np.ndarray:
+    """A class's place in the order of each tree: the tree's number and BITS bits of each of its values, the first highest."""
+    short = (sig * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)  # the least of many values is small: its lower bits count as well
+    out = np.arange(len(sig) // DEPTH, dtype=np.uint64)
+    for values in short.reshape(-1, DEPTH).T:
+        out = out << np.uint64(BITS) | values
     return out
 
 
@@ -115,7 +117,7 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def prepare(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, carry: bool = False) -> DataFrame:
-    """id, row (a number of its own for each row), n (set size), key (of the set), forest (a prefix for each tree) and the compressed text; if asked for, carry: all of df but the text."""
+    """id, row (a number of its own for each row), n (set size), key (of the set), forest (a place in each order) and the compressed text; if asked for, carry: all of df but the text."""
     kind = df.schema[id_col].dataType.simpleString()
     others = [c for c in df.columns if c != text_col] if carry else []
     kinds = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in others)
@@ -133,7 +135,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, c
             s = shingles(text or "", width)
             n.append(len(s))
             key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            forest.append(prefixes(signature(s, trees), DEPTH) if len(s) else np.zeros(0, np.uint64))
+            forest.append(orders(signature(s, trees)) if len(s) else np.zeros(0, np.uint64))
             packed.append(None if text is None else press.compress(text.encode()))
         more = {"carry": batch.column(2)} if others else {}
         return pa.RecordBatch.from_pydict({"id": batch.column(0), "row": pa.array(np.arange(first, first + len(n)), pa.int64()), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "forest": _longs(forest), "packed": pa.array(packed, pa.binary()), **more})
@@ -144,6 +146,14 @@ def prepare(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, c
     return map_batches(df, df.columns, run, schema)
 
 
+def regions_of(found: DataFrame) -> DataFrame:
+    """cls and prefix, the regions of two classes and more that it is in. found: cls, place."""
+    run = F.shiftright("place", BITS)
+    runs = found.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    near = found.select("cls", "place", run.alias("run")).join(runs, "run")
+    return near.select("cls", F.when(F.col("m") <= SPARSE, -1 - F.col("run")).otherwise(F.col("place")).alias("prefix"))
+
+
 def stars(entries: DataFrame) -> DataFrame:
     """(a, b), a < b: edges that connect the classes of every region. entries: prefix, cls.
 
@@ -295,7 +305,7 @@ def paired_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def candidate_groups(classes: DataFrame, num: int, den: int) -> DataFrame:
     """(cls, part): parts that fit a task, in which the classes of every region meet; a class may be in several. classes: cls, n, forest."""
-    found = classes.select("cls", F.explode("forest").alias("prefix"))
+    found = stored(regions_of(classes.select("cls", F.explode("forest").alias("place"))), "near")
     groups = components(stars(found)).select(F.col("node").alias("cls"), F.col("label").alias("part"))
     groups = stored(groups.join(classes.select("cls", "n"), "cls"), "groups")
     sizes = _sized(groups, "part").withColumn("copies", _copies())

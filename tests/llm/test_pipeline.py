@@ -37,7 +37,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     source = spark.read.parquet(f"{tmp_path}/documents.parquet")
     machine = quality.train(source, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    kept = {r["doc_id"] for r in quality.score(source, machine, ["doc_id"]).collect() if r["score"] >= 0.3}
+    kept = {r["row"]["doc_id"] for r in quality.score(source, machine, ["doc_id"]).collect() if r["score"] >= 0.3}
     assert {r["doc_id"] for r in out[0]} == kept and len(kept & {k for k in range(240) if k % 5 == 0}) <= 2
     part = brute_components([(r["doc_id"], r["text"]) for r in out[0]], 5, 80, 100)
     assert sorted(r["doc_id"] for r in out[1]) == sorted({c for _, c in part.values()})
