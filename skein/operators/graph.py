@@ -28,10 +28,12 @@ def mention_order() -> Column:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read again: loops keep a short lineage that survives lost executors."""
+    """The rows written to the shared checkpoint folder and read again: loops keep a short lineage that survives lost executors. A folder of this machine serves where Spark runs on it alone."""
     spark = df.sparkSession
-    at = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
-    path = f"{at}/skein-graph-{uuid.uuid4().hex}"
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(at or '/tmp/checkpoints').rstrip('/')}/skein-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -259,12 +261,23 @@ def label_exists(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
-    """pair_id, connected: whether nodes of two chunks (a_chunk, b_chunk) are one or within `hops`."""
-    of = nodes.select("name", F.explode(F.array_distinct(F.transform("source_sentences", lambda x: x["chunk_id"]))).alias("chunk"))
-    a = pairs.join(of, F.col("a_chunk") == F.col("chunk"), "left").select("pair_id", "b_chunk", F.col("name").alias("seed"))
-    reach = bfs(nodes, edges, a.where("seed is not null").select("seed"), hops).select("seed", F.col("name").alias("far"))
-    ends = of.select(F.col("name").alias("far"), F.col("chunk").alias("b_chunk"))
-    hit = a.join(reach, "seed").join(ends, ["far", "b_chunk"], "left_semi").select("pair_id").distinct().withColumn("connected", F.lit(True))
+    """pair_id, connected: whether nodes of two chunks (a_chunk, b_chunk) are one or within `hops`. Both ends of a pair grow in turn, so neither goes further than half the way."""
+    of = saved(nodes.select("name", F.explode(F.array_distinct(F.transform("source_sentences", lambda x: x["chunk_id"]))).alias("chunk")))
+    near = saved(undirected(edges))
+
+    def side(chunk: str) -> DataFrame:
+        return pairs.select("pair_id", F.col(chunk).alias("chunk")).join(of, "chunk").select("pair_id", "name").distinct()
+
+    def grown(front: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        step = front.withColumnRenamed("name", "a").join(near, "a").select("pair_id", F.col("b").alias("name")).distinct()
+        new = saved(step.join(seen, ["pair_id", "name"], "left_anti"))
+        return new, seen.unionByName(new)
+
+    a, b = saved(side("a_chunk")), saved(side("b_chunk"))
+    ends = [[a, a], [b, b]]  # front and all of each side
+    for turn in range(hops):
+        ends[turn % 2] = list(grown(*ends[turn % 2]))
+    hit = ends[0][1].join(ends[1][1], ["pair_id", "name"], "left_semi").select("pair_id").distinct().withColumn("connected", F.lit(True))
     return pairs.select("pair_id").join(hit, "pair_id", "left").select("pair_id", F.coalesce("connected", F.lit(False)).alias("connected"))
 
 
