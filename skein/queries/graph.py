@@ -21,9 +21,9 @@ _AMAP = rf"am AS (SELECT name, CASE WHEN a = '' THEN name ELSE min(name) OVER (P
 
 
 def graph(spark, sf_dir):
-    """(nodes, resolved relationships, edges). The names that both ends look up are stored once, so the mentions are read once for them."""
+    """(nodes, resolved relationships, edges)."""
     nodes = G.build_nodes(mentions(spark, sf_dir))
-    resolved = G.resolve_ends(relations(spark, sf_dir), G.saved(nodes.select("key", "name")))
+    resolved = G.resolve_ends(relations(spark, sf_dir), nodes)
     return nodes, resolved, G.build_edges(resolved)
 
 
