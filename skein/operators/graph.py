@@ -15,27 +15,41 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import norm, norm_alias
 
 
-
 def mention_order() -> Column:
     return F.struct("record_no", "pos")
 
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read again: loops keep a short lineage that survives lost executors. A folder of this machine serves where Spark runs on it alone."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder. A folder of this machine serves where Spark runs on it alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(at or '/tmp/checkpoints').rstrip('/')}/skein-graph-{uuid.uuid4().hex}"
+    return f"{(at or '/tmp/checkpoints').rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read again: loops keep a short lineage that survives lost executors."""
+    path = shared_path(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their number from 0 in an order: ranges are sorted in tasks of their own, and one count a range reaches the driver."""
+    placed = saved(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before = [sum(r["n"] for r in counts[:k]) for k in range(len(counts))]
+    base = df.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(counts, before, strict=True)], "_part bigint, _base bigint")
+    out = placed.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return out.withColumn(name, F.col("_base") + F.col("_place") - F.shiftleft("_part", 33)).drop("_part", "_base", "_place")
 
 
 def build_nodes(ents: DataFrame) -> DataFrame:

@@ -97,7 +97,17 @@ def e9(spark, sf_dir):
 def e11(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     _, _, log = E.resolve(G.saved(nodes), G.saved(edges), _registry(spark, sf_dir), "semantic")
-    return spark.createDataFrame([(m["step"], m["survivor"], m["loser"]) for m in log], "step int, survivor string, loser string")
+    return E.numbered_steps(log).select(F.col("step").cast("int").alias("step"), "survivor", "loser")
+
+
+_CLASSES = f"""WITH {GRAPH}, {_REG}, {_ND}, q AS (SELECT name, 'normalized' AS signal, nrm AS key FROM nd UNION ALL SELECT name, 'registry', rg FROM nd UNION ALL SELECT name, 'alias', als FROM nd)
+SELECT signal, key, min(name) OVER (PARTITION BY signal, key) AS least, name FROM q WHERE key <> '' QUALIFY count(*) OVER (PARTITION BY signal, key) > 1"""
+
+
+@query("e6_candidate_classes", _CLASSES)
+def e6c(spark, sf_dir):
+    """The classes behind the pairs, in rows that grow with the nodes."""
+    return E.candidate_classes(graph(spark, sf_dir)[0], _registry(spark, sf_dir))
 
 
 @query("e13_cross_document_pairs", _PAIRS + " SELECT node_a, node_b FROM cn JOIN nodes x ON x.name = node_a JOIN nodes y ON y.name = node_b WHERE NOT list_has_any(x.docs, y.docs)")

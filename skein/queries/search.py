@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import graph as G
+from skein.operators import postings as P
 from skein.operators import search as S
 from skein.queries import query
 from skein.sources.tables import table
@@ -41,6 +43,17 @@ def bm25(spark, sf_dir):
     return S.bm25_top(*items(spark, sf_dir), 10)
 
 
+def _index(spark, docs):
+    return P.Postings.build(docs, G.shared_path(spark, "postings"), bits=5)
+
+
+@query("v1_postings", H + " SELECT qid, id, score, rank FROM h_words")
+def postings(spark, sf_dir):
+    """The same from stored postings: blocks whose greatest weights can't reach the k-th best score are left out."""
+    docs, q = items(spark, sf_dir)
+    return _index(spark, docs).search(q, 10)[0]
+
+
 @query("v1_dense", H + " SELECT qid, id, score, rank FROM h_dense")
 def dense(spark, sf_dir):
     return S.cosine_top(*items(spark, sf_dir), 10)
@@ -83,6 +96,13 @@ def scoped(spark, sf_dir):
     return S.hybrid(docs, q, 8, scope=keys)
 
 
+@query("v6_scoped_postings", f"WITH {ITEMS}, {hybrid_sql('h', 'items', 'questions', 8, 10, 'id % 3 = qid % 3')} SELECT qid, id, score, rank FROM h_words")
+def scoped_postings(spark, sf_dir):
+    docs, q = items(spark, sf_dir)
+    keys = docs.select("id", (F.col("id") % 3).alias("k")).join(q.select("qid", (F.col("qid") % 3).alias("k")), "k").select("qid", "id")
+    return _index(spark, docs).scoped(q, 10, keys)
+
+
 @query(
     "v7_embedding",
     "SELECT page_id, list_transform(range(0, 8), lambda i: ('0x' || substr(md5(i || ':' || t), 1, 4))::BIGINT / 65535.0::DOUBLE)::VARCHAR AS vec FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ' ' ELSE url END AS t FROM pages)",

@@ -110,8 +110,8 @@ def test_resolution(spark):
     got = {(r["node_a"], r["node_b"]): r["classification"] for r in E.candidates(nodes, reg).collect()}
     assert got == {("GPT-4", "GPT4"): "AUTOMATIC", ("Token set", "Token sets"): "REVIEW", ("Graph", "Graphs"): "KEEP_SEPARATE"}
     edges = spark.createDataFrame([("A", "x"), ("A", "y"), ("z", "A"), ("B", "x")], "src string, dst string")
-    log = E.merge_plan(nodes, edges, [("B", "A"), ("B", "x")])
-    assert log == [{"step": 0, "survivor": "A", "loser": "B"}]
+    log = E.merge_log(edges, spark.createDataFrame([("A", "B", "AUTOMATIC"), ("B", "x", "REVIEW")], "node_a string, node_b string, classification string"))
+    assert [(r["survivor"], r["loser"], r["final"]) for r in log.collect()] == [("A", "B", "A")]
 
 
 def test_similar_pairs_loses_none(spark):
