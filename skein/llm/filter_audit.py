@@ -55,8 +55,9 @@ def other_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col("text")
     capitals = 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > 5 * F.length(text)
     flags = _keyed(docs, id_col, text_col, F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part")).select("id", "code", "part", capitals.alias("capitals"), text.rlike("[#$%&*|]").alias("symbols"), F.unhex(F.sha2(text, 256)).alias("same"))
-    shared = flags.groupBy("same").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("same", "least")
-    return flags.join(shared, "same", "left").select("id", "code", "part", "capitals", "symbols", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("repeated"))
+    # only the first row of a text is looked up, so a text of very many copies meets no one task
+    first = flags.where("id is not null").groupBy("same").agg(F.min("id").alias("f_id"), F.min("code").alias("f_code")).select("f_id", "f_code", F.lit(True).alias("first"))
+    return flags.join(first, (F.col("id") == F.col("f_id")) & (F.col("code") == F.col("f_code")), "left").select("id", "code", "part", "capitals", "symbols", (F.col("id").isNotNull() & F.col("first").isNull()).alias("repeated"))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
