@@ -6,18 +6,22 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import TOKEN, chunk_id, tokens
+from skein.functions.tokenizers import Tokenizer
 
 CHUNK = "chunk_id string, doc_id string, text string, token_count int, start_offset int, end_offset int, chunk_index int, strategy string"
 _token = re.compile(TOKEN)
 
 
-def sliding_window(docs: DataFrame, size: int = 500, overlap: float = 0.15, strategy: str = "sliding_window") -> DataFrame:
-    """A window at every stride while it starts inside the text; the last may lie within the one before."""
+def sliding_window(docs: DataFrame, size: int = 500, overlap: float = 0.15, strategy: str = "sliding_window", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """A window at every stride while it starts inside the text; the last may lie within the one before. tokenizer: in place of the default, which Spark runs itself."""
     stride = max(1, size - int(size * overlap))
+    if tokenizer is not None:
+        return _windows(docs, size, stride, strategy, tokenizer)
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), tokens("text").alias("t")).where(F.size("t") > 0)
     rows = rows.select("doc_id", "t", F.posexplode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(stride))).alias("chunk_index", "start_offset"))
     piece = F.slice("t", F.col("start_offset") + 1, F.lit(size))
@@ -27,17 +31,51 @@ def sliding_window(docs: DataFrame, size: int = 500, overlap: float = 0.15, stra
     )
 
 
-def small_window(docs: DataFrame, overlap: float = 0.15) -> DataFrame:
-    return sliding_window(docs, 250, overlap, "small_window")
+def _windows(docs: DataFrame, size: int, stride: int, strategy: str, tokenizer: Tokenizer) -> DataFrame:
+    """The windows of a tokenizer's numbers, decoded one by one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = tokenizer.encode(text or "")
+                rows += [(doc, k, at, min(at + size, len(ids)), tokenizer.decode(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), stride))]
+                if len(rows) > 10_000:
+                    yield _window_batch(rows)
+                    rows = []
+            yield _window_batch(rows)
+
+    cells = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, chunk_index int, start_offset int, end_offset int, text string")
+    return cells.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "text", (F.col("end_offset") - F.col("start_offset")).alias("token_count"), "start_offset", "end_offset", "chunk_index", F.lit(strategy).alias("strategy"))
+
+
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "chunk_index", "start_offset", "end_offset", "text"])
+
+
+def small_window(docs: DataFrame, overlap: float = 0.15, tokenizer: Tokenizer | None = None) -> DataFrame:
+    return sliding_window(docs, 250, overlap, "small_window", tokenizer)
 
-def with_offsets(pieces: DataFrame, strategy: str) -> DataFrame:
+
+def with_offsets(pieces: DataFrame, strategy: str, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Chunk rows of (doc_id, chunk_index, text): offsets are running token counts of the document."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = pieces.withColumn("token_count", F.size(tokens(F.col("text")))).withColumn("end_offset", F.sum("token_count").over(w).cast("int"))
+    rows = pieces.withColumn("token_count", F.size(tokens(F.col("text"))) if tokenizer is None else token_counts(tokenizer)(F.col("text"))).withColumn("end_offset", F.sum("token_count").over(w).cast("int"))
     return rows.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "token_count", (F.col("end_offset") - F.col("token_count")).alias("start_offset"), "end_offset", "chunk_index", F.lit(strategy).alias("strategy"))
 
 
+def token_counts(tokenizer: Tokenizer):
+    """A tokenizer's number of tokens as a column function; a null text has none."""
+
+    @F.pandas_udf("int")
+    def count(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: len(tokenizer.encode(t or "")))
+
+    return count
+
+
 def split_recursive(text: str, target: int, overlap: float, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
     """Pieces of at most `target` tokens, cut at the coarsest separator that does; "" parts characters.
 

@@ -114,13 +114,16 @@ def merge_relations(rows: DataFrame) -> DataFrame:
 
 
 def glean(first: DataFrame, extract: Callable[[DataFrame, int], DataFrame], passes: int) -> DataFrame:
-    """Further extraction passes merged in; stops at a pass that finds nothing. extract(so far, pass) gives rows like `first`."""
-    out = first.withColumn("pass", F.lit(0))
+    """Further extraction passes merged in; stops at a pass that finds nothing. extract(so far, pass) gives rows like `first`.
+
+    Each pass is extracted once and stored: what is counted is what is merged, also with a model that never answers twice alike.
+    """
+    out = G.saved(first.withColumn("pass", F.lit(0)))
     for n in range(1, passes + 1):
-        more = extract(out, n).withColumn("pass", F.lit(n))
+        more = G.saved(extract(out, n).withColumn("pass", F.lit(n)))
         if more.limit(1).count() == 0:
             break
-        out = merge_entities(out.unionByName(more))
+        out = G.saved(merge_entities(out.unionByName(more)))
     return out
 
 

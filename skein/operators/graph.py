@@ -1,14 +1,17 @@
 """Building, ranking, walking and measuring the entity graph.
 
 Graphs are two DataFrames. Nodes: name, key, type, mentions (a count), descriptions,
-source_sentences (arrays of text, chunk_id, doc_id in mention order),
-source_docs (sorted), stub, ord. Edges: src, dst, mentions, types (with repeats),
+source_sentences (arrays of text, chunk_id, doc_id in mention order), description (the
+first), source_docs (sorted), stub, ord. Edges: src, dst, mentions, types (with repeats),
 description and source_doc of the first mention, source_sentences, ord.
 First wins by (record_no, pos), never by the order of rows.
 
 The arrays grow with a node's mentions. Each is an aggregate of its own, so a plan that
 doesn't read them has Catalyst drop them, and what is left meets in each task before any
-shuffle; node_places() and edge_places() give where a node or edge stands as rows.
+shuffle. What a hot node or edge would hold in such an array there is in bounded rows too:
+node_segments() and edge_segments() cut the mentions into rows of at most SEGMENT, and
+node_places() and edge_places() give each place of a node or edge as a row. slim() drops
+the arrays; the plans, metrics and connectivity take places beside a slim graph.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import norm, norm_alias
+from skein.functions.text import norm, norm_alias, terms
 
 
 def mention_order() -> Column:
@@ -66,11 +69,45 @@ def build_nodes(ents: DataFrame) -> DataFrame:
         F.coalesce(F.min_by(F.when(F.col("type") != "OTHER", F.col("type")), F.when(F.col("type") != "OTHER", mention_order())), F.lit("OTHER")).alias("type"),
         texts("description").alias("descriptions"),
         texts("source_sentence").alias("source_sentences"),
+        F.min_by(F.coalesce("description", F.lit("")), mention_order()).alias("description"),
         F.array_sort(F.collect_set("doc_id")).alias("source_docs"),
         F.bool_and(F.coalesce("stub", F.lit(False))).alias("stub"),
         F.min(mention_order()).alias("ord"),
     )
-    return g.select("name", "key", "type", "mentions", "descriptions", "source_sentences", "source_docs", "stub", "ord")
+    return g.select("name", "key", "type", "mentions", "descriptions", "source_sentences", "description", "source_docs", "stub", "ord")
+
+
+#: The arrays that grow with mentions, and mentions that a segment holds at most.
+LISTS, SEGMENT = ("descriptions", "source_sentences"), 256
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """Nodes or edges without the arrays of their mentions."""
+    return df.drop(*LISTS)
+
+
+def _segments(rows: DataFrame, keys: list[str], order: list[str], size: int, fields: dict[str, Column]) -> DataFrame:
+    """keys, segment, mentions and an array of each field: the rows of a key in an order, `size` to a segment at most. Rows are numbered over ranges of the order, so a hot key is sorted and cut by many tasks."""
+    placed = numbered(rows.select(*keys, *order, *(c.alias(f) for f, c in fields.items())), [*keys, *order], "_n")
+    cells = F.array_sort(F.collect_list(F.struct("_n", *fields)))
+
+    def cell(field: str):
+        return lambda x: x[field]  # one argument, as a second would be the index
+
+    out = placed.groupBy(*keys, F.floor(F.col("_n") / size).alias("segment")).agg(F.count(F.lit(1)).alias("mentions"), cells.alias("_cells"))
+    return out.select(*keys, "segment", "mentions", *(F.transform("_cells", cell(f)).alias(f) for f in fields))
+
+
+def node_segments(ents: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """key, segment, mentions, descriptions, source_sentences (texts), chunk_ids, doc_ids: a node's mentions in order, over rows whose segments ascend."""
+    e = ents.withColumn("key", norm(F.col("name"))).where("key <> ''")
+    return _segments(e, ["key"], ["record_no", "pos"], size, {"descriptions": F.coalesce("description", F.lit("")), "source_sentences": F.coalesce("source_sentence", F.lit("")), "chunk_ids": F.col("chunk_id"), "doc_ids": F.col("doc_id")})
+
+
+def edge_segments(resolved: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """src, dst, segment, mentions, types, source_sentences (texts), chunk_ids, doc_ids: an edge's mentions in order."""
+    r = resolved.where("src is not null and dst is not null and src <> dst")
+    return _segments(r, ["src", "dst"], ["record_no", "pos"], size, {"types": F.upper(F.trim(F.coalesce("type", F.lit("")))), "source_sentences": F.coalesce("source_sentence", F.lit("")), "chunk_ids": F.col("chunk_id"), "doc_ids": F.col("doc_id")})
 
 
 def node_places(ents: DataFrame) -> DataFrame:
@@ -80,7 +117,7 @@ def node_places(ents: DataFrame) -> DataFrame:
 
 def edge_places(resolved: DataFrame) -> DataFrame:
     """src, dst, chunk_id, doc_id: where the edges of these relationships stand, each place once."""
-    return resolved.where("src <> dst").select("src", "dst", "chunk_id", "doc_id").distinct()
+    return resolved.where("src is not null and dst is not null and src <> dst").select("src", "dst", "chunk_id", "doc_id").distinct()
 
 
 def resolve_ends(rels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -128,6 +165,7 @@ def merge_aliases(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
         F.sum("mentions").alias("mentions"),
         flat("descriptions"),
         flat("source_sentences"),
+        F.min_by("description", first).alias("description"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_docs")))).alias("source_docs"),
         F.bool_and("stub").alias("stub"),
         F.min("ord").alias("ord"),
@@ -211,22 +249,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_document(edges: DataFrame, nodes: DataFrame, empty_counts: bool = False, by_provenance: bool = False) -> Column:
-    """Edge predicate over s_docs and d_docs: disjoint document sets. empty_counts: empty sets are disjoint too; by_provenance: mentions in several documents count as well."""
+def cross_document(empty_counts: bool = False, by_provenance: bool = False) -> Column:
+    """Edge predicate over s_docs, d_docs and several: disjoint document sets. empty_counts: empty sets are disjoint too; by_provenance: mentions in several documents count as well."""
     disjoint = ~F.arrays_overlap("s_docs", "d_docs")
     out = disjoint if empty_counts else disjoint & (F.size("s_docs") > 0) & (F.size("d_docs") > 0)
-    return out | (F.size(F.array_distinct(F.transform("source_sentences", lambda x: x["doc_id"]))) > 1) if by_provenance else out
+    return out | F.col("several") if by_provenance else out
 
 
-def metrics(nodes: DataFrame, edges: DataFrame, parts: DataFrame, empty_counts: bool = False, by_provenance: bool = False) -> DataFrame:
-    """One row of counts. parts: components()."""
+def metrics(nodes: DataFrame, edges: DataFrame, parts: DataFrame, empty_counts: bool = False, by_provenance: bool = False, places: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row of counts. parts: components(). places: (node_places(), edge_places()) in place of the arrays of nodes and edges."""
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     deg = degree(nodes, edges)
     docs = nodes.select("name", "source_docs")
+    if places is None:
+        nodes = nodes.withColumn("many", F.size(F.array_distinct(F.transform(F.concat("descriptions", "source_sentences"), lambda x: x["chunk_id"]))) > 1)
+        edges = edges.withColumn("several", F.size(F.array_distinct(F.transform("source_sentences", lambda x: x["doc_id"]))) > 1)
+    else:
+        ends = lambda df, keys, of: df.groupBy(*keys).agg((F.min(of) != F.max(of)).alias("_more"))
+        nodes = nodes.join(ends(places[0], ["key"], "chunk_id"), "key", "left").withColumn("many", F.coalesce("_more", F.lit(False))).drop("_more")
+        edges = edges.join(ends(places[1], ["src", "dst"], "doc_id"), ["src", "dst"], "left").withColumn("several", F.coalesce("_more", F.lit(False))).drop("_more")
     e = edges.join(docs.select(F.col("name").alias("src"), F.col("source_docs").alias("s_docs")), "src").join(docs.select(F.col("name").alias("dst"), F.col("source_docs").alias("d_docs")), "dst")
-    chunks = F.size(F.array_distinct(F.transform(F.concat("descriptions", "source_sentences"), lambda x: x["chunk_id"])))
-    a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.size("source_docs") >= 2).alias("cross_doc_nodes"), F.count_if("stub").alias("stub_nodes"), F.count_if(chunks > 1).alias("multi_chunk_nodes"))
-    b = e.agg(F.count(F.lit(1)).alias("edges"), F.count_if(cross_document(edges, nodes, empty_counts, by_provenance)).alias("cross_doc_edges"))
+    a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.size("source_docs") >= 2).alias("cross_doc_nodes"), F.count_if("stub").alias("stub_nodes"), F.count_if("many").alias("multi_chunk_nodes"))
+    b = e.agg(F.count(F.lit(1)).alias("edges"), F.count_if(cross_document(empty_counts, by_provenance)).alias("cross_doc_edges"))
     c = sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
     d = deg.agg(F.count_if(F.col("degree") == 0).alias("isolated"))
     return a.join(b).join(c).join(d)
@@ -274,9 +318,9 @@ def label_exists(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.agg(F.coalesce(F.max(F.lower("name") == name.lower()), F.lit(False)).alias("exists"))
 
 
-def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
-    """pair_id, connected: whether nodes of two chunks (a_chunk, b_chunk) are one or within `hops`. Both ends of a pair grow in turn, so neither goes further than half the way."""
-    of = saved(nodes.select("name", F.explode(F.array_distinct(F.transform("source_sentences", lambda x: x["chunk_id"]))).alias("chunk")))
+def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: int = 3, places: DataFrame | None = None) -> DataFrame:
+    """pair_id, connected: whether nodes of two chunks (a_chunk, b_chunk) are one or within `hops`. places: node_places() in place of the nodes' arrays. Both ends of a pair grow in turn, so neither goes further than half the way."""
+    of = saved(node_chunk_rows(nodes, places))
     near = saved(undirected(edges))
 
     def side(chunk: str) -> DataFrame:
@@ -295,24 +339,9 @@ def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: i
     return pairs.select("pair_id").join(hit, "pair_id", "left").select("pair_id", F.coalesce("connected", F.lit(False)).alias("connected"))
 
 
-def _gram(k: int):
-    """From a place on, k words of column w; one argument, as a second would be the index."""
-    return lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")
-
-
-def phrases_in(texts: DataFrame, id_col: str, phrases: DataFrame) -> DataFrame:
-    """id, phrase: the texts' (id, w: array of words) distinct word n-grams of every length that a phrase (phrase: words parted by single spaces) has."""
-    lengths = sorted(r["k"] for r in phrases.where("phrase <> ''").select(F.size(F.split("phrase", " ")).alias("k")).distinct().collect())
-    grams = texts.select(id_col, F.lit("").alias("phrase")).limit(0)
-    for k in lengths:
-        g = texts.where(F.size("w") >= k).select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), _gram(k)))).alias("phrase"))
-        grams = grams.unionByName(g)
-    return grams
-
-
 def found_in(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """name, doc_id: documents in whose texts a node's name stands as a whole phrase."""
-    from skein.functions.text import terms
+    from skein.operators.phrases import phrases_in
 
     keys = nodes.select("name", F.array_join(terms(F.col("name")), " ").alias("phrase"), F.size(terms(F.col("name"))).alias("k")).where("k > 0").drop("k")
     t = docs.select(F.col("doc_id").cast("string").alias("doc_id"), terms(F.col("text")).alias("w"))
@@ -322,7 +351,7 @@ def found_in(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def mention_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, names: pairs of documents in whose texts a node's name stands as a whole phrase. A name that many documents hold makes a pair of any two of them, which is the result asked for; found_in() has the names and documents without pairs.
 
-    Names of any length are looked up by their words: a text's word n-grams join the names' keys, so no name meets every text.
+    Names of any length are looked up together, by an automaton over their words.
     """
     found = found_in(nodes, docs)
     pairs = found.alias("x").join(found.alias("y"), (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id")))
@@ -349,6 +378,20 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, e
 
 
+def node_chunk_rows(nodes: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """name, chunk: from the nodes' arrays, or from places (key, chunk_id)."""
+    if places is None:
+        return nodes.select("name", F.explode(node_chunks(F.col("descriptions"), F.col("source_sentences"))).alias("chunk"))
+    return places.select("key", F.col("chunk_id").alias("chunk")).distinct().join(nodes.select("key", "name"), "key").select("name", "chunk")
+
+
+def edge_chunk_rows(edges: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """src, dst, chunk: from the edges' arrays, or from places (src, dst, chunk_id)."""
+    if places is None:
+        return edges.select("src", "dst", F.explode(edge_chunks(F.col("source_sentences"))).alias("chunk"))
+    return places.select("src", "dst", F.col("chunk_id").alias("chunk")).distinct()
+
+
 def node_chunks(descriptions: Column, sentences: Column) -> Column:
     """Chunks of a node's descriptions, then of its sentences, each once."""
     return F.array_distinct(F.transform(F.concat(descriptions, sentences), lambda x: x["chunk_id"]))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import norm
 from skein.operators import graph as G
+from skein.operators.phrases import strings_in
 
 #: Seeds, hops, the weight of an edge, the least characters of an anchor.
 SEEDS, HOPS, EDGE_WEIGHT, LEAST_ANCHOR = 5, 2, 0.5, 3
@@ -155,13 +156,20 @@ def on_demand(questions: DataFrame, dense: DataFrame, paragraphs: DataFrame, cac
 
 
 def selections(questions: DataFrame, dense: DataFrame, titles: DataFrame, mentions: DataFrame, sizes: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """selection, qid, id: B_k is the head of the dense list, C_k adds what titles and entities name."""
-    from skein.plans.retrieval import expansion
+    """selection, qid, id: B_k is the head of the dense list, C_k adds what titles and entities name.
 
+    The simulation's own rule: a title up to its first " (" counts if it has four characters or more
+    and stands anywhere in the question, and names of any length count that are a title or its part before " (".
+    """
+    keyed = titles.select("id", norm(F.col("title")).alias("full"), norm(F.split_part("title", F.lit(" ("), F.lit(1))).alias("phrase"))
+    long = keyed.where(F.length("phrase") >= 4)
+    by_title = strings_in(questions.select("qid", norm(F.col("text")).alias("line")), "qid", long.select("phrase")).join(long, "phrase").select("qid", "id")
     out = None
     for k in sizes:
         head = dense.where(F.col("rank") <= k).select("qid", "id")
-        wide = expansion(questions, titles, head, seed_names(head, mentions))
+        named = seed_names(head, mentions).select("qid", norm(F.col("name")).alias("n")).distinct()
+        by_name = named.join(keyed, F.col("n") == F.col("full")).select("qid", "id").unionByName(named.join(keyed, F.col("n") == F.col("phrase")).select("qid", "id"))
+        wide = head.unionByName(by_title).unionByName(by_name).distinct()
         both = head.select(F.lit(f"B_{k}").alias("selection"), "qid", "id").unionByName(wide.select(F.lit(f"C_{k}").alias("selection"), "qid", "id"))
         out = both if out is None else out.unionByName(both)
     return out

@@ -40,44 +40,41 @@ def _ranked(parts: list[DataFrame]) -> DataFrame:
     return total.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def _node_chunks(nodes: DataFrame) -> DataFrame:
-    return nodes.select("name", F.explode(G.node_chunks(F.col("descriptions"), F.col("source_sentences"))).alias("chunk"))
+#: (node_places(), edge_places()) that plans over a slim graph read.
+Places = tuple[DataFrame, DataFrame] | tuple[None, None]
 
 
-def _edge_chunks(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst", F.explode(G.edge_chunks(F.col("source_sentences"))).alias("chunk"))
-
-
-def local(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False) -> DataFrame:
+def local(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False, places: Places = (None, None)) -> DataFrame:
     """Entity hits give their weight to the chunks that name them, and a part to those of each edge at them; optimised: less at neighbours of high degree."""
     seeds = _weights(hits).select("qid", F.col("id").alias("name"), "w")
-    own = seeds.join(_node_chunks(nodes), "name").select("qid", "chunk", "w")
-    ends = edges.select(F.col("src").alias("name"), F.col("dst").alias("other"), "source_sentences").unionByName(edges.select(F.col("dst").alias("name"), F.col("src").alias("other"), "source_sentences"))
+    own = seeds.join(G.node_chunk_rows(nodes, places[0]), "name").select("qid", "chunk", "w")
+    held = G.edge_chunk_rows(edges, places[1])
+    ends = held.select(F.col("src").alias("name"), F.col("dst").alias("other"), "chunk").unionByName(held.select(F.col("dst").alias("name"), F.col("src").alias("other"), "chunk"))
     near = seeds.join(ends, "name")
     part = F.lit(0.5)
     if optimised:
         near = near.join(G.degree(nodes, edges).select(F.col("name").alias("other"), "degree"), "other")
         part = F.lit(0.35) / F.log2(F.lit(2.0) + F.col("degree"))
-    around = near.select("qid", (F.col("w") * part).alias("w"), F.explode(G.edge_chunks(F.col("source_sentences"))).alias("chunk"))
+    around = near.select("qid", (F.col("w") * part).alias("w"), "chunk")
     return _ranked([own, around.select("qid", "chunk", "w")])
 
 
-def global_(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False, store: DataFrame | None = None) -> DataFrame:
+def global_(hits: DataFrame, nodes: DataFrame, edges: DataFrame, optimised: bool = False, store: DataFrame | None = None, places: Places = (None, None)) -> DataFrame:
     """Relationship hits give their weight to their chunks, and a part to the chunks of both ends. A hit is a record of the store (rel_id, source_entity, target_entity, chunk_ids); where that lacks it, an edge of the graph by its id 'src|dst'."""
     seeds = _weights(hits).withColumn("src", F.split_part("id", F.lit("|"), F.lit(1))).withColumn("dst", F.split_part("id", F.lit("|"), F.lit(2)))
     if store is not None:
         seeds = seeds.join(store.select(F.col("rel_id").alias("id"), "source_entity", "target_entity", "chunk_ids"), "id", "left")
         seeds = seeds.withColumn("src", F.coalesce("source_entity", "src")).withColumn("dst", F.coalesce("target_entity", "dst"))
         held = seeds.where("chunk_ids is not null").select("qid", F.explode(F.array_distinct("chunk_ids")).alias("chunk"), "w")
-        own = held.unionByName(seeds.where("chunk_ids is null").join(_edge_chunks(edges), ["src", "dst"]).select("qid", "chunk", "w"))
+        own = held.unionByName(seeds.where("chunk_ids is null").join(G.edge_chunk_rows(edges, places[1]), ["src", "dst"]).select("qid", "chunk", "w"))
     else:
-        own = seeds.join(_edge_chunks(edges), ["src", "dst"]).select("qid", "chunk", "w")
+        own = seeds.join(G.edge_chunk_rows(edges, places[1]), ["src", "dst"]).select("qid", "chunk", "w")
     ends = seeds.select("qid", "w", F.explode(F.array("src", "dst")).alias("name"))
     part = F.lit(0.3)
     if optimised:
         ends = ends.join(G.degree(nodes, edges), "name")
         part = F.lit(0.2) / F.log2(F.lit(2.0) + F.col("degree"))
-    around = ends.withColumn("w", F.col("w") * part).join(_node_chunks(nodes), "name").select("qid", "chunk", "w")
+    around = ends.withColumn("w", F.col("w") * part).join(G.node_chunk_rows(nodes, places[0]), "name").select("qid", "chunk", "w")
     return _ranked([own, around])
 
 
@@ -139,42 +136,47 @@ def candidates(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataF
     return S.top(out, most, tie="name").where(~norm(F.col("name")).isin(*TYPE_LABELS))
 
 
-def candidate_scope(found: DataFrame, nodes: DataFrame, chunks: DataFrame, scope: str = "docs") -> DataFrame:
+def candidate_documents(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qid, doc_id): the candidates' documents."""
+    return found.select("qid", "name").join(nodes.select("name", F.explode("source_docs").alias("doc_id")), "name").select("qid", "doc_id").distinct()
+
+
+def candidate_scope(found: DataFrame, nodes: DataFrame, chunks: DataFrame, scope: str = "docs", places: Places = (None, None)) -> DataFrame:
     """(qid, id): the chunks among which the structural plan searches: of the candidates' documents ('docs'), or those that name them. chunks: id, doc_id."""
     if scope == "docs":
-        docs = found.select("qid", "name").join(nodes.select("name", F.explode("source_docs").alias("doc_id")), "name").select("qid", "doc_id").distinct()
-        return docs.join(chunks.select("id", "doc_id"), "doc_id").select("qid", "id")
+        return candidate_documents(found, nodes).join(chunks.select("id", "doc_id"), "doc_id").select("qid", "id")
     if scope not in ("candidates", "verbalized"):
         raise ValueError(f"unknown scope {scope!r}")
-    return found.select("qid", "name").join(_node_chunks(nodes), "name").select("qid", F.col("chunk").alias("id")).distinct()
+    return found.select("qid", "name").join(G.node_chunk_rows(nodes, places[0]), "name").select("qid", F.col("chunk").alias("id")).distinct()
 
 
 def verbalise(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """qid, text: a line 'name (TYPE): first description' for each candidate in rank order."""
-    line = F.concat("name", F.lit(" ("), "type", F.lit("): "), F.coalesce(F.get("descriptions", 0)["text"], F.lit("")))
-    rows = found.select("qid", "name", "rank").join(nodes.select("name", "type", "descriptions"), "name").select("qid", F.struct("rank", line.alias("line")).alias("x"))
+    line = F.concat("name", F.lit(" ("), "type", F.lit("): "), "description")
+    rows = found.select("qid", "name", "rank").join(nodes.select("name", "type", "description"), "name").select("qid", F.struct("rank", line.alias("line")).alias("x"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
 
 
 def expansion(questions: DataFrame, titles: DataFrame, seeds: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
     """(qid, id): seed chunks, chunks whose base title stands in the question as a whole phrase, and chunks whose title one of the names is. titles: id, title; seeds: qid, id; names: qid, name, of the seeds' entities. Titles and names under `least` characters count as full titles alone.
 
-    Titles of any length meet questions by word n-grams, not by pairs, and the phrase decides.
+    Titles of any length meet questions by an automaton over all of them, not by pairs, and the phrase decides.
     """
     from skein.functions.text import terms
+    from skein.operators.phrases import phrases_in
     from skein.plans.query_focused import whole_phrase
 
     keyed = titles.select("id", norm(F.col("title")).alias("full"), norm(base_title(F.col("title"))).alias("base"))
     long = keyed.where(F.length("base") >= least).withColumn("phrase", F.array_join(terms(F.col("base")), " "))
     asked = questions.select("qid", terms(F.col("text")).alias("w"), norm(F.col("text")).alias("q"))
-    near = G.phrases_in(asked, "qid", long.select("phrase")).join(long, "phrase").join(asked.select("qid", "q"), "qid")
+    near = phrases_in(asked, "qid", long.select("phrase")).join(long, "phrase").join(asked.select("qid", "q"), "qid")
     by_title = near.where(whole_phrase(F.col("base"), F.col("q"))).select("qid", "id")
     named = names.select("qid", norm(F.col("name")).alias("n")).where("n <> ''").distinct()
     by_name = named.join(keyed, F.col("n") == F.col("full")).select("qid", "id").unionByName(named.join(long, F.col("n") == F.col("base")).select("qid", "id"))
     return seeds.select("qid", "id").unionByName(by_title).unionByName(by_name).distinct()
 
 
-def structural(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 6, scope: str = "docs", embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def structural(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 6, scope: str = "docs", embed: Callable[[DataFrame], DataFrame] | None = None, places: Places = (None, None)) -> DataFrame:
     """qid, id, score, rank of the structural plan: candidates, the chunks that they leave in scope, and a hybrid search among these.
 
     chunks: id, doc_id, text, vec; questions: qid, text, vec. With the scope 'verbalized' the
@@ -182,8 +184,10 @@ def structural(hits: DataFrame, nodes: DataFrame, edges: DataFrame, ranks: DataF
     candidates name no chunk, those of their documents are searched.
     """
     found = G.saved(candidates(hits, nodes, edges, ranks))
-    within = candidate_scope(found, nodes, chunks, scope)
-    if scope != "docs":
+    if scope == "docs":
+        within = candidate_documents(found, nodes)  # (qid, doc_id): chunks are asked for their document, so no pair of a question and a chunk is made
+    else:
+        within = candidate_scope(found, nodes, chunks, scope, places)
         lone = found.select("qid").distinct().join(within.select("qid").distinct(), "qid", "left_anti")
         within = within.unionByName(candidate_scope(found.join(lone, "qid", "left_semi"), nodes, chunks))
     asked = questions
@@ -216,10 +220,11 @@ class Corpus:
     mentions: DataFrame
     relations: DataFrame
     embed: Callable[[DataFrame], DataFrame] | None = None
+    places: Places = (None, None)
 
     def lists(self, questions: DataFrame, k: int, optimised: bool = False) -> tuple[DataFrame, DataFrame]:
         """The local and the global list."""
-        return tuple(G.saved(f(S.hybrid(items, questions, _pool(k)), self.nodes, self.edges, optimised)) for f, items in ((local, self.entities), (global_, self.relationships)))
+        return tuple(G.saved(f(S.hybrid(items, questions, _pool(k)), self.nodes, self.edges, optimised, places=self.places)) for f, items in ((local, self.entities), (global_, self.relationships)))
 
     def flat(self, questions: DataFrame, k: int) -> DataFrame:
         return S.hybrid(self.chunks, questions, k)
@@ -230,7 +235,7 @@ ENTRIES = 8
 
 
 def _structural(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return structural(S.hybrid(c.entities, q, ENTRIES), c.nodes, c.edges, c.ranks, c.chunks, q, k, embed=c.embed)
+    return structural(S.hybrid(c.entities, q, ENTRIES), c.nodes, c.edges, c.ranks, c.chunks, q, k, embed=c.embed, places=c.places)
 
 
 def _query_focused(c: Corpus, q: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from skein.functions import text as T
 from skein.operators import graph as G
 from skein.queries import query
 from skein.queries.text import ALIAS, KG, NORM
-from skein.sources.tables import mentions, relations, table
+from skein.sources.tables import mentions, people, people_views, relations, table
 
 _ORD = "(record_no::HUGEINT * 10000000000000000000 + pos)"
 #: Nodes, resolved relationships and edges as CTEs.
@@ -20,11 +20,18 @@ edges AS (SELECT src, dst, list(type ORDER BY ord) AS types, arg_min(description
 _AMAP = rf"am AS (SELECT name, CASE WHEN a = '' THEN name ELSE min(name) OVER (PARTITION BY a) END AS canonical FROM (SELECT name, {ALIAS.format('name')} AS a FROM nodes))"
 
 
-def graph(spark, sf_dir):
-    """(nodes, resolved relationships, edges)."""
+def graph(spark, sf_dir, lists=False):
+    """(nodes, resolved relationships, edges). The nodes are stored once, without the arrays of their mentions but for lists."""
     nodes = G.build_nodes(mentions(spark, sf_dir))
+    nodes = G.saved(nodes if lists else G.slim(nodes))
     resolved = G.resolve_ends(relations(spark, sf_dir), nodes)
-    return nodes, resolved, G.build_edges(resolved)
+    return nodes, resolved, G.build_edges(resolved) if lists else G.slim(G.build_edges(resolved))
+
+
+def placed(spark, sf_dir):
+    """(nodes, edges, (node places, edge places)), each stored once."""
+    nodes, resolved, edges = graph(spark, sf_dir)
+    return nodes, G.saved(edges), (G.saved(G.node_places(mentions(spark, sf_dir))), G.saved(G.edge_places(resolved)))
 
 
 @query("g1_primary_key", rf"WITH {KG} SELECT DISTINCT name, {NORM.format('name')} AS key FROM ents")
@@ -58,13 +65,31 @@ def g6(spark, sf_dir):
     return graph(spark, sf_dir)[2].select("src", "dst", F.array_join("types", ",").alias("types"), "description", "source_doc", F.col("mentions").alias("sentences"))
 
 
+def _segments_sql(rows: str, keys: str, fields: str) -> str:
+    return f"""WITH {GRAPH}, z AS (SELECT *, (row_number() OVER (ORDER BY {keys}, record_no, pos) - 1) // 64 AS segment FROM {rows})
+SELECT {keys}, segment::BIGINT AS segment, count(*) AS mentions, {fields}, string_agg(chunk_id, ',' ORDER BY record_no, pos) AS chunks FROM z GROUP BY {keys}, segment"""
+
+
+@query("g3_node_segments", _segments_sql("k", "key", "string_agg(description, '|' ORDER BY record_no, pos) AS texts"))
+def g3s(spark, sf_dir):
+    """A node's mentions as rows of at most 64: what a hot node has is spread over rows and tasks."""
+    rows = G.node_segments(mentions(spark, sf_dir), 64)
+    return rows.select("key", "segment", "mentions", F.array_join("descriptions", "|").alias("texts"), F.array_join("chunk_ids", ",").alias("chunks"))
+
+
+@query("g6_edge_segments", _segments_sql("(FROM res WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)", "src, dst", "string_agg(type, '|' ORDER BY record_no, pos) AS texts"))
+def g6s(spark, sf_dir):
+    rows = G.edge_segments(graph(spark, sf_dir)[1], 64)
+    return rows.select("src", "dst", "segment", "mentions", F.array_join("types", "|").alias("texts"), F.array_join("chunk_ids", ",").alias("chunks"))
+
+
 @query(
     "g7_alias_nodes",
     f"""WITH {GRAPH}, {_AMAP}
 SELECT canonical AS name, coalesce(arg_min(type, (CASE WHEN nodes.name = canonical THEN 0 ELSE 1 END)::HUGEINT * 100000000000000000000000000000000000 + ord) FILTER (type <> 'OTHER'), 'OTHER') AS type, sum(mentions)::BIGINT AS mentions, array_to_string(list_sort(list_distinct(flatten(list(docs)))), ',') AS docs FROM nodes JOIN am USING (name) GROUP BY canonical""",
 )
 def g7n(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, _, edges = graph(spark, sf_dir, lists=True)
     merged, _ = G.merge_aliases(nodes, edges)
     return merged.select("name", "type", "mentions", F.array_join("source_docs", ",").alias("docs"))
 
@@ -75,7 +100,7 @@ def g7n(spark, sf_dir):
 SELECT s AS src, d AS dst, array_to_string(arg_min(types, place), ',') AS types, sum(n)::BIGINT AS sentences, arg_min(source_doc, place) AS source_doc FROM m GROUP BY s, d""",
 )
 def g7e(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, _, edges = graph(spark, sf_dir, lists=True)
     _, e = G.merge_aliases(nodes, edges)
     return e.select("src", "dst", F.array_join("types", ",").alias("types"), F.col("mentions").alias("sentences"), "source_doc")
 
@@ -170,8 +195,8 @@ SELECT count(*) AS nodes, count(*) FILTER (len(docs) >= 2) AS cross_doc_nodes, 0
 
 
 def _metrics(spark, sf_dir, **flags):
-    nodes, _, edges = graph(spark, sf_dir)
-    return G.metrics(nodes, edges, G.components(nodes, edges), **flags)
+    nodes, edges, places = placed(spark, sf_dir)
+    return G.metrics(nodes, edges, G.components(nodes, edges), places=places, **flags)
 
 
 @query("a6_graph_metrics", _metrics_sql("NOT list_has_any(sd, dd)"))
@@ -194,9 +219,9 @@ def _variant_sql(pred: str) -> str:
 
 
 def _variant(spark, sf_dir, **flags):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, edges, places = placed(spark, sf_dir)
     lost = nodes.withColumn("source_docs", F.when(F.col("name").like("NATION_1%"), F.array().cast("array<string>")).otherwise(F.col("source_docs")))
-    return G.metrics(lost, edges, G.components(nodes, edges), **flags)
+    return G.metrics(lost, edges, G.components(nodes, edges), places=places, **flags)
 
 
 _APART, _MANY, _FULL = "NOT list_has_any(sd, dd)", "len(edge_docs) > 1", "len(sd) > 0 AND len(dd) > 0"
@@ -270,10 +295,10 @@ s AS (SELECT pair_id, b_chunk, name FROM p JOIN nc ON a_chunk = chunk_id), r1 AS
 h AS (SELECT DISTINCT pair_id FROM r JOIN nc ON r.b_chunk = nc.chunk_id AND r.name = nc.name) SELECT p.pair_id, h.pair_id IS NOT NULL AS connected FROM p LEFT JOIN h USING (pair_id)""",
 )
 def a12(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, edges, places = placed(spark, sf_dir)
     key = F.col("o_orderkey")
     pairs = table(spark, sf_dir, "orders").where(key % 50 == 0).select(key.alias("pair_id"), F.concat(F.lit("order-"), key.cast("string")).alias("a_chunk"), F.concat(F.lit("order-"), (key + 1).cast("string")).alias("b_chunk"))
-    return G.gold_connected(nodes, edges, pairs)
+    return G.gold_connected(nodes, edges, pairs, places=places[0])
 
 
 _CHOSEN = "record_no IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
@@ -327,3 +352,42 @@ def a16(spark, sf_dir):
 def a16n(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
     return G.as_json(nodes, edges)[0]
+
+
+def of_people(sql: str) -> str:
+    """A query over the second graph in place of the first."""
+    return sql.replace(KG, people_views(), 1)
+
+
+def people_graph(spark, sf_dir):
+    """(nodes, edges, places) of the second graph, which has a component for each region."""
+    ents, rels = people(spark, sf_dir)
+    nodes = G.saved(G.slim(G.build_nodes(ents)))
+    resolved = G.resolve_ends(rels, nodes)
+    return nodes, G.saved(G.slim(G.build_edges(resolved))), (G.saved(G.node_places(ents)), G.saved(G.edge_places(resolved)))
+
+
+@query("a3_people_bfs", of_people(_BFS) + " SELECT DISTINCT name FROM b2")
+def a3p(spark, sf_dir):
+    """A nation's region, its people and its sisters, and no more."""
+    nodes, edges, _ = people_graph(spark, sf_dir)
+    return G.bfs(nodes, edges, _seeds(spark), 2).select("name").distinct()
+
+
+@query("a4_people_distances", of_people(_BFS) + " SELECT seed, name, depth FROM b2")
+def a4p(spark, sf_dir):
+    nodes, edges, _ = people_graph(spark, sf_dir)
+    return G.bfs(nodes, edges, _seeds(spark), 2)
+
+
+@query("a5_people_components", of_people(_CC) + " SELECT name, component FROM cc")
+def a5p(spark, sf_dir):
+    nodes, edges, _ = people_graph(spark, sf_dir)
+    return G.components(nodes, edges)
+
+
+@query("a7_people_strict", of_people(_metrics_sql(f"{_APART} AND {_FULL}")))
+def a7p(spark, sf_dir):
+    """Edges of nations to regions join nodes of disjoint documents."""
+    nodes, edges, places = people_graph(spark, sf_dir)
+    return G.metrics(nodes, edges, G.components(nodes, edges), places=places)

@@ -8,7 +8,7 @@ from skein.functions import text as T
 from skein.operators import graph as G
 from skein.operators import resolution as E
 from skein.queries import query
-from skein.queries.graph import GRAPH, graph
+from skein.queries.graph import GRAPH, graph, of_people, people_graph
 from skein.queries.text import KG, NORM
 from skein.sources.tables import mentions
 
@@ -80,6 +80,16 @@ def e7(spark, sf_dir):
     return E.similar_pairs(v, 0.92).withColumn("cosine", F.round("cosine", 6))
 
 
+_HEADS = "h AS (SELECT vec_id::VARCHAR AS name, embedding[1:6]::DOUBLE[] AS v FROM embeddings)"
+
+
+@query("e7_similar_heads", f"WITH {_HEADS} SELECT a.name AS node_a, b.name AS node_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM h a JOIN h b ON a.name < b.name WHERE list_cosine_similarity(a.v, b.v) >= 0.92")
+def e7h(spark, sf_dir):
+    """The vectors' first six components, of which many are near."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("name"), F.slice("embedding", 1, 6).cast("array<double>").alias("vec"))
+    return E.similar_pairs(v, 0.92).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("e8_survivors", _PAIRS + ", dgr AS (SELECT name, coalesce(n, 0) AS deg FROM nodes LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) GROUP BY x) ON x = name) SELECT node_a, node_b, CASE WHEN a.deg > b.deg OR (a.deg = b.deg AND node_a < node_b) THEN node_a ELSE node_b END AS survivor FROM cn JOIN dgr a ON a.name = node_a JOIN dgr b ON b.name = node_b")
 def e8(spark, sf_dir):
     nodes, _, edges = graph(spark, sf_dir)
@@ -88,14 +98,14 @@ def e8(spark, sf_dir):
 
 @query("e9_safe_merge")
 def e9(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, _, edges = graph(spark, sf_dir, lists=True)
     n, _, _ = E.resolve(G.saved(nodes), G.saved(edges), _registry(spark, sf_dir), "exact")
     return n.select("name", "type", F.array_join("aliases", ",").alias("aliases"), F.size("descriptions").alias("descriptions"))
 
 
 @query("e11_merge_log")
 def e11(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, _, edges = graph(spark, sf_dir, lists=True)
     _, _, log = E.resolve(G.saved(nodes), G.saved(edges), _registry(spark, sf_dir), "semantic")
     return E.numbered_steps(log).select(F.col("step").cast("int").alias("step"), "survivor", "loser")
 
@@ -115,6 +125,12 @@ def e13(spark, sf_dir):
     return E.candidates(graph(spark, sf_dir)[0], _registry(spark, sf_dir), cross_doc_only=True).select("node_a", "node_b")
 
 
+@query("e13_people_cross_document_pairs", of_people(_PAIRS) + " SELECT node_a, node_b, signal, classification FROM cn JOIN nodes x ON x.name = node_a JOIN nodes y ON y.name = node_b WHERE NOT list_has_any(x.docs, y.docs)")
+def e13p(spark, sf_dir):
+    """Nations of the people's documents beside their plurals in the one on geography."""
+    return E.candidates(people_graph(spark, sf_dir)[0], _registry(spark, sf_dir), cross_doc_only=True).select("node_a", "node_b", "signal", "classification")
+
+
 @query("e13_broad_pairs", _PAIRS.replace("WHERE x.type = y.type OR x.type = 'OTHER' OR y.type = 'OTHER')", "WHERE x.type = y.type OR x.type = 'OTHER' OR y.type = 'OTHER' OR (x.type IN ('TECHNOLOGY', 'CONCEPT', 'SYSTEM') AND y.type IN ('TECHNOLOGY', 'CONCEPT', 'SYSTEM')) OR (x.type IN ('ORGANIZATION', 'PERSON') AND y.type IN ('ORGANIZATION', 'PERSON')))") + " SELECT * FROM cn")
 def e13b(spark, sf_dir):
     """The diagnosis's own rule of types."""

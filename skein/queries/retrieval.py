@@ -10,7 +10,7 @@ from skein.operators import search as S
 from skein.plans import query_focused as QF
 from skein.plans import retrieval as R
 from skein.queries import query
-from skein.queries.graph import GRAPH, graph
+from skein.queries.graph import GRAPH, graph, placed
 from skein.queries.search import hybrid_sql
 from skein.queries.text import NORM
 from skein.sources.tables import mentions, relations, table
@@ -56,20 +56,19 @@ def _vectors(spark, sf_dir, df):
 
 
 def _setup(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
-    nodes, edges = G.saved(nodes), G.saved(edges)
-    ents = _vectors(spark, sf_dir, nodes.select(F.col("name").alias("id"), F.get("descriptions", 0)["text"].alias("text")))
+    nodes, edges, places = placed(spark, sf_dir)
+    ents = _vectors(spark, sf_dir, nodes.select(F.col("name").alias("id"), F.col("description").alias("text")))
     rels = _vectors(spark, sf_dir, edges.select(F.concat_ws("|", "src", "dst").alias("id"), F.concat_ws(" ", F.get("types", 0), "src", "dst", "description").alias("text")))
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     q = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").join(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", F.col("p_partkey") % F.col("n")).join(v, "vec_id")
     q = G.saved(q.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 200).cast("string")).alias("text"), "vec"))
-    return nodes, edges, ents, rels, q
+    return nodes, edges, ents, rels, q, places
 
 
 def _lists(spark, sf_dir, optimised=False):
-    nodes, edges, ents, rels, q = _setup(spark, sf_dir)
-    lo = R.local(S.hybrid(ents, q, 30, 30), nodes, edges, optimised)
-    gl = R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, optimised)
+    nodes, edges, ents, rels, q, places = _setup(spark, sf_dir)
+    lo = R.local(S.hybrid(ents, q, 30, 30), nodes, edges, optimised, places)
+    gl = R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, optimised, places=places)
     return G.saved(lo), G.saved(gl), q
 
 
@@ -108,9 +107,10 @@ def q4(spark, sf_dir):
 )
 def q4s(spark, sf_dir):
     """Half of the relationships have records, which hold their least chunk alone; the others fall back to the graph."""
-    nodes, edges, _, rels, q = _setup(spark, sf_dir)
-    store = edges.where(F.length("src") % 2 == 0).select(F.concat_ws("|", "src", "dst").alias("rel_id"), F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), F.array(F.array_min(G.edge_chunks(F.col("source_sentences")))).alias("chunk_ids"))
-    return R.cut(R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, store=store), K)
+    nodes, edges, _, rels, q, places = _setup(spark, sf_dir)
+    least = places[1].where(F.length("src") % 2 == 0).groupBy("src", "dst").agg(F.array(F.min("chunk_id")).alias("chunk_ids"))
+    store = least.select(F.concat_ws("|", "src", "dst").alias("rel_id"), F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), "chunk_ids")
+    return R.cut(R.global_(S.hybrid(rels, q, 30, 30), nodes, edges, store=store, places=places), K)
 
 
 def _fused(w: float) -> str:
@@ -176,13 +176,13 @@ cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 def _entries(spark, sf_dir):
     """Entity hits, the graph, its PageRank after a fixed number of rounds, which SQL can unroll, and the questions."""
-    nodes, edges, ents, _, q = _setup(spark, sf_dir)
+    nodes, edges, ents, _, q, places = _setup(spark, sf_dir)
     ranks = G.saved(G.pagerank(nodes.select("name"), edges.select("src", "dst"), rounds=_ROUNDS, tolerance=None))
-    return R.cut(S.hybrid(ents, q, 30, 30), R.ENTRIES), nodes, edges, ranks, q
+    return R.cut(S.hybrid(ents, q, 30, 30), R.ENTRIES), nodes, edges, ranks, q, places
 
 
 def _candidates(spark, sf_dir):
-    hits, nodes, edges, ranks, _ = _entries(spark, sf_dir)
+    hits, nodes, edges, ranks, _, _ = _entries(spark, sf_dir)
     return R.candidates(hits, nodes, edges, ranks), nodes
 
 
@@ -205,21 +205,21 @@ def q2b(spark, sf_dir):
 
 @query("q2_structural_documents", _CAND + f", {_CHUNKS}, {_SCOPE}, {hybrid_sql('sh', 'chunks', 'questions', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
 def q2d(spark, sf_dir):
-    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
+    hits, nodes, edges, ranks, q, places = _entries(spark, sf_dir)
     return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q)
 
 
 @query("q2_structural_mentions", _CAND + f", {_CHUNKS}, {_NAMED}, {hybrid_sql('sh', 'chunks', 'questions', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
 def q2m(spark, sf_dir):
-    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
-    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="candidates")
+    hits, nodes, edges, ranks, q, places = _entries(spark, sf_dir)
+    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="candidates", places=places)
 
 
 @query("q2_structural_verbalised", _CAND + f", {_CHUNKS}, {_NAMED}, {_VERB}, asked AS (SELECT qid, questions.text, {_VEC.format('verb.text')} AS vec FROM questions JOIN verb USING (qid)), {hybrid_sql('sh', 'chunks', 'asked', 6, 10, _WITHIN)} SELECT qid, id, score, rank FROM sh_hits")
 def q2v(spark, sf_dir):
     """The embedder picks a vector of the table by a text's digest."""
-    hits, nodes, edges, ranks, q = _entries(spark, sf_dir)
-    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="verbalized", embed=lambda t: _vectors(spark, sf_dir, t.select("qid", F.col("text").alias("id"))))
+    hits, nodes, edges, ranks, q, places = _entries(spark, sf_dir)
+    return R.structural(hits, nodes, edges, ranks, _chunks(spark, sf_dir), q, scope="verbalized", embed=lambda t: _vectors(spark, sf_dir, t.select("qid", F.col("text").alias("id"))), places=places)
 
 
 @query("q2_verbalised", _CAND + f", {_VERB} FROM verb")
@@ -229,12 +229,14 @@ def q2c(spark, sf_dir):
 
 @query("q11_node_chunks", _BASE + " SELECT name, count(*) AS chunks FROM nch GROUP BY name")
 def q11(spark, sf_dir):
-    return graph(spark, sf_dir)[0].select("name", F.size(G.node_chunks(F.col("descriptions"), F.col("source_sentences"))).cast("long").alias("chunks"))
+    nodes, _, places = placed(spark, sf_dir)
+    return G.node_chunk_rows(nodes, places[0]).groupBy("name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("q12_edge_chunks", _BASE + " SELECT src, dst, count(*) AS chunks FROM ech GROUP BY src, dst")
 def q12(spark, sf_dir):
-    return graph(spark, sf_dir)[2].select("src", "dst", F.size(G.edge_chunks(F.col("source_sentences"))).cast("long").alias("chunks"))
+    _, edges, places = placed(spark, sf_dir)
+    return G.edge_chunk_rows(edges, places[1]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("q13_materialise", _LISTS + " SELECT qid, id, score, rank, 'prio ' || o_orderpriority AS text FROM lo JOIN orders ON id = 'order-' || o_orderkey WHERE rank <= 10 AND o_orderkey % 7 <> 0")

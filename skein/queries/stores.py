@@ -33,7 +33,7 @@ def s8(spark, sf_dir):
 
 @query("s9_relation_collection", f"WITH {GRAPH} SELECT 'rel_' || lpad(CAST(row_number() OVER (ORDER BY ord, src, dst) - 1 AS VARCHAR), 5, '0') AS rel_id, src AS source_entity, dst AS target_entity, types[1] AS rel_type, n::INT AS weight FROM edges")
 def s9(spark, sf_dir):
-    return S.relation_collection(graph(spark, sf_dir)[2]).select("rel_id", "source_entity", "target_entity", "rel_type", "weight")
+    return S.relation_collection(graph(spark, sf_dir, lists=True)[2]).select("rel_id", "source_entity", "target_entity", "rel_type", "weight")
 
 
 @query(
@@ -63,7 +63,7 @@ _RELS = f"""WITH {GRAPH}, r AS (SELECT 'rel_' || lpad(CAST(row_number() OVER (OR
 
 @query("s12_relations_by_pair", _RELS + " SELECT * FROM r WHERE target_entity IN (SELECT name FROM nodes WHERE type = 'LOCATION') AND source_entity IN (SELECT name FROM nodes WHERE type = 'ORGANIZATION')")
 def s12p(spark, sf_dir):
-    nodes, _, edges = graph(spark, sf_dir)
+    nodes, _, edges = graph(spark, sf_dir, lists=True)
     store = S.RelationshipStore(S.relation_collection(edges).select("rel_id", "source_entity", "target_entity", "weight"), order="weight")
     kinds = nodes.select("name", "type")
     pairs = edges.select(F.col("src").alias("source_entity"), F.col("dst").alias("target_entity")).join(kinds.where("type = 'ORGANIZATION'").select(F.col("name").alias("source_entity")), "source_entity", "left_semi").join(kinds.where("type = 'LOCATION'").select(F.col("name").alias("target_entity")), "target_entity", "left_semi")
@@ -72,7 +72,7 @@ def s12p(spark, sf_dir):
 
 @query("s12_relations_by_id", _RELS + " SELECT r.* FROM r JOIN orders ON rel_id = 'rel_' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0')")
 def s12i(spark, sf_dir):
-    store = S.RelationshipStore(S.relation_collection(graph(spark, sf_dir)[2]).select("rel_id", "source_entity", "target_entity", "weight"))
+    store = S.RelationshipStore(S.relation_collection(graph(spark, sf_dir, lists=True)[2]).select("rel_id", "source_entity", "target_entity", "weight"))
     return store.get(table(spark, sf_dir, "orders").select(F.format_string("rel_%05d", "o_orderkey").alias("rel_id"))).select("rel_id", "source_entity", "target_entity", "weight")
 
 

@@ -154,7 +154,7 @@ def entity_collection(nodes: DataFrame, vectors: DataFrame, ranks: DataFrame) ->
     n = n.withColumn("nth", F.row_number().over(w))
     unique = F.when(F.col("nth") == 1, F.col("id")).otherwise(F.concat(F.substring("id", 1, 55), F.lit("_"), F.substring(F.sha1("name"), 1, 8)))
     vec = F.when(F.col("vec").isNull(), F.raise_error(F.concat(F.lit("no vector for "), "name"))).otherwise(F.col("vec"))
-    return n.select(unique.alias("id"), "name", F.col("type").alias("entity_type"), F.array_min("source_docs").alias("source_doc"), F.coalesce("rank", F.lit(0.0)).cast("float").alias("pagerank_score"), F.coalesce(F.get("descriptions", 0)["text"], F.lit("")).alias("description"), vec.alias("text_vec"))
+    return n.select(unique.alias("id"), "name", F.col("type").alias("entity_type"), F.array_min("source_docs").alias("source_doc"), F.coalesce("rank", F.lit(0.0)).cast("float").alias("pagerank_score"), F.coalesce("description", F.lit("")).alias("description"), vec.alias("text_vec"))
 
 
 def chunk_collection(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def relation_collection(edges: DataFrame) -> DataFrame:
 
 def collections(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, ranks: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
     """The three collections of an index. embed() adds vec to rows with text: 'name (TYPE): description' of a node, 'type source target description' of an edge, a chunk's own."""
-    line = F.concat("name", F.lit(" ("), "type", F.lit("): "), F.coalesce(F.get("descriptions", 0)["text"], F.lit("")))
+    line = F.concat("name", F.lit(" ("), "type", F.lit("): "), F.coalesce("description", F.lit("")))
     named = embed(nodes.select("name", line.alias("text"))).select("name", "vec")
     texts = embed(chunks.select("chunk_id", "chunk_index", "doc_id", "text"))
     first = Window.partitionBy("chunk_id").orderBy("chunk_index", "doc_id")

@@ -73,6 +73,36 @@ def oracle_views() -> str:
     return f"ents AS ({MENTIONS_SQL.format(**names)}), rels AS ({RELATIONS_SQL.format(**names)})"
 
 
+#: A second graph, of several components: customers and suppliers at their nations, these in their regions. A nation
+#: stands in the documents of its people, and as a plural in the one on geography, which holds its edge to the region.
+PEOPLE_SQL = """
+SELECT c_custkey AS record_no, CAST(0 AS BIGINT) AS pos, 'customer-' || CAST(c_custkey AS VARCHAR(20)) AS chunk_id, 'segment-' || lower(c_mktsegment) AS doc_id, c_name AS name, 'PERSON' AS type, 'buys' AS description, c_name || ' lives in ' || n_name || '.' AS source_sentence FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), 'customer-' || CAST(c_custkey AS VARCHAR(20)), 'segment-' || lower(c_mktsegment), n_name, 'LOCATION', 'home', c_name || ' lives in ' || n_name || '.' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT 10000000000 + s_suppkey, CAST(0 AS BIGINT), 'supplier-' || CAST(s_suppkey AS VARCHAR(20)), 'suppliers', s_name, 'ORGANIZATION', 'sells', s_name || ' sells in ' || n_name || '.' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT 10000000000 + s_suppkey, CAST(1 AS BIGINT), 'supplier-' || CAST(s_suppkey AS VARCHAR(20)), 'suppliers', n_name, 'LOCATION', 'market', s_name || ' sells in ' || n_name || '.' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT 20000000000 + n_nationkey, CAST(0 AS BIGINT), 'nation-' || CAST(n_nationkey AS VARCHAR(20)), 'geography', r_name, 'LOCATION', 'region', n_name || ' lies in ' || r_name || '.' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT 20000000000 + n_nationkey, CAST(1 AS BIGINT), 'nation-' || CAST(n_nationkey AS VARCHAR(20)), 'geography', n_name || 's', 'LOCATION', 'people', n_name || ' lies in ' || r_name || '.' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
+
+PLACES_SQL = """
+SELECT c_custkey AS record_no, CAST(0 AS BIGINT) AS pos, 'customer-' || CAST(c_custkey AS VARCHAR(20)) AS chunk_id, 'segment-' || lower(c_mktsegment) AS doc_id, c_name AS source, n_name AS target, 'LIVES_IN' AS type, 'home' AS description, c_name || ' lives in ' || n_name || '.' AS source_sentence FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT 10000000000 + s_suppkey, CAST(0 AS BIGINT), 'supplier-' || CAST(s_suppkey AS VARCHAR(20)), 'suppliers', s_name, n_name, 'SELLS_IN', 'market', s_name || ' sells in ' || n_name || '.' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT 20000000000 + n_nationkey, CAST(0 AS BIGINT), 'nation-' || CAST(n_nationkey AS VARCHAR(20)), 'geography', n_name, r_name, 'PART_OF', 'region', n_name || ' lies in ' || r_name || '.' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
+
+_PEOPLE_TABLES = ("customer", "supplier", "nation", "region")
+
+
+def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(mentions, relationships) of the second graph."""
+    given = {t: table(spark, sf_dir, t) for t in _PEOPLE_TABLES}
+    return spark.sql(PEOPLE_SQL, **given).withColumn("stub", F.lit(False)), spark.sql(PLACES_SQL, **given)
+
+
+def people_views() -> str:
+    """CTEs `ents` and `rels` of the second graph for DuckDB."""
+    names = {t: t for t in _PEOPLE_TABLES}
+    return f"ents AS ({PEOPLE_SQL.format(**names)}), rels AS ({PLACES_SQL.format(**names)})"
+
+
 def records(ents: DataFrame, rels: DataFrame) -> DataFrame:
     """Extraction records: a row for each chunk with its ordered entities and relationships."""
     e = ents.groupBy("record_no", "chunk_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "description", "source_sentence", "stub"))).alias("entities"))
