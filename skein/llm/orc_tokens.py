@@ -17,10 +17,12 @@ table gives no rows.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skein.llm.common import claim, map_batches, map_sized, release, shared_dir, table
+from skein.llm.common import claim, map_batches, release, shared_dir, table
+from skein.llm.token_counts import byte_symbols
 
 END = 2  #: id behind each document
 STRIDE = 1000  #: rows of a row index entry
 STRIPE = 16 << 20  #: bytes of a stripe
-CACHE = 200_000
-#: Chunks over this many bytes are encoded but not remembered.
+CACHE = 300_000
+BATCH = 18_000_000  #: bytes of texts that are encoded together, or one text
+#: Pieces over this many characters are encoded but not remembered.
 LONG = 64
+#: Chunks that the library's normalizer leaves alone but for their case: characters up to U+024F, composed, of one lower-case letter each; without an apostrophe, which can begin a piece.
+PLAIN = "^[!-&(-~\u00a1-\u012f\u0131-\u024f]*$"
+#: Fixed value: the split pattern of the tokenizers that this encoder splits itself, and what it comes to without apostrophes and white space.
+PATTERN, PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", r"(\p{L}+|\p{N}|[^\p{L}\p{N}]+)"
+
+
+def _expanded(flat: np.ndarray, start: np.ndarray, pick: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(the cells of these lists one after the other, where each begins and the last ends); list k is flat[start[k] : start[k + 1]]. Some lists at a time, so that the places of cells stay few."""
+    ends = np.concatenate(([0], np.cumsum(np.diff(start)[pick])))
+    out = np.empty(ends[-1], flat.dtype)
+    for k in range(0, len(pick), step):
+        own, e = pick[k : k + step], ends[k : k + step + 1]
+        at = np.repeat(start[own] - e[:-1], np.diff(e))
+        at += np.arange(e[0], e[-1])
+        flat.take(at, out=out[e[0] : e[-1]], mode="clip")
+    return out, ends
 
 
 class Encoder:
@@ -44,8 +64,10 @@ class Encoder:
 
     Its normalizer and its split pattern let no match run over white space, so a
     text's ids are those of its chunks between ASCII white space one after the
-    other. The distinct chunks of a batch are encoded once by the library; those
-    that come more than once are remembered, `cache` at most.
+    other. The distinct chunks of a batch are split once as Arrow arrays: plain ones
+    into the pieces of the tokenizer's own pattern, each distinct one of which its
+    model encodes, while all others go through the library whole. Up to `cache`
+    pieces are remembered.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -54,37 +76,97 @@ class Encoder:
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
-
-    def encoded(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.splits = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["pattern"].get("Regex") == PATTERN and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+        self.special = [a["content"] for a in spec["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.of_byte = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def _pieces(self, pieces: list[str], again: np.ndarray) -> list[list[int]]:
+        """The ids of each piece; those that come again are remembered, in a young memory that becomes the old one when full."""
+        young, old, tokenize, most = self.young, self.old, self.model.tokenize, self.cache // 2
+        out = [young.get(p) or old.get(p) for p in pieces]
+        for k in [k for k, found in enumerate(out) if found is None]:
+            p = pieces[k]
+            out[k] = [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.of_byte))]
+        for k in np.flatnonzero(again).tolist():
+            p = pieces[k]
+            if p not in young and len(p) <= LONG:
+                if len(young) >= most:
+                    self.old, self.young = young, {}
+                    young = self.young
+                young[p] = out[k]
+        return out
+
+    def _plain(self, chunks: pa.Array) -> np.ndarray:
+        if not self.splits or not len(chunks):
+            return np.zeros(len(chunks), bool)
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
+        for s in self.special:
+            plain = plain & ~pc.match_substring(chunks, s).to_numpy(zero_copy_only=False)
+        return plain
+
+    def _chunks(self, chunks: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each chunk's begin and the last's end) of distinct chunks that come so many times."""
+        plain = self._plain(chunks)
+        easy, odd = pc.utf8_lower(chunks.filter(pa.array(plain))), chunks.filter(pa.array(~plain)).to_pylist()
+        # a mark in front of each piece parts it from the one before; the first part is empty. Chunks of letters alone are pieces
+        mixed = pc.match_substring_regex(easy, r"[^\p{L}]")
+        cut = pc.replace_with_mask(easy, mixed, pc.replace_substring_regex(easy.filter(mixed), PIECE, "\x1f\\1")) if len(easy) else easy
+        parts = pc.split_pattern(cut, "\x1f")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        seen = np.bincount(code, np.repeat(times[plain], np.diff(at)), len(pieces)) if pieces else np.zeros(0)
+        if "" in pieces:
+            seen[pieces.index("")] = 0
+        ids = self._pieces(pieces, seen > 1)
+        for k in range(0, len(odd), 4096):
+            ids += [e.ids for e in self.tokenizer.encode_batch(odd[k : k + 4096], add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = np.concatenate(([0], np.cumsum(n)))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, start[-1])
+        # each chunk as a list of these: its pieces, or itself where it's odd
+        count = np.ones(len(chunks), np.int64)
+        count[plain] = np.diff(at)
+        own = np.empty(int(count.sum()), np.int64)
+        place = np.concatenate(([0], np.cumsum(count)))
+        mine = np.repeat(plain, count)
+        own[mine] = code
+        own[~mine] = len(pieces) + np.arange(len(odd))
+        flat, ends = _expanded(flat, start, own)
+        return flat, ends[place]
 
     def encode(self, texts: pa.Array, end: int | None = END) -> pa.ListArray:
         """The ids of each text, with the end id behind."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ids = [self.known.get(w) for w in words]
-        new = [k for k, x in enumerate(ids) if x is None]
-        times = np.bincount(code, minlength=len(words))
-        for k, x in zip(new, self.encoded([words[k] for k in new]), strict=True):
-            ids[k] = x
-            if times[k] > 1 and len(words[k]) <= LONG:
-                if len(self.known) >= self.cache:
-                    self.known.clear()
-                self.known[words[k]] = x
-        ids.append(np.array([] if end is None else [end], np.int32))
+        flat, start = self._chunks(coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))
         # the end id is one more chunk behind each text
-        chunks = np.insert(code, at[1:] - at[0], len(words))
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.concatenate(([0], np.cumsum(n)))
-        length = n[chunks]
-        total = np.concatenate(([0], np.cumsum(length)))
-        pick = np.repeat(start[chunks] - total[:-1], length) + np.arange(total[-1])
-        flat = np.concatenate(ids)[pick]
-        ends = total[(at - at[0]) + np.arange(len(at))]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+        tail = [] if end is None else [end]
+        flat, start = np.concatenate((flat, np.array(tail, np.int32))), np.append(start, len(flat) + len(tail))
+        flat, ends = _expanded(flat, start, np.insert(coded.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(coded.dictionary)))
+        return pa.ListArray.from_arrays(pa.array(ends[(at - at[0]) + np.arange(len(at))].astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of about BATCH bytes or less, or one row: the more texts, the fewer chunks are new to each."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            b = todo.pop()
+            n = min(b.num_rows, -(-b.nbytes // BATCH))
+            if n > 1:
+                size = -(-b.num_rows // n)
+                todo += [b.slice(k, size) for k in range(0, b.num_rows, size)][::-1]
+            elif b.num_rows:
+                yield b
 
 
 @lru_cache(maxsize=2)
@@ -108,7 +190,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
-        for batch in map_sized(batches):
+        for batch in _sized(batches):
             ids = encoder(vocabulary).encode(batch.column(1), end)
             n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             at = before + np.cumsum(n) - n
