@@ -221,18 +221,53 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
 
 
+#: Sets of seeds are dealt to this many folds before each fold is cut into masks of 64 seeds.
+FOLDS = 64
+
+
+def masked(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys with block and mask: 64 keys share a block, each a bit of a mask of 64. A fold numbers its own keys, so no task holds all of them."""
+    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(FOLDS))).orderBy(key)
+    at = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_at", F.row_number().over(w) - 1)
+    block = (F.floor(F.col("_at") / 64) * FOLDS + F.pmod(F.xxhash64(key), F.lit(FOLDS))).alias("block")
+    return at.select(key, block, F.expr("shiftleft(1L, cast(_at % 64 AS int))").alias("mask"))
+
+
+def _step(front: DataFrame, near: DataFrame) -> DataFrame:
+    """block, name, mask: the neighbours (near: a, b) of a front, a row for each block and node however many seeds lead there."""
+    return front.withColumnRenamed("name", "a").join(near, "a").groupBy("block", F.col("b").alias("name")).agg(F.bit_or("mask").alias("mask"))
+
+
+def _fresh(step: DataFrame, seen: DataFrame) -> DataFrame:
+    """The step's bits that seen lacks."""
+    before = seen.groupBy("block", "name").agg(F.bit_or("mask").alias("old"))
+    return step.join(before, ["block", "name"], "left").select("block", "name", F.expr("mask & ~coalesce(old, 0L)").alias("mask")).where("mask <> 0")
+
+
+def _apart(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows (block, mask, ...) with a row for each key whose bit is set. keys: masked()."""
+    bits = rows.withColumn("bit", F.explode(F.expr("filter(transform(sequence(0, 63), i -> shiftleft(1L, i)), b -> (mask & b) <> 0)")))
+    return bits.join(keys.select(key, "block", F.col("mask").alias("bit")), ["block", "bit"]).drop("block", "bit", "mask")
+
+
 def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """seed, name, depth: the least distance of every node within `hops` of each seed (column seed), itself included. Seeds that are no nodes are skipped."""
+    """seed, name, depth: the least distance of every node within `hops` of each seed (column seed), itself included. Seeds that are no nodes are skipped.
+
+    64 seeds go as the bits of one number, so a hop joins and gathers a row for each
+    block of seeds and node, not for each seed and node; the pairs appear in the result alone.
+    """
     if hops < 0:
         raise ValueError("hops must not be negative")
-    near = saved(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else undirected(edges))
-    seen = saved(seeds.select("seed").distinct().join(nodes.select(F.col("name").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("name"), F.lit(0).alias("depth")))
-    front = seen
+    near = saved(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else undirected(edges)) if hops else None
+    keys = saved(masked(seeds.select("seed").join(nodes.select(F.col("name").alias("seed")), "seed", "left_semi"), "seed"))
+    front = keys.select("block", F.col("seed").alias("name"), "mask")
+    seen, out = front, front.withColumn("depth", F.lit(0))
     for d in range(1, hops + 1):
-        step = front.join(near, front["name"] == near["a"]).select("seed", F.col("b").alias("name")).distinct()
-        front = saved(step.join(seen.select("seed", "name"), ["seed", "name"], "left_anti").withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(front)
-    return seen
+        front = saved(_fresh(_step(front, near), seen))
+        if front.isEmpty():
+            break
+        seen, out = seen.unionByName(front), out.unionByName(front.withColumn("depth", F.lit(d)))
+    return _apart(out, keys, "seed").select("seed", "name", "depth")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -320,22 +355,25 @@ def label_exists(nodes: DataFrame, name: str) -> DataFrame:
 
 def gold_connected(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, hops: int = 3, places: DataFrame | None = None) -> DataFrame:
     """pair_id, connected: whether nodes of two chunks (a_chunk, b_chunk) are one or within `hops`. places: node_places() in place of the nodes' arrays. Both ends of a pair grow in turn, so neither goes further than half the way."""
-    of = saved(node_chunk_rows(nodes, places))
+    of = node_chunk_rows(nodes, places)
     near = saved(undirected(edges))
+    keys = saved(masked(pairs, "pair_id"))
+    held = pairs.select("pair_id", "a_chunk", "b_chunk").join(keys, "pair_id")
+    wanted = held.select(F.explode(F.array("a_chunk", "b_chunk")).alias("chunk")).distinct()
+    of = saved(of.join(wanted, "chunk", "left_semi"))
 
     def side(chunk: str) -> DataFrame:
-        return pairs.select("pair_id", F.col(chunk).alias("chunk")).join(of, "chunk").select("pair_id", "name").distinct()
-
-    def grown(front: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-        step = front.withColumnRenamed("name", "a").join(near, "a").select("pair_id", F.col("b").alias("name")).distinct()
-        new = saved(step.join(seen, ["pair_id", "name"], "left_anti"))
-        return new, seen.unionByName(new)
+        return saved(held.select("block", "mask", F.col(chunk).alias("chunk")).join(of, "chunk").groupBy("block", "name").agg(F.bit_or("mask").alias("mask")))
 
-    a, b = saved(side("a_chunk")), saved(side("b_chunk"))
+    a, b = side("a_chunk"), side("b_chunk")
     ends = [[a, a], [b, b]]  # front and all of each side
     for turn in range(hops):
-        ends[turn % 2] = list(grown(*ends[turn % 2]))
-    hit = ends[0][1].join(ends[1][1], ["pair_id", "name"], "left_semi").select("pair_id").distinct().withColumn("connected", F.lit(True))
+        front, seen = ends[turn % 2]
+        new = saved(_fresh(_step(front, near), seen))
+        ends[turn % 2] = [new, seen.unionByName(new)]
+    left, right = (x[1].groupBy("block", "name").agg(F.bit_or("mask").alias(m)) for x, m in zip(ends, ("m1", "m2"), strict=True))
+    met = left.join(right, ["block", "name"]).groupBy("block").agg(F.bit_or(F.expr("m1 & m2")).alias("mask")).where("mask <> 0")
+    hit = _apart(met, keys, "pair_id").select("pair_id").withColumn("connected", F.lit(True))
     return pairs.select("pair_id").join(hit, "pair_id", "left").select("pair_id", F.coalesce("connected", F.lit(False)).alias("connected"))
 
 

@@ -329,6 +329,45 @@ def q9(spark, sf_dir):
     return counts.drop("n_selected", "anchors", "graph_nodes", "graph_edges", "supported")
 
 
+#: Contents as on-demand extraction records them: the part and the priority that a text names, and that the one is asked for at the other.
+_ST = r"st AS MATERIALIZED (SELECT id, sha256(text) AS sha, CASE WHEN contains(text, 'bolt') THEN 'failed_model' WHEN contains(text, 'gizmo') THEN 'failed_infra' ELSE 'ok' END AS status, starts_with(text, '1') AS known, regexp_replace(text, '^\S+ ', '') AS part, split_part(text, ' ', 1) AS prio FROM chunks)"
+_Q9 = _Q8.replace(f"ek AS (SELECT chunk_id, {NORM.format('name')} AS key FROM ents)", f"{_ST}, ek AS (SELECT id AS chunk_id, {NORM.format('name')} AS key FROM (SELECT id, unnest([part, prio]) AS name FROM st WHERE status = 'ok'))").replace("FROM sel JOIN rels ON chunk_id = id", "FROM sel JOIN (SELECT id AS chunk_id, part AS source, prio AS target FROM st WHERE status = 'ok') ON chunk_id = id")
+
+
+def _demanded(spark, sf_dir):
+    q, chunks, dense, _, _ = _focused(spark, sf_dir)
+
+    def extract(missing):
+        status = F.when(F.col("text").contains("bolt"), "failed_model").when(F.col("text").contains("gizmo"), "failed_infra").otherwise("ok")
+        part, prio = F.regexp_replace("text", r"^\S+ ", ""), F.split_part("text", F.lit(" "), F.lit(1))
+        return missing.select("content_sha256", status.alias("status"), F.array(F.struct(part.alias("name")), F.struct(prio.alias("name"))).alias("entities"), F.array(F.struct(part.alias("source"), prio.alias("target"))).alias("relationships"))
+
+    known = extract(chunks.where(F.col("text").startswith("1")).select("text", F.sha2("text", 256).alias("content_sha256")).dropDuplicates(["content_sha256"]))
+    return QF.on_demand(q, dense, chunks.select("id", "title", "text"), known, extract, K)
+
+
+@query(
+    "q9_on_demand_list",
+    _Q9
+    + f""", al AS (SELECT qid, id, d.rank AS dr, s FROM dn_hits d FULL JOIN sp USING (qid, id) FULL JOIN sel USING (qid, id)), rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN s IS NOT NULL THEN 0 WHEN dr IS NOT NULL THEN 1 ELSE 2 END, s DESC NULLS LAST, coalesce(dr, 1000000), id) AS rank FROM al WHERE dr IS NOT NULL OR qid IN (SELECT qid FROM sp))
+SELECT qid, id, round(1 - (rank - 1)::DOUBLE / count(*) OVER (PARTITION BY qid), 6) AS score, rank FROM rk WHERE rank <= {K}""",
+)
+def q9l(spark, sf_dir):
+    """What on-demand extraction ranks, over graphs of the parts and priorities that it finds."""
+    return _demanded(spark, sf_dir)[0]
+
+
+@query("q9_on_demand_graph", _Q9 + f" SELECT qid, {_COUNTS} FROM questions q")
+def q9g(spark, sf_dir):
+    return _demanded(spark, sf_dir)[1].select("qid", "n_selected", "anchors", "graph_nodes", "graph_edges", "supported")
+
+
+@query("q9_on_demand_cache", _Q9 + " SELECT sha AS content_sha256, min(status) AS status FROM st WHERE known OR id IN (SELECT id FROM sel) GROUP BY sha")
+def q9c(spark, sf_dir):
+    """The cache as it has grown."""
+    return _demanded(spark, sf_dir)[2].select("content_sha256", "status")
+
+
 @query("m26_selection_simulation")
 def m26(spark, sf_dir):
     """Gold: a question's two least orders among its part's line items."""

@@ -245,7 +245,7 @@ SCHEMAS = {
     "chunks": CHUNK,
     "ents": f"key string, {_MENTION}, name string, type string, description string, source_sentence string, stub boolean, bucket int",
     "rels": f"skey string, tkey string, {_MENTION}, source string, target string, type string, description string, source_sentence string, bucket int",
-    "nodes": f"key string, seq long, gone boolean, row struct<name: string, key: string, type: string, mentions: long, descriptions: array<{_TEXT}>, source_sentences: array<{_TEXT}>, source_docs: array<string>, stub: boolean, ord: {_ORD}>",
+    "nodes": f"key string, seq long, gone boolean, row struct<name: string, key: string, type: string, mentions: long, descriptions: array<{_TEXT}>, source_sentences: array<{_TEXT}>, description: string, source_docs: array<string>, stub: boolean, ord: {_ORD}>",
     "edges": f"skey string, tkey string, seq long, gone boolean, row struct<src: string, dst: string, mentions: long, types: array<string>, description: string, source_sentences: array<struct<text: string, chunk_id: string, doc_id: string, type: string>>, source_doc: string, ord: {_ORD}>",
 }
 #: What mentions are dealt and sorted by.
