@@ -76,7 +76,8 @@ def test_untouched_files_are_not_written_again(spark, tmp_path, monkeypatch):
     equals_rebuild(index)
 
 
-def test_lost_checkpoint_swallows_and_repeats_nothing(spark, tmp_path):
+def test_lost_checkpoint_swallows_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BUCKETS", 2)
     root = tmp_path / "index"
     index = L.LiveIndex(spark, str(root), extract)
     index.enqueue("f1", "Ann Bob")
@@ -102,6 +103,7 @@ def test_lost_checkpoint_swallows_and_repeats_nothing(spark, tmp_path):
 
 
 def test_crash_behind_the_pointer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BUCKETS", 2)
     index = L.LiveIndex(spark, str(tmp_path / "index"), extract)
     index.enqueue("f1", "Ann Bob")
     with monkeypatch.context() as m:

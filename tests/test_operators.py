@@ -196,6 +196,8 @@ def test_live_index_rebuilds_and_recovers(spark, tmp_path, monkeypatch):
     from skein.operators.extraction import ENTITY, RELATION
     from skein.streaming.live_index import LiveIndex
 
+    monkeypatch.setattr("skein.streaming.live_index.BUCKETS", 2)  # fewer folders to write
+
     def extract(chunks):
         """'A knows B' is two entities and a relationship; a chunk with '!' can't be extracted."""
         w, none = F.split("text", " "), F.lit("")
