@@ -140,3 +140,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: A row of text is quoted where it holds one of these.
 NEEDS_QUOTES = re.compile(r'[,"\n\r\t]')
+
+
+def fraction_text(x: Column) -> Column:
+    """A number from 0 to 1 as SQL and Python write it: an exponent under 0.0001 alone, where Spark's cast has one under 0.001."""
+    s = x.cast("string")
+    digits = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
+    power = F.abs(F.substring_index(s, "E", -1).cast("int"))
+    short = F.concat(F.lit("0.000"), F.replace(digits, F.lit("."), F.lit("")))
+    return F.when(~s.contains("E"), s).when(power == 4, short).otherwise(F.concat(digits, F.lit("e-"), F.lpad(power.cast("string"), 2, "0")))

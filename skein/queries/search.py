@@ -114,7 +114,7 @@ def embedding(spark, sf_dir):
         return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), text)), 1, 4), 16, 10).cast("double") / 65535.0)
 
     pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.col("url")).alias("text"))
-    return S.embedded(pages, embed, 8).select("page_id", F.concat(F.lit("["), F.array_join(F.transform("vec", lambda v: v.cast("string")), ", "), F.lit("]")).alias("vec"))
+    return S.embedded(pages, embed, 8).select("page_id", F.concat(F.lit("["), F.array_join(F.transform("vec", T.fraction_text), ", "), F.lit("]")).alias("vec"))
 
 
 @query("q17_keywords", "SELECT item_id AS qid, text AS low, text AS high FROM benchmark")
