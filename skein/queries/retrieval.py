@@ -229,14 +229,14 @@ def q2c(spark, sf_dir):
 
 @query("q11_node_chunks", _BASE + " SELECT name, count(*) AS chunks FROM nch GROUP BY name")
 def q11(spark, sf_dir):
-    nodes, _, places = placed(spark, sf_dir)
-    return G.node_chunk_rows(nodes, places[0]).groupBy("name").agg(F.count(F.lit(1)).alias("chunks"))
+    nodes = graph(spark, sf_dir)[0]
+    return G.node_chunk_rows(nodes, G.node_places(mentions(spark, sf_dir))).groupBy("name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("q12_edge_chunks", _BASE + " SELECT src, dst, count(*) AS chunks FROM ech GROUP BY src, dst")
 def q12(spark, sf_dir):
-    _, edges, places = placed(spark, sf_dir)
-    return G.edge_chunk_rows(edges, places[1]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("chunks"))
+    _, resolved, edges = graph(spark, sf_dir)
+    return G.edge_chunk_rows(edges, G.edge_places(resolved)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("q13_materialise", _LISTS + " SELECT qid, id, score, rank, 'prio ' || o_orderpriority AS text FROM lo JOIN orders ON id = 'order-' || o_orderkey WHERE rank <= 10 AND o_orderkey % 7 <> 0")
