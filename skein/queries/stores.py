@@ -44,8 +44,7 @@ SELECT CASE WHEN nth = 1 THEN i ELSE left(i, 55) || '_' || left(sha1(name), 8) E
 )
 def s7(spark, sf_dir):
     """Degrees for ranks, and a vector of one number."""
-    nodes, _, edges = graph(spark, sf_dir)
-    nodes, edges = G.saved(nodes), G.saved(edges)
+    nodes, _, edges = graph(spark, sf_dir, texts=True)
     ranks = G.degree(nodes, edges).select("name", F.col("degree").cast("double").alias("rank"))
     out = S.entity_collection(nodes, nodes.select("name", F.array(F.lit(1.0)).alias("vec")), ranks)
     return out.select("id", "name", "entity_type", "source_doc", F.col("pagerank_score").cast("double").alias("pagerank_score"), "description")
