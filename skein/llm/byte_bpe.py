@@ -32,6 +32,8 @@ CACHE = 200_000
 WIDE = 256
 #: Characters up to which pre-tokens are encoded many at once, and how many at most; longer ones go one by one.
 SHORT, STEP = 64, 200_000
+#: Bytes of texts that are encoded together: a step holds some 40 bytes for each, in chunks, their ids and what those decode to.
+PIECE = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -374,7 +376,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             cols["decoded"] = c.decode_array(ids)
         return pa.RecordBatch.from_pydict(cols)
 
-    return map_batches(df, [id_col, text_col], run, f"`{id_col}` {kind}, ids binary, n_tokens bigint" + ", decoded binary" * with_decoded)
+    return map_batches(df, [id_col, text_col], run, f"`{id_col}` {kind}, ids binary, n_tokens bigint" + ", decoded binary" * with_decoded, PIECE)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -385,7 +387,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
         c = codec(path, pattern)
         return pa.RecordBatch.from_pydict({id_col: batch.column(0), "decoded": c.decode_array(batch.column(1))})
 
-    return map_batches(df, [id_col, ids_col], run, f"`{id_col}` {kind}, decoded binary")
+    return map_batches(df, [id_col, ids_col], run, f"`{id_col}` {kind}, decoded binary", PIECE)
 
 
 def default_vocabulary() -> tuple[str, str]:
