@@ -38,3 +38,25 @@ def test_plans_store_no_places(spark, monkeypatch):
     monkeypatch.setattr(G, "node_places", never)
     monkeypatch.setattr(G, "edge_places", never)
     assert Q.q4(spark, SF).count() == 40
+
+
+def test_contents_of_a_title_are_charged_without_a_row_for_each_chunk(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.plans import query_focused as Q
+    from skein.plans import retrieval as R
+
+    def never(*_, **__):
+        raise AssertionError("the selected chunks of each question became rows")
+
+    monkeypatch.setattr(R, "expansion", never)
+    paragraphs = spark.createDataFrame([(f"c{i:03}", "Blue bolt (B1)", f"text {i % 3}") for i in range(60)] + [("z", "Red nut", "other")], "id string, title string, text string")
+    questions = spark.createDataFrame([(q, "the blue bolt") for q in (1, 2)], "qid int, text string")
+    dense = spark.createDataFrame([(1, "z", 1), (2, "c003", 1)], "qid int, id string, rank int")
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    extract = lambda m: m.select("content_sha256", F.when(F.col("text") == "text 2", "failed_model").otherwise("ok").alias("status"), F.array(F.struct(F.lit("nobody").alias("name"))).alias("entities"), none.alias("relationships"))
+    known = extract(spark.createDataFrame([("text 0",)], "text string").select("text", F.sha2("text", 256).alias("content_sha256")))
+    counts, grown = Q.on_demand(questions, dense, paragraphs, known, extract)[1:]
+    columns = ("lookups", "hits_ok", "hits_failed", "misses", "extracted_ok", "extracted_failed_model", "extracted_failed_infra", "valid_records", "failed_or_missing")
+    assert {r["qid"]: tuple(r[c] for c in columns) for r in counts.collect()} == {1: (61, 39, 19, 3, 2, 1, 0, 41, 20), 2: (60, 40, 20, 0, 0, 0, 0, 40, 20)}
+    assert grown.count() == 4
