@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import graph as G
 from skein.operators import search as S
 from skein.plans import retrieval as R
 
@@ -60,3 +61,9 @@ def test_named_scope_has_a_row_for_each_candidate(spark):
     assert within.count() == 3
     got = {(r["qid"], r["id"]) for r in within.join(members.select("id", F.explode("group").alias("group")), "group").collect()}
     assert got == {(1, f"c{n}") for n in range(50)} | {(2, "e1")}
+
+
+def test_stored_rows_can_be_read_by_several_tasks(spark):
+    df = G.saved(spark.range(1000).coalesce(1), 100)
+    assert df.count() == 1000
+    assert len(df.inputFiles()) == 10
