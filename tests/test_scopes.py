@@ -67,3 +67,13 @@ def test_stored_rows_can_be_read_by_several_tasks(spark):
     df = G.saved(spark.range(1000).coalesce(1), 100)
     assert df.count() == 1000
     assert len(df.inputFiles()) == 10
+
+
+def test_chunks_of_documents_meet_questions_in_several_tasks(spark, monkeypatch):
+    """Before, one task made all rows of a few candidates."""
+    monkeypatch.setattr(R, "ROWS", 25)
+    nodes = spark.createDataFrame([("A", ["d0", "d1"]), ("B", ["d1"])], "name string, source_docs array<string>")
+    chunks = spark.createDataFrame([(f"c{n}", f"d{n % 3}") for n in range(100)], "id string, doc_id string").coalesce(1)
+    got = R.candidate_scope(spark.createDataFrame([(1, "A"), (2, "B")], "qid int, name string"), nodes, chunks)
+    assert sorted(map(tuple, got.collect())) == sorted([(1, f"c{n}") for n in range(100) if n % 3 < 2] + [(2, f"c{n}") for n in range(100) if n % 3 == 1])
+    assert len([f for f in got.inputFiles() if "skein-graph" in f]) >= 4
